@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import bpe, exact_dedup, lines, packing, sharding
+from lodeworks.llm import bpe, exact_dedup, lines, minhash, packing, quality, sharding
 
 
 def vocabulary(name: str) -> str:
@@ -36,6 +36,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -46,13 +50,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    forest = quality.train(documents, table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(documents, forest)
+    return scored.select("doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op2_sharding, op3_exact_dedup, op8_line_dedup, op9_packing]
+    found = [op1_bpe, op2_sharding, op3_exact_dedup, op4_minhash, op8_line_dedup, op9_packing, op10_quality]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op8_line_dedup": OP8}
+    return {"op3_exact_dedup": OP3, "op4_minhash": OP4, "op8_line_dedup": OP8}
 
 
 OP3 = r"""
@@ -79,3 +90,20 @@ SELECT doc_id, count(*) AS n_lines, CAST(count_if(lost) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
+
+# 5-word shingles with all their words; only pairs that share a shingle can be similar.
+OP4 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingles FROM w),
+z AS (SELECT doc_id, len(shingles) AS n FROM s),
+e AS (SELECT doc_id, hash(unnest(shingles)) AS sh FROM s),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM e x JOIN e y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN z za ON za.doc_id = a JOIN z zb ON zb.doc_id = b WHERE 100 * common >= 75 * (za.n + zb.n - common)),
+g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM z UNION SELECT g.b, r.root FROM r JOIN g ON g.a = r.node AND r.root < g.b),
+m AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM z JOIN m ON node = doc_id
+"""
