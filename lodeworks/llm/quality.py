@@ -19,6 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,17 +156,21 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "quality", samp
     return fit(x[order], y[order])
 
 
-def score_documents(df: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for each row."""
+def with_score(df: DataFrame, forest: Forest, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``df`` and the score of each row's text."""
     sent = df.sparkSession.sparkContext.broadcast(forest)  # a few hundred KB, whatever the corpus
 
-    def start():
-        trees = sent.value
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        out = np.empty(len(texts))
+        for at in range(0, len(texts), 512):
+            part = texts.iloc[at : at + 512]
+            out[at : at + 512] = sent.value.score(np.stack([statistics(t) for t in part]))
+        return pd.Series(out)
 
-        def each(c):
-            x = np.stack([statistics(t) for t in c["text"]])
-            return {"doc_id": c["doc_id"], "score": trees.score(x)}
+    return df.withColumn(score_col, score(F.coalesce(F.col(text_col), F.lit(""))))
 
-        return each
 
-    return map_rows(id_and_text(df, id_col, text_col), start, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())]))
+def score_documents(df: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) for each row."""
+    return with_score(id_and_text(df, id_col, text_col), forest).select("doc_id", "score")

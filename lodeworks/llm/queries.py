@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import bpe, exact_dedup, lines, minhash, packing, quality, sharding
+from lodeworks.llm import bpe, embedding, exact_dedup, lines, minhash, packing, quality, sharding, substring, warc
 
 
 def vocabulary(name: str) -> str:
@@ -40,6 +40,22 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e["key"], e["value"])), "; ")
+    return out.select("record_id", "canonical_url", "ts", "refers_to", "outcome", shown.alias("headers"), "payload_digest")
+
+
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.cut_repeated_passages(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n_spans"), spans.alias("spans"), "source_ids", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -58,12 +74,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op2_sharding, op3_exact_dedup, op4_minhash, op8_line_dedup, op9_packing, op10_quality]
+    found = [op1_bpe, op2_sharding, op3_exact_dedup, op4_minhash, op5_embeddings, op6_warc_revisits, op7_substring, op8_line_dedup, op9_packing, op10_quality]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op4_minhash": OP4, "op8_line_dedup": OP8}
+    return {"op3_exact_dedup": OP3, "op4_minhash": OP4, "op5_embeddings": OP5, "op6_warc_revisits": OP6, "op8_line_dedup": OP8}
 
 
 OP3 = r"""
@@ -77,6 +93,43 @@ SELECT doc_id, first_value(doc_id) OVER best AS keep_id,
 FROM n WINDOW best AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 """
 
+OP5 = r"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS e FROM embeddings),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND array_cosine_similarity(x.e, y.e) >= 0.95),
+r AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node AND r.root < l.b),
+m AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN m ON node = vec_id
+"""
+
+OP6 = r"""
+WITH p AS (
+  SELECT page_id AS n, md5(coalesce(html, '')) AS digest, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+q AS (
+  SELECT n, digest,
+    regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
+      || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/$', '') AS place,
+    list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_'))) AS parts
+  FROM p),
+c AS (
+  SELECT n, digest, place || CASE WHEN len(parts) > 0 THEN '?' || array_to_string(parts, '&') ELSE '' END AS canonical_url,
+    CASE WHEN n % 5 <> 0 THEN '"' || substr(digest, 1, 16) || '"' END AS etag, CASE WHEN n % 35 <> 0 THEN CAST(n * 10 AS VARCHAR) END AS modified
+  FROM q),
+r AS (SELECT *, n * 10 AS ts FROM c WHERE n % 13 <> 0),
+v AS (SELECT n, canonical_url, n * 10 + CASE WHEN n % 11 = 0 THEN -5 ELSE 5 END AS ts,
+        CASE WHEN n % 7 = 0 THEN '"stale"' ELSE etag END AS bare_etag, CASE WHEN n % 7 = 0 THEN '"stale"' ELSE 'W/' || etag END AS etag, modified
+      FROM c WHERE n % 3 <> 0),
+b AS (SELECT v.*, r.n AS rn, r.ts AS rts, r.etag AS retag, r.modified AS rmod, r.digest AS rdigest,
+        coalesce(v.bare_etag = r.etag, v.modified = r.modified) AS agree
+      FROM v ASOF LEFT JOIN r ON v.canonical_url = r.canonical_url AND v.ts > r.ts),
+o AS (SELECT *, CASE WHEN rn IS NULL THEN 'no_response' WHEN agree IS NULL THEN 'no_validator' WHEN agree THEN 'resolved' ELSE 'mismatch' END AS outcome FROM b)
+SELECT 'v' || n AS record_id, canonical_url, ts, CASE WHEN outcome = 'resolved' THEN 'r' || rn END AS refers_to, outcome,
+  CASE WHEN outcome = 'resolved' THEN concat_ws('; ', 'cache-control: max-age=120', 'content-type: text/html', 'date: ' || ts,
+    'etag: ' || coalesce(etag, retag), 'last-modified: ' || coalesce(modified, rmod)) END AS headers,
+  CASE WHEN outcome = 'resolved' THEN rdigest END AS payload_digest
+FROM o
+"""
+
 OP8 = r"""
 WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM s),
