@@ -9,7 +9,9 @@ chunks in both, but for its two ends.
 1. Tasks send the 64-bit digests of their chunks, packed and without repetition, to
    the range of digests they belong to; digests that more than one chunk has are
    suspected.
-2. Only suspected chunks become rows. Of a digest's documents the smallest id keeps
+2. Only suspected chunks become rows: tasks know the suspected digests by 32 of
+   their bits, in a sorted array of a checked size; beyond that size all chunks
+   become rows and are joined with the suspected ones. Of a digest's documents the smallest id keeps
    its chunks, the others may lose theirs; the ids are combined in each task first.
 3. Neighbouring lost chunks form runs. Runs of at least ``LEAST`` bytes are cut out
    of their document; shorter ones, common phrases, stay.
@@ -35,6 +37,8 @@ from lodeworks.llm.common import Scratch, broadcast_if_small, by_range, id_and_t
 CHUNK, MOST, LEAST = 32, 512, 80
 #: Digests that a range is made for.
 RANGE_DIGESTS = 1 << 18
+#: Suspected digests that are sent to all executors at most, 4 bytes each, and largest other tables, in bytes.
+BROADCAST_DIGESTS = 8_000_000
 BROADCAST_BYTES = 16 << 20
 BROADCAST_TEXT_BYTES = 1 << 20
 _RNG = np.random.default_rng(3)
@@ -103,12 +107,30 @@ def _repeated(key, table):
     return pa.table({"digest": pa.array(np.unique(values[1:][values[1:] == values[:-1]]).view(np.int64), pa.int64())})
 
 
-def _listed():
-    def each(c):
-        found = [chunks(t) for t in c["text"]]
-        return {"doc_id": c["doc_id"], "ends": [f[0] for f in found], "digests": [f[1] for f in found]}
+def _tags(digests: np.ndarray) -> np.ndarray:
+    return (digests.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+
 
-    return each
+def _rows(known):
+    """(digest, doc_id, start, end) of the chunks, of those only whose tag is known if tags are given."""
+
+    def run(batches):
+        tags = known and known.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, out = batch.slice(at, 256), []
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    stops, digests = chunks(text.as_py())
+                    starts, stops = stops[:-1], stops[1:]
+                    if tags is not None and len(digests):
+                        own = _tags(digests)
+                        hit = tags[np.minimum(np.searchsorted(tags, own), len(tags) - 1)] == own if len(tags) else np.zeros(len(own), dtype=bool)
+                        starts, stops, digests = starts[hit], stops[hit], digests[hit]
+                    out.append((digests, np.full(len(digests), doc_id), starts, stops))
+                columns = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["digest", "doc_id", "start", "end"])
+
+    return run
 
 
 def runs(lost: list[tuple[int, int]], least: int = LEAST) -> list[tuple[int, int]]:
@@ -177,11 +199,13 @@ def cut_repeated_passages(df: DataFrame, least: int = LEAST, id_col: str = "doc_
     bits = max(5, int(np.ceil(np.log2(max(1, size / CHUNK / RANGE_DIGESTS)))))
     packed = docs.where("doc_id is not null").select("text").mapInArrow(_ranges(bits), "range int, digests binary")
     suspected = scratch.write(packed.groupBy("range").applyInArrow(_repeated, "digest long"), "suspected")
-    kind = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("digests", T.ArrayType(T.LongType()))])
-    listed = map_rows(docs.where("doc_id is not null"), _listed, kind)
-    rows = listed.select("doc_id", "ends", F.posexplode("digests").alias("k", "digest"))
-    rows = rows.select("doc_id", "digest", F.col("ends")[F.col("k")].alias("start"), F.col("ends")[F.col("k") + 1].alias("end"))
-    found = rows.join(broadcast_if_small(scratch, suspected, "suspected", BROADCAST_BYTES), "digest", "left_semi")
+    known = None
+    if suspected.count() <= BROADCAST_DIGESTS:
+        digests = suspected.toArrow().column("digest").to_numpy()
+        known = df.sparkSession.sparkContext.broadcast(np.unique(_tags(digests)))
+    found = docs.where("doc_id is not null").mapInArrow(_rows(known), "digest long, doc_id long, start long, end long")
+    if known is None:
+        found = found.join(suspected, "digest", "left_semi")
     found = scratch.write(found, "found")
     first = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     first = scratch.write(first.select("digest", "first"), "first")
