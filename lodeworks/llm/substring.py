@@ -1,10 +1,10 @@
 """Substring deduplication by content-defined chunks (operator 7).
 
-A gear hash rolls over a text's bytes, ``h = (h << 1) + gear[byte]`` in 32 bits, so
-that it depends on the last 32 bytes only; a chunk ends where it falls below a
-threshold, after ``CHUNK`` bytes on average. An insertion thus moves the borders
-next to it and no others, and a passage that two documents share has the same
-chunks in both, but for its two ends.
+A gear hash rolls over a text's bytes, ``h = (h << 1) + gear[byte]``, over the last
+16 of them; a chunk ends where the hash is the smallest of the ``AROUND`` before and
+behind it, after ``2 * AROUND + 1`` bytes on average and never fewer than ``AROUND``.
+An insertion thus moves the borders next to it and no others, and a passage that
+two documents share has the same chunks in both, but for its two ends.
 
 1. Tasks send the 64-bit digests of their chunks, packed and without repetition, to
    the range of digests they belong to; digests that more than one chunk has are
@@ -33,26 +33,39 @@ from pyspark.sql import types as T
 
 from lodeworks.llm.common import Scratch, broadcast_if_small, by_range, id_and_text, map_rows
 
-#: Mean and largest bytes of a chunk, and bytes that a run has at least to be cut out.
-CHUNK, MOST, LEAST = 32, 512, 80
+#: Bytes on either side among which a border has the smallest hash, largest bytes of a chunk, and bytes that a run has at least to be cut out.
+AROUND, MOST, LEAST = 15, 512, 80
 #: Digests that a range is made for.
 RANGE_DIGESTS = 1 << 18
 #: Suspected digests that are sent to all executors at most, 4 bytes each, and largest other tables, in bytes.
 BROADCAST_DIGESTS = 8_000_000
 BROADCAST_BYTES = 16 << 20
-BROADCAST_TEXT_BYTES = 1 << 20
 _RNG = np.random.default_rng(3)
 _GEAR = _RNG.integers(0, 1 << 32, 256, dtype=np.uint32)
+_NONE = np.uint32(0xFFFFFFFF)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWER = np.cumprod(np.full(MOST, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
-def ends(data: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+def _low(h: np.ndarray, k: int) -> np.ndarray:
+    """Smallest of each value and the k - 1 behind it; k is a power of two."""
+    step = 1
+    while step < k:
+        h = np.minimum(h, np.append(h[step:], np.full(min(step, len(h)), _NONE)))
+        step *= 2
+    return h
+
+
+def ends(data: np.ndarray) -> np.ndarray:
     """Ends of the chunks of the bytes, the last one being their number."""
     h = _GEAR[data]
-    for k in (1, 2, 4, 8, 16):  # the sum of k terms and the k before them, shifted
+    for k in (1, 2, 4, 8):  # the sum of k terms and the k before them, shifted
         h[k:] = h[k:] + (h[:-k] << np.uint32(k))
-    out = np.flatnonzero(h < np.uint32((1 << 32) // chunk)) + 1
+    low = _low(h, 8)
+    padded = np.concatenate([np.full(15, _NONE), low, np.full(8, _NONE)])
+    before = np.minimum(padded[: len(h)], padded[7 : 7 + len(h)])  # of the 15 before
+    behind = np.minimum(low, padded[23 : 23 + len(h)])  # of itself and the 15 behind
+    out = np.flatnonzero((h < before) & (h <= behind)) + 1
     if not len(out) or out[-1] != len(data):
         out = np.append(out, len(data))
     starts = np.concatenate([[0], out[:-1]])
@@ -196,7 +209,7 @@ def cut_repeated_passages(df: DataFrame, least: int = LEAST, id_col: str = "doc_
     scratch = Scratch(df.sparkSession, "substring")
     docs = id_and_text(df, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    bits = max(5, int(np.ceil(np.log2(max(1, size / CHUNK / RANGE_DIGESTS)))))
+    bits = max(5, int(np.ceil(np.log2(max(1, size / (2 * AROUND + 1) / RANGE_DIGESTS)))))
     packed = docs.where("doc_id is not null").select("text").mapInArrow(_ranges(bits), "range int, digests binary")
     suspected = scratch.write(packed.groupBy("range").applyInArrow(_repeated, "digest long"), "suspected")
     known = None
@@ -213,6 +226,6 @@ def cut_repeated_passages(df: DataFrame, least: int = LEAST, id_col: str = "doc_
     lost = lost.groupBy(F.col("doc_id").alias("lost_by")).agg(F.collect_list(F.struct("start", "end", "first")).alias("lost"))
     lost = scratch.write(lost, "lost")
     whole = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
-    joined = whole.join(broadcast_if_small(scratch, lost, "lost", BROADCAST_TEXT_BYTES), F.col("doc_id") == F.col("lost_by"), "left").drop("lost_by")
+    joined = whole.join(lost, F.col("doc_id") == F.col("lost_by"), "left").drop("lost_by")
     schema = T.StructType([*CUT.fields, joined.schema["carried"]]) if carry else CUT
     return map_rows(joined, _cut(least, bool(carry)), schema)
