@@ -160,7 +160,7 @@ def with_score(df: DataFrame, forest: Forest, text_col: str = "text", score_col:
     """``df`` and the score of each row's text."""
     sent = df.sparkSession.sparkContext.broadcast(forest)  # a few hundred KB, whatever the corpus
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
         out = np.empty(len(texts))
         for at in range(0, len(texts), 512):
