@@ -16,8 +16,10 @@ key are needed:
    keys with others. A group of near copies is linked up by that alone.
 2. Keys whose members are in different components are left. Their members outside
    the centre's component are compared with all members, in blocks of a bounded
-   size, and the closest pairs between two components are checked on the full
-   sets; then more of them, until no pair between components is left unchecked.
+   size, and the closest pairs between two components are checked on the full sets.
+3. Of the components that still meet, each pair is searched for a link on the full
+   sets: the members of the smaller one pass blocks of the larger one's inverted
+   lists. What is sent grows with the members, not with their pairs.
 
 Edge cases: a null or empty text has an empty set and links with nothing; texts of
 fewer than five words have one shingle; rows with a null id belong to the class of
@@ -47,8 +49,10 @@ FAR = 25
 SIMILAR = 75
 #: Members of a key that are compared in one piece.
 BLOCK = 512
-#: Closest pairs between two components that are checked in each later round; the last round checks all.
-ROUNDS = (8, 128, None)
+#: Closest partners of a document in another component that are checked before whole components are searched.
+CLOSEST = 4
+#: Members of a component whose inverted lists are held at once.
+LISTED = 256
 BROADCAST_BYTES = 8 << 20
 _KEPT_WORDS = 1 << 18
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,18 +117,32 @@ def _base(docs: DataFrame) -> DataFrame:
     return map_rows(docs, start, T.StructType([T.StructField(*k) for k in kinds]))
 
 
+def _all_keys(sigs: np.ndarray) -> np.ndarray:
+    """Keys of signatures, for each chunk and each place of it left out."""
+    sigs = sigs.astype(np.uint64).reshape(-1, CHUNKS, WIDTH)
+    out = np.empty((len(sigs), CHUNKS, WIDTH), dtype=np.uint64)
+    for gone in range(WIDTH):
+        key = np.zeros((len(sigs), CHUNKS), dtype=np.uint64)
+        for j in (j for j in range(WIDTH) if j != gone):
+            key = (key << np.uint64(16)) | sigs[:, :, j]
+        out[:, :, gone] = mixed(key ^ mixed(np.arange(CHUNKS, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(gone + 1)))
+    return out.reshape(-1, PLACES).view(np.int64)
+
+
 def _keys(batches):
-    """(key, node) for each chunk and each place of it left out."""
+    """(key, node) of each signature."""
     for batch in batches:
-        sigs = _signatures(batch.column("sig").to_pylist()).astype(np.uint64).reshape(-1, CHUNKS, WIDTH)
-        out = np.empty((len(sigs), CHUNKS, WIDTH), dtype=np.uint64)
-        for gone in range(WIDTH):
-            key = np.zeros((len(sigs), CHUNKS), dtype=np.uint64)
-            for j in (j for j in range(WIDTH) if j != gone):
-                key = (key << np.uint64(16)) | sigs[:, :, j]
-            out[:, :, gone] = mixed(key ^ mixed(np.arange(CHUNKS, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(gone + 1)))
+        keys = _all_keys(_signatures(batch.column("sig").to_pylist()))
         nodes = np.repeat(batch.column("node").to_numpy(), PLACES)
-        yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1).view(np.int64)), pa.array(nodes)], names=["key", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(nodes)], names=["key", "node"])
+
+
+def _first_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first key that the signatures x and y, row by row, have in common."""
+    off = (x != y).reshape(-1, CHUNKS, WIDTH)
+    chunk = (off.sum(axis=2) <= 1).argmax(axis=1)
+    row = np.arange(len(x))
+    return _all_keys(x)[row, chunk * WIDTH + off[row, chunk].argmax(axis=1)]
 
 
 def _near(batches):
@@ -152,60 +170,105 @@ def _similar(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c["a"].to_numpy()[keep]), pa.array(c["b"].to_numpy()[keep])], names=["a", "b"])
 
 
-def _across(most: int | None):
-    """Closest pairs between components, of rows sorted by (key, i, j): targets of block i, queries of block j."""
+def _across(closest: int | None):
+    """Pairs (a, b) of rows sorted by (key, i, j): targets of block i, queries of block j, of different components.
+
+    A pair counts only under the first key that it has. With ``closest``, these are a query's closest documents in
+    each component; without, they are components.
+    """
 
     def one(c: dict[str, np.ndarray], found: list) -> None:
         query = c["query"]
         if not query.any() or query.all():
             return
         q, t = np.flatnonzero(query), np.flatnonzero(~query)
-        far = (c["sig"][q][:, None, :] != c["sig"][t][None, :, :]).sum(axis=2)
+        far = np.zeros((len(q), len(t)), dtype=np.uint8)
+        for k in range(PLACES):
+            far += c["sig"][q, k][:, None] != c["sig"][t, k]
         small, large = np.minimum(c["n"][q][:, None], c["n"][t]), np.maximum(c["n"][q][:, None], c["n"][t])
         x, y = np.nonzero((far <= FAR) & (c["component"][q][:, None] != c["component"][t]) & (100 * small >= SIMILAR * large))
-        if not len(x):
+        far = far[x, y]
+        q, t = q[x], t[y]
+        first = _first_key(c["sig"][q], c["sig"][t]) == c["key"][0]
+        q, t, far = q[first], t[first], far[first]
+        if not len(q):
             return
-        q, t, far = q[x], t[y], far[x, y]
-        if most is not None:
+        if closest is None:
+            a, b = c["component"][q], c["component"][t]
+        else:
             component = c["component"][t]
             order = np.lexsort((far, component, q))
             q, t, component = q[order], t[order], component[order]
             new = np.ones(len(q), dtype=bool)
             new[1:] = (q[1:] != q[:-1]) | (component[1:] != component[:-1])
             at = np.arange(len(q))
-            rank = at - np.maximum.accumulate(np.where(new, at, 0))
-            q, t = q[rank < most], t[rank < most]
-        a, b = c["node"][q], c["node"][t]
-        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            near = at - np.maximum.accumulate(np.where(new, at, 0)) < closest
+            a, b = c["node"][q[near]], c["node"][t[near]]
+        found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+
+    def pairs(found):
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return _by_group(("key", "i", "j"), one, pairs)
+
+
+def _by_group(keys: tuple[str, ...], one, out):
+    """Function for ``mapInArrow`` over sorted rows: ``one(columns, found)`` for each group, ``out(found)`` for what it found."""
+
+    def column(name, values):
+        return _signatures(values.to_pylist()) if name == "sig" else values.to_numpy(zero_copy_only=False)
 
     def run(batches):
-        rest: dict[str, np.ndarray] | None = None
+        rest: dict[str, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-            c = {name: _signatures(v.to_pylist()) if name == "sig" else v.to_numpy(zero_copy_only=False) for name, v in c.items()}
-            if rest is not None:
-                c = {name: np.concatenate([rest[name], c[name]]) for name in c}
-            new = np.flatnonzero((np.diff(c["key"]) != 0) | (np.diff(c["i"]) != 0) | (np.diff(c["j"]) != 0)) + 1
-            cuts, found = [0, *new.tolist()], []
+            c = {name: column(name, batch.column(k)) for k, name in enumerate(batch.schema.names)}
+            c = {name: np.concatenate([rest[name], v]) if rest else v for name, v in c.items()}
+            new = np.zeros(len(c[keys[0]]) - 1, dtype=bool)
+            for k in keys:
+                new |= np.diff(c[k]) != 0
+            cuts, found = [0, *(np.flatnonzero(new) + 1).tolist()], []
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 one({name: v[lo:hi] for name, v in c.items()}, found)
             rest = {name: v[cuts[-1] :] for name, v in c.items()}
             if found:
-                yield pairs(found)
-        if rest is not None:
+                yield out(found)
+        if rest:
             one(rest, found := [])
             if found:
-                yield pairs(found)
-
-    def pairs(found):
-        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield out(found)
 
     return run
 
 
+def _linked(c: dict[str, np.ndarray], found: list) -> None:
+    """Of one block of a component and the documents that pass it: a link for each that has one."""
+    targets, queries = np.flatnonzero(~c["query"]), np.flatnonzero(c["query"])
+    if not len(targets) or not len(queries):
+        return
+    sets = [np.frombuffer(c["set"][t], dtype="<u8") for t in targets]
+    sizes = np.array([len(s) for s in sets])
+    values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    for q in queries:
+        own = np.frombuffer(c["set"][q], dtype="<u8")
+        lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(owners[at], minlength=len(sets))
+        hit = np.flatnonzero(100 * common >= SIMILAR * (sizes + len(own) - common))
+        if len(hit):
+            found.append((c["node"][q], c["node"][targets[hit[0]]]))
+
+
+def _link_rows(found: list):
+    a, b = np.array(found, dtype=np.int64).T
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row."""
     scratch = Scratch(df.sparkSession, "minhash")
@@ -228,19 +291,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     close = star.join(ends("a"), "a").join(ends("b"), "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(_near, "a long, b long")
     close = scratch.write(close, "close-0")
     edges = scratch.write(_checked(scratch, docs, close, 0), "edges-0")
-    tested, linked = close, edges
-    labels = connected_components(linked, scratch, "cc-0")
-    for k, most in enumerate(ROUNDS, 1):
-        close = scratch.write(_left(scratch, shared, centre, labels, named, most, k).join(tested, ["a", "b"], "left_anti"), f"close-{k}")
-        if close.isEmpty():
-            if most is None or k == 1:
-                break
-            continue
-        edges = scratch.write(_checked(scratch, docs, close, k), f"edges-{k}")
-        tested = tested.union(close)
-        if not edges.isEmpty():
-            linked = linked.union(edges)
-            labels = connected_components(linked, scratch, f"cc-{k}")
+    labels = connected_components(edges, scratch, "cc-0")
+    met = _meeting(scratch, shared, centre, labels, named, 1)
+    closest = met.mapInArrow(_across(CLOSEST), "a long, b long").distinct().join(close, ["a", "b"], "left_anti")
+    closest = scratch.write(closest, "close-1")
+    if not closest.isEmpty():
+        edges = scratch.write(edges.union(_checked(scratch, docs, closest, 1)), "edges-1")
+        labels = connected_components(edges, scratch, "cc-1")
+        met = _meeting(scratch, shared, centre, labels, named, 2)
+        apart = scratch.write(met.mapInArrow(_across(None), "a long, b long").distinct(), "apart")
+        if not apart.isEmpty():
+            edges = scratch.write(edges.union(_searched(scratch, docs, apart, labels, named)), "edges-2")
+            labels = connected_components(edges, scratch, "cc-2")
     classes = nodes.select("digest", "node").join(labels, "node", "left")
     classes = scratch.write(classes.select("digest", F.coalesce("component", "node").alias("component")), "classes")
     out = base.select("doc_id", "n", "digest").join(classes, "digest", "left")
@@ -250,23 +312,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def _checked(scratch: Scratch, docs: DataFrame, close: DataFrame, k: int) -> DataFrame:
-    """The pairs of ``close`` (a written table) that are similar by their full sets, which are made anew for the texts in question."""
-    asked = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    asked = broadcast_if_small(scratch, scratch.write(asked, f"asked-{k}"), f"asked-{k}", BROADCAST_BYTES)
+def _sets(scratch: Scratch, docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(node, set) of the documents in ``asked`` (doc_id), made anew from their texts."""
+    asked = broadcast_if_small(scratch, scratch.write(asked.distinct(), f"asked-{k}"), f"asked-{k}", BROADCAST_BYTES)
 
     def start():
         hashes = WordHashes()
         return lambda c: {"node": c["doc_id"], "set": [shingles(t, hashes).astype("<u8").tobytes() for t in c["text"]]}
 
     kind = T.StructType([T.StructField("node", T.LongType()), T.StructField("set", T.BinaryType())])
-    sets = scratch.write(map_rows(docs.join(asked, "doc_id", "left_semi"), start, kind), f"sets-{k}")
+    return scratch.write(map_rows(docs.join(asked, "doc_id", "left_semi"), start, kind), f"sets-{k}")
+
+
+def _checked(scratch: Scratch, docs: DataFrame, close: DataFrame, k: int) -> DataFrame:
+    """The pairs of ``close`` (a written table) that are similar by their full sets."""
+    sets = _sets(scratch, docs, close.select(F.explode(F.array("a", "b")).alias("doc_id")), k)
     of = lambda s: sets.select(F.col("node").alias(s), F.col("set").alias(f"set_{s}"))
     return close.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long")
 
 
-def _left(scratch: Scratch, shared: DataFrame, centre: DataFrame, labels: DataFrame, named: DataFrame, most: int | None, k: int) -> DataFrame:
-    """Different pairs (a, b) between components that meet under a key and are close, of those that no pair so far has joined."""
+def _meeting(scratch: Scratch, shared: DataFrame, centre: DataFrame, labels: DataFrame, named: DataFrame, k: int) -> DataFrame:
+    """Members of the keys that have more than one component, dealt to blocks: sorted (key, i, j, query, node, component, n, sig)."""
     members = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     main = centre.join(labels, F.col("centre") == F.col("node"), "left").select("key", F.coalesce("component", "centre").alias("main"))
     members = members.join(main, "key").withColumn("out", F.col("component") != F.col("main"))
@@ -276,7 +342,27 @@ def _left(scratch: Scratch, shared: DataFrame, centre: DataFrame, labels: DataFr
     at = lambda of: F.pmod(F.xxhash64("node"), F.ceil(F.col(of) / BLOCK)).cast("int")
     parts = lambda of: F.sequence(F.lit(0), F.ceil(F.col(of) / BLOCK).cast("int") - 1)
     rows = members.join(open_keys, "key").join(named.select("node", "n", "sig"), "node")
-    targets = rows.select("key", at("all").alias("i"), F.explode(parts("outside")).alias("j"), "node", "component", "n", "sig", F.lit(False).alias("query"))
-    queries = rows.where("out").select("key", F.explode(parts("all")).alias("i"), at("outside").alias("j"), "node", "component", "n", "sig", F.lit(True).alias("query"))
-    dealt = targets.unionByName(queries).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_across(most), "a long, b long").distinct()
+    targets = rows.select("key", at("all").alias("i"), F.explode(parts("outside")).alias("j"), F.lit(False).alias("query"), "node", "component", "n", "sig")
+    queries = rows.where("out").select("key", F.explode(parts("all")).alias("i"), at("outside").alias("j"), F.lit(True).alias("query"), "node", "component", "n", "sig")
+    return targets.unionByName(queries).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _searched(scratch: Scratch, docs: DataFrame, apart: DataFrame, labels: DataFrame, named: DataFrame) -> DataFrame:
+    """Links (a, b) between the components (a, b) of ``apart``: at least one for each pair of them that has any."""
+    placed = named.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    asked = apart.select(F.explode(F.array("a", "b")).alias("component")).distinct()
+    placed = scratch.write(placed.join(asked, "component", "left_semi"), "placed")
+    sizes = scratch.write(placed.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    of = lambda s: sizes.select(F.col("component").alias(s), F.col("size").alias(f"size_{s}"))
+    sized = apart.join(of("a"), "a").join(of("b"), "b")
+    swap = F.col("size_a") > F.col("size_b")
+    sized = sized.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("small"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("large"), F.greatest("size_a", "size_b").alias("size"))
+    sized = scratch.write(sized, "sized")
+    blocks = F.ceil(F.col("size") / LISTED).cast("int")
+    large = scratch.write(sized.groupBy("large").agg(F.max("size").alias("size")), "large")
+    sets = _sets(scratch, docs, placed.select(F.col("node").alias("doc_id")), 2)
+    targets = placed.join(large, F.col("component") == F.col("large")).select("large", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("i"), F.lit(False).alias("query"), "node")
+    queries = placed.join(sized, F.col("component") == F.col("small")).select("large", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), F.lit(True).alias("query"), "node")
+    rows = scratch.write(targets.unionByName(queries), "to-search")
+    dealt = rows.join(sets, "node").select("large", "i", "query", "node", "set").repartition("large", "i").sortWithinPartitions("large", "i")
+    return dealt.mapInArrow(_by_group(("large", "i"), _linked, _link_rows), "a long, b long")
