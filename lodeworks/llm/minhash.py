@@ -137,12 +137,21 @@ def _keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(nodes)], names=["key", "node"])
 
 
-def _first_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The first key that the signatures x and y, row by row, have in common."""
-    off = (x != y).reshape(-1, CHUNKS, WIDTH)
-    chunk = (off.sum(axis=2) <= 1).argmax(axis=1)
-    row = np.arange(len(x))
-    return _all_keys(x)[row, chunk * WIDTH + off[row, chunk].argmax(axis=1)]
+def _has_first(sigs: np.ndarray, q: np.ndarray, t: np.ndarray, key: int) -> np.ndarray:
+    """For rows q and t of the signatures, pair by pair, whether ``key`` is the first one they have in common."""
+    out = np.zeros(len(q), dtype=bool)
+    for at in range(0, len(q), 4096):  # a bounded number of pairs at once
+        x, y = sigs[q[at : at + 4096]].reshape(-1, CHUNKS, WIDTH), sigs[t[at : at + 4096]].reshape(-1, CHUNKS, WIDTH)
+        off = x != y
+        chunk = (off.sum(axis=2) <= 1).argmax(axis=1)
+        row = np.arange(len(x))
+        gone = off[row, chunk].argmax(axis=1)
+        own, value = x[row, chunk].astype(np.uint64), np.zeros(len(x), dtype=np.uint64)
+        for j in range(WIDTH):
+            value = np.where(gone == j, value, (value << np.uint64(16)) | own[:, j])
+        value = mixed(value ^ mixed((chunk * WIDTH + gone + 1).astype(np.uint64)))
+        out[at : at + 4096] = value.view(np.int64) == key
+    return out
 
 
 def _near(batches):
@@ -189,7 +198,7 @@ def _across(closest: int | None):
         x, y = np.nonzero((far <= FAR) & (c["component"][q][:, None] != c["component"][t]) & (100 * small >= SIMILAR * large))
         far = far[x, y]
         q, t = q[x], t[y]
-        first = _first_key(c["sig"][q], c["sig"][t]) == c["key"][0]
+        first = _has_first(c["sig"], q, t, c["key"][0])
         q, t, far = q[first], t[first], far[first]
         if not len(q):
             return
