@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import combinations
+from math import comb
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.plans.stages import Scratch, broadcast_if_small
+from lodeworks.plans.stages import Scratch
 
-#: Largest table of candidate itemsets, in bytes, that is sent to all executors; a larger one is joined by shuffle.
+#: Largest table of candidate itemsets, in bytes, that every task holds; a larger one is joined by shuffle.
 BROADCAST_BYTES = 4 << 20
 
 
@@ -57,6 +59,22 @@ def frequent_of_size(found: DataFrame, size: int, support: int) -> DataFrame:
     return level
 
 
+def contained(part: list[frozenset], candidates: list[tuple]) -> Counter:
+    """Baskets that hold each of the candidates, sorted tuples of one size: by the basket's own subsets, or by trying the candidates, whichever are fewer."""
+    hits: Counter = Counter()
+    if not candidates:
+        return hits
+    known, size = set(candidates), len(candidates[0])
+    useful = {x for c in candidates for x in c}
+    for b in part:
+        own = sorted(b & useful)
+        if comb(len(own), size) <= len(known):
+            hits.update(known.intersection(combinations(own, size)))
+        else:
+            hits.update(c for c in candidates if b.issuperset(c))
+    return hits
+
+
 def local_frequent(part: list[frozenset], threshold: float) -> list[tuple]:
     """All itemsets in at least ``threshold`` of the baskets of a part, level by level over sorted tuples."""
     count = Counter(x for b in part for x in b)
@@ -69,7 +87,7 @@ def local_frequent(part: list[frozenset], threshold: float) -> list[tuple]:
         candidates = [p + (a, b) for p, tails in by_prefix.items() for k, a in enumerate(tails) for b in tails[k + 1 :]]
         known = set(level)
         candidates = [c for c in candidates if all(c[:k] + c[k + 1 :] in known for k in range(len(c) - 2))]
-        hits = Counter(c for b in part for c in candidates if b.issuperset(c))
+        hits = contained(part, candidates)
         level = sorted(c for c in candidates if hits[c] >= threshold)
         out += level
     return out
@@ -95,17 +113,39 @@ def local_candidates(found: DataFrame, support: int, rows: int = 20_000) -> Data
     return items.mapInArrow(run, items.schema).distinct()
 
 
-def son(found: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
-    """(candidates, frequent): candidates of the parts, and those that are frequent by an exact recount over all baskets.
+def recount(found: DataFrame, candidates: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(items, n): baskets that hold each of the candidates (a written table), exactly.
 
-    Candidates meet baskets through their first item, so that a basket is tested only against those it may hold.
+    Tasks count against all candidates where these are within ``BROADCAST_BYTES``; else candidates meet baskets
+    through their first item.
     """
+    items = found.select("items")
+    if scratch.bytes_of(name) <= BROADCAST_BYTES:
+        by_size: dict[int, list] = {}
+        for r in candidates.collect():  # BROADCAST_BYTES at most
+            by_size.setdefault(len(r["items"]), []).append(tuple(r["items"]))
+        sent = found.sparkSession.sparkContext.broadcast(by_size)
+
+        def run(batches):
+            for batch in batches:
+                part = [frozenset(x) for x in batch.column(0).to_pylist()]
+                hits: Counter = Counter()
+                for same_size in sent.value.values():
+                    hits += contained(part, same_size)
+                if hits:
+                    sets = pa.array([list(c) for c in hits], batch.schema.field(0).type)
+                    yield pa.RecordBatch.from_arrays([sets, pa.array(list(hits.values()), pa.int64())], names=["items", "n"])
+
+        kind = items.schema["items"].dataType.simpleString()
+        return items.mapInArrow(run, f"items {kind}, n long").groupBy("items").agg(F.sum("n").alias("n"))
+    keyed = candidates.select(F.element_at("items", 1).alias("item"), F.col("items").alias("candidate"))
+    met = items.select("items", F.explode("items").alias("item")).join(keyed, "item").where(F.size(F.array_except("candidate", "items")) == 0)
+    return met.groupBy(F.col("candidate").alias("items")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def son(found: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
+    """(candidates, frequent): candidates of the parts, and those that are frequent by an exact recount over all baskets."""
     scratch = Scratch(found.sparkSession, "son")
     found = scratch.write(found.select("items"), "baskets")
     candidates = scratch.write(local_candidates(found, support), "candidates")
-    keyed = candidates.select(F.element_at("items", 1).alias("item"), F.col("items").alias("candidate"))
-    rows = found.select("items", F.explode("items").alias("item"))
-    met = rows.join(broadcast_if_small(scratch, keyed, "candidates", BROADCAST_BYTES), "item")
-    met = met.where(F.size(F.array_except("candidate", "items")) == 0)
-    frequent = met.groupBy("candidate").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
-    return candidates, frequent.select(F.col("candidate").alias("items"), "n")
+    return candidates, recount(found, candidates, scratch, "candidates").where(F.col("n") >= support)

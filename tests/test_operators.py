@@ -39,6 +39,12 @@ def test_local_frequent_is_exact():
         assert set(itemsets.local_frequent(baskets, support)) == set(brute_itemsets(baskets, support))
 
 
+def test_joined_recount_is_the_same(spark, monkeypatch):
+    monkeypatch.setattr(itemsets, "BROADCAST_BYTES", -1)
+    df = spark.createDataFrame([(b,) for b in BASKETS], "items array<string>")
+    assert as_dict(itemsets.son(df, 2)[1]) == brute_itemsets(BASKETS, 2)
+
+
 def test_no_baskets(spark):
     df = spark.createDataFrame([], "items array<string>")
     assert itemsets.frequent_itemsets(df, 2).count() == 0
