@@ -335,7 +335,7 @@ def _sets(scratch: Scratch, docs: DataFrame, asked: DataFrame, k: int) -> DataFr
 
 def _checked(scratch: Scratch, docs: DataFrame, close: DataFrame, k: int) -> DataFrame:
     """The pairs of ``close`` (a written table) that are similar by their full sets."""
-    sets = _sets(scratch, docs, close.select(F.explode(F.array("a", "b")).alias("doc_id")), k)
+    sets = _sets(scratch, docs, close.select(F.col("a").alias("doc_id")).distinct().union(close.select(F.col("b").alias("doc_id")).distinct()), k)
     of = lambda s: sets.select(F.col("node").alias(s), F.col("set").alias(f"set_{s}"))
     return close.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long")
 
@@ -359,7 +359,7 @@ def _meeting(scratch: Scratch, shared: DataFrame, centre: DataFrame, labels: Dat
 def _searched(scratch: Scratch, docs: DataFrame, apart: DataFrame, labels: DataFrame, named: DataFrame) -> DataFrame:
     """Links (a, b) between the components (a, b) of ``apart``: at least one for each pair of them that has any."""
     placed = named.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    asked = apart.select(F.explode(F.array("a", "b")).alias("component")).distinct()
+    asked = apart.select(F.col("a").alias("component")).distinct().union(apart.select(F.col("b").alias("component")).distinct()).distinct()
     placed = scratch.write(placed.join(asked, "component", "left_semi"), "placed")
     sizes = scratch.write(placed.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
     of = lambda s: sizes.select(F.col("component").alias(s), F.col("size").alias(f"size_{s}"))
