@@ -1,76 +1,18 @@
-"""Helpers that the operators of this subpackage share.
-
-Intermediate tables are written as Parquet below ``spark.checkpoint.dir``, the
-folder that all executors and the driver see, so that a lost executor costs the
-tasks it ran and not the lineage behind a table.
-"""
+"""Helpers that the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_FALLBACK: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where none is set (tests, local mode)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not _FALLBACK:
-        _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="lodeworks-"))
-    return _FALLBACK[0]
-
-
-class Scratch:
-    """Written intermediate tables of one run of an operator.
-
-    They are removed by :meth:`drop`, and whatever is left when the driver ends.
-    """
+from lodeworks.plans.stages import Scratch, broadcast_if_small
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/lodeworks/{label}-{uuid.uuid4().hex}"
-        atexit.register(self._remove, self.root)
-
-    def _remove(self, path: str) -> None:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-            target.getFileSystem(conf).delete(target, True)
-        except Exception:  # the session has ended before the interpreter
-            return
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Run ``df`` once and return it as read back from its table."""
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self._remove(f"{self.root}/{name}")
-
-    def bytes_of(self, name: str) -> int:
-        """Bytes on disk of a written table."""
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return fs.getContentSummary(target).getLength()
-
-
-def broadcast_if_small(scratch: Scratch, df: DataFrame, name: str, limit: int) -> DataFrame:
-    """Mark a written table for broadcast if its files are within ``limit`` bytes; else leave it to a shuffled join."""
-    return F.broadcast(df) if scratch.bytes_of(name) <= limit else df
+__all__ = ["Scratch", "arrow_schema", "broadcast_if_small", "by_range", "gathered", "id_and_text", "map_rows", "within"]
 
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

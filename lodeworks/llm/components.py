@@ -1,39 +1,13 @@
-"""Connected components by contraction, for graphs of any size."""
+"""Connected components of pairs (a, b)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import Scratch
+from lodeworks.operators import graph
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """(node, component) of each node of ``edges`` (a, b: long); component: smallest node reachable.
-
-    In each round every node moves to the smallest of itself and its neighbours,
-    and edges follow their ends; edges inside a node vanish. The number of nodes
-    with edges at least halves in a round. Counts and minima are combined in each
-    task first, so that a node with many edges is no hot key, and each round is
-    written, so that its plan stays small.
-    """
-    pair = lambda df, a, b: df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-    rest = scratch.write(pair(edges, "a", "b"), f"{label}-edges-0")
-    moves, k = [], 0
-    while True:
-        both = rest.select("a", "b").union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        moved = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
-        moves.append(moved := scratch.write(moved, f"{label}-moves-{k}"))
-        first = rest.join(moved.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a")
-        ends = first.join(moved.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
-        rest = scratch.write(pair(ends, "ta", "tb"), f"{label}-edges-{k + 1}")
-        scratch.drop(f"{label}-edges-{k}")
-        k += 1
-        if rest.isEmpty():
-            break
-    out = moves[0].select("node", F.col("to").alias("component"))
-    for k, moved in enumerate(moves[1:], 1):
-        step = moved.select(F.col("node").alias("component"), "to")
-        out = out.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        out = scratch.write(out, f"{label}-out-{k}")
-    return out
+def connected_components(pairs: DataFrame) -> DataFrame:
+    """(node, component) of each node of ``pairs`` (a, b: long); component: smallest node reachable."""
+    return graph.connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))

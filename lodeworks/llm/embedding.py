@@ -234,7 +234,7 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, recall: float = TARGET_R
     met = own.unionByName(visits).repartition("cell", "block").sortWithinPartitions("cell", "block", "query")
     met = scratch.write(met.mapInArrow(_links(width, dtype, cosine), "node long, links long, to long"), "met")
     counts = met.groupBy("node").agg(F.sum("links").alias("links"))
-    parts = None if met.isEmpty() else connected_components(met.select(F.col("node").alias("a"), F.col("to").alias("b")), scratch, "cc")
+    parts = None if met.isEmpty() else connected_components(met.select(F.col("node").alias("a"), F.col("to").alias("b")))
     classes = right.join(counts, "node", "left")
     classes = classes.join(parts, "node", "left") if parts is not None else classes.withColumn("component", F.lit(None).cast("long"))
     classes = classes.select("vector", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "node").alias("component"))

@@ -300,18 +300,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     close = star.join(ends("a"), "a").join(ends("b"), "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(_near, "a long, b long")
     close = scratch.write(close, "close-0")
     edges = scratch.write(_checked(scratch, docs, close, 0), "edges-0")
-    labels = connected_components(edges, scratch, "cc-0")
+    labels = connected_components(edges)
     met = _meeting(scratch, shared, centre, labels, named, 1)
     closest = met.mapInArrow(_across(CLOSEST), "a long, b long").distinct().join(close, ["a", "b"], "left_anti")
     closest = scratch.write(closest, "close-1")
     if not closest.isEmpty():
         edges = scratch.write(edges.union(_checked(scratch, docs, closest, 1)), "edges-1")
-        labels = connected_components(edges, scratch, "cc-1")
+        labels = connected_components(edges)
         met = _meeting(scratch, shared, centre, labels, named, 2)
         apart = scratch.write(met.mapInArrow(_across(None), "a long, b long").distinct(), "apart")
         if not apart.isEmpty():
             edges = scratch.write(edges.union(_searched(scratch, docs, apart, labels, named)), "edges-2")
-            labels = connected_components(edges, scratch, "cc-2")
+            labels = connected_components(edges)
     classes = nodes.select("digest", "node").join(labels, "node", "left")
     classes = scratch.write(classes.select("digest", F.coalesce("component", "node").alias("component")), "classes")
     out = base.select("doc_id", "n", "digest").join(classes, "digest", "left")
