@@ -81,6 +81,12 @@ def top10_items(spark, d):
     return counts.top_k(roles.reviews(spark, d), "item")
 
 
+@query(f"WITH {REVIEWS} SELECT item, count(*) AS n FROM reviews GROUP BY item ORDER BY n DESC, item LIMIT 10")
+def top10_items_partitioned(spark, d):
+    """The same with a layout by key first (M3, M4): the count then needs no exchange of its own, but rows move instead of partial counts."""
+    return counts.top_k(roles.reviews(spark, d).select("item").repartition(8, "item"), "item")
+
+
 @query(f"WITH {REVIEWS} SELECT substr(CAST(date AS VARCHAR), 1, 4) AS year, count(*) AS n, count(DISTINCT usr) AS n_user FROM reviews GROUP BY 1")
 def reviews_by_year(spark, d):
     rows = roles.reviews(spark, d).withColumn("year", scalar.year_prefix(F.col("date")))
