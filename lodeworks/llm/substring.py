@@ -34,7 +34,8 @@ from pyspark.sql import types as T
 from lodeworks.llm.common import Scratch, broadcast_if_small, by_range, id_and_text, map_rows
 
 #: Bytes on either side among which a border has the smallest hash, largest bytes of a chunk, and bytes that a run has at least to be cut out.
-AROUND, MOST, LEAST = 15, 512, 80
+#: A passage of 50 words has some 300 bytes, of which 120 and more lie between borders that do not depend on what is around it.
+AROUND, MOST, LEAST = 15, 64, 120
 #: Digests that a range is made for.
 RANGE_DIGESTS = 1 << 18
 #: Suspected digests that are sent to all executors at most, 4 bytes each, and largest other tables, in bytes.
