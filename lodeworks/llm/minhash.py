@@ -17,9 +17,10 @@ key are needed:
 2. Keys whose members are in different components are left. Their members outside
    the centre's component are compared with all members, in blocks of a bounded
    size, and the closest pairs between two components are checked on the full sets.
-3. Of the components that still meet, each pair is searched for a link on the full
-   sets: the members of the smaller one pass blocks of the larger one's inverted
-   lists. What is sent grows with the members, not with their pairs.
+3. Components that still meet, directly or through others, form a cluster. In it all
+   documents but those of its largest component pass blocks of the inverted lists of
+   all its documents, on the full sets. What is sent grows with the documents outside
+   the largest component times the cluster's blocks, not with pairs.
 
 Edge cases: a null or empty text has an empty set and links with nothing; texts of
 fewer than five words have one shingle; rows with a null id belong to the class of
@@ -49,9 +50,9 @@ FAR = 25
 SIMILAR = 75
 #: Members of a key that are compared in one piece.
 BLOCK = 512
-#: Closest partners of a document in another component that are checked before whole components are searched.
+#: Closest partners of a document, outside its component, that are checked before whole clusters are searched.
 CLOSEST = 4
-#: Members of a component whose inverted lists are held at once.
+#: Documents of a cluster whose inverted lists are held at once.
 LISTED = 256
 BROADCAST_BYTES = 8 << 20
 _KEPT_WORDS = 1 << 18
@@ -182,8 +183,8 @@ def _similar(batches):
 def _across(closest: int | None):
     """Pairs (a, b) of rows sorted by (key, i, j): targets of block i, queries of block j, of different components.
 
-    A pair counts only under the first key that it has. With ``closest``, these are a query's closest documents in
-    each component; without, they are components.
+    With ``closest``, these are a query's closest documents of other components; without, components, as many pairs
+    of them as it takes to join those that are close. A pair of documents then counts only under its first key.
     """
 
     def one(c: dict[str, np.ndarray], found: list) -> None:
@@ -196,24 +197,21 @@ def _across(closest: int | None):
             far += c["sig"][q, k][:, None] != c["sig"][t, k]
         small, large = np.minimum(c["n"][q][:, None], c["n"][t]), np.maximum(c["n"][q][:, None], c["n"][t])
         x, y = np.nonzero((far <= FAR) & (c["component"][q][:, None] != c["component"][t]) & (100 * small >= SIMILAR * large))
-        far = far[x, y]
-        q, t = q[x], t[y]
-        first = _has_first(c["sig"], q, t, c["key"][0])
-        q, t, far = q[first], t[first], far[first]
-        if not len(q):
-            return
         if closest is None:
-            a, b = c["component"][q], c["component"][t]
+            q, t = q[x], t[y]
+            first = _has_first(c["sig"], q, t, c["key"][0])
+            a, b = _forest(c["component"][q[first]], c["component"][t[first]])
         else:
-            component = c["component"][t]
-            order = np.lexsort((far, component, q))
-            q, t, component = q[order], t[order], component[order]
-            new = np.ones(len(q), dtype=bool)
-            new[1:] = (q[1:] != q[:-1]) | (component[1:] != component[:-1])
-            at = np.arange(len(q))
+            far = far[x, y]
+            order = np.lexsort((t[y], far, x))
+            x, y = x[order], y[order]
+            at = np.arange(len(x))
+            new = np.ones(len(x), dtype=bool)
+            new[1:] = x[1:] != x[:-1]
             near = at - np.maximum.accumulate(np.where(new, at, 0)) < closest
-            a, b = c["node"][q[near]], c["node"][t[near]]
-        found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+            a, b = c["node"][q[x[near]]], c["node"][t[y[near]]]
+        if len(a):
+            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
 
     def pairs(found):
         a, b = np.unique(np.concatenate(found, axis=1), axis=1)
@@ -222,6 +220,23 @@ def _across(closest: int | None):
     return _by_group(("key", "i", "j"), one, pairs)
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that join the same values as the pairs (a, b): each value with the smallest one it is joined with."""
+    values, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(values))
+    while True:
+        was = root.copy()
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        root = np.minimum(root, root[root])
+        if (root == was).all():
+            break
+    moved = root != np.arange(len(values))
+    return values[moved], values[root[moved]]
+
+
 def _by_group(keys: tuple[str, ...], one, out):
     """Function for ``mapInArrow`` over sorted rows: ``one(columns, found)`` for each group, ``out(found)`` for what it found."""
 
@@ -253,12 +268,12 @@ def _by_group(keys: tuple[str, ...], one, out):
 
 
 def _linked(c: dict[str, np.ndarray], found: list) -> None:
-    """Of one block of a component and the documents that pass it: a link for each that has one."""
+    """Of one block of a cluster and the documents that pass it: a link of each to every other component that it has one with."""
     targets, queries = np.flatnonzero(~c["query"]), np.flatnonzero(c["query"])
     if not len(targets) or not len(queries):
         return
     sets = [np.frombuffer(c["set"][t], dtype="<u8") for t in targets]
-    sizes = np.array([len(s) for s in sets])
+    sizes, component = np.array([len(s) for s in sets]), c["component"][targets]
     values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(values, kind="stable")
     values, owners = values[order], owners[order]
@@ -268,9 +283,8 @@ def _linked(c: dict[str, np.ndarray], found: list) -> None:
         n = hi - lo
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         common = np.bincount(owners[at], minlength=len(sets))
-        hit = np.flatnonzero(100 * common >= SIMILAR * (sizes + len(own) - common))
-        if len(hit):
-            found.append((c["node"][q], c["node"][targets[hit[0]]]))
+        hit = np.flatnonzero((100 * common >= SIMILAR * (sizes + len(own) - common)) & (component != c["component"][q]))
+        found += [(c["node"][q], c["node"][targets[hit[k]]]) for k in np.unique(component[hit], return_index=True)[1]]
 
 
 def _link_rows(found: list):
@@ -302,11 +316,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     edges = scratch.write(_checked(scratch, docs, close, 0), "edges-0")
     labels = connected_components(edges)
     met = _meeting(scratch, shared, centre, labels, named, 1)
-    closest = met.mapInArrow(_across(CLOSEST), "a long, b long").distinct().join(close, ["a", "b"], "left_anti")
-    closest = scratch.write(closest, "close-1")
+    closest = scratch.write(met.mapInArrow(_across(CLOSEST), "a long, b long").distinct(), "closest")
     if not closest.isEmpty():
-        edges = scratch.write(edges.union(_checked(scratch, docs, closest, 1)), "edges-1")
-        labels = connected_components(edges)
+        new = scratch.write(closest.join(close, ["a", "b"], "left_anti"), "close-1")
+        if not new.isEmpty():
+            edges = scratch.write(edges.union(_checked(scratch, docs, new, 1)), "edges-1")
+            labels = connected_components(edges)
         met = _meeting(scratch, shared, centre, labels, named, 2)
         apart = scratch.write(met.mapInArrow(_across(None), "a long, b long").distinct(), "apart")
         if not apart.isEmpty():
@@ -357,21 +372,19 @@ def _meeting(scratch: Scratch, shared: DataFrame, centre: DataFrame, labels: Dat
 
 
 def _searched(scratch: Scratch, docs: DataFrame, apart: DataFrame, labels: DataFrame, named: DataFrame) -> DataFrame:
-    """Links (a, b) between the components (a, b) of ``apart``: at least one for each pair of them that has any."""
+    """Links (a, b) between the components that ``apart`` (a, b) joins to clusters: at least one for each two of them that have any."""
+    clusters = connected_components(apart).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
     placed = named.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    asked = apart.select(F.col("a").alias("component")).distinct().union(apart.select(F.col("b").alias("component")).distinct()).distinct()
-    placed = scratch.write(placed.join(asked, "component", "left_semi"), "placed")
-    sizes = scratch.write(placed.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    of = lambda s: sizes.select(F.col("component").alias(s), F.col("size").alias(f"size_{s}"))
-    sized = apart.join(of("a"), "a").join(of("b"), "b")
-    swap = F.col("size_a") > F.col("size_b")
-    sized = sized.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("small"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("large"), F.greatest("size_a", "size_b").alias("size"))
-    sized = scratch.write(sized, "sized")
-    blocks = F.ceil(F.col("size") / LISTED).cast("int")
-    large = scratch.write(sized.groupBy("large").agg(F.max("size").alias("size")), "large")
-    sets = _sets(scratch, docs, placed.select(F.col("node").alias("doc_id")), 2)
-    targets = placed.join(large, F.col("component") == F.col("large")).select("large", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("i"), F.lit(False).alias("query"), "node")
-    queries = placed.join(sized, F.col("component") == F.col("small")).select("large", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), F.lit(True).alias("query"), "node")
+    placed = scratch.write(placed.join(clusters, "component"), "placed")
+    sizes = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = F.max(F.struct("size", (-F.col("component")).alias("minus"))).alias("largest")
+    sizes = sizes.groupBy("cluster").agg(F.sum("size").alias("all"), largest)
+    sizes = scratch.write(sizes.select("cluster", F.ceil(F.col("all") / LISTED).cast("int").alias("blocks"), (-F.col("largest.minus")).alias("main")), "sizes")
+    sized = placed.join(sizes, "cluster")
+    columns = "cluster", "i", "query", "node", "component"
+    targets = sized.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("query", F.lit(False)).select(*columns)
+    queries = sized.where("component <> main").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(True)).select(*columns)
     rows = scratch.write(targets.unionByName(queries), "to-search")
-    dealt = rows.join(sets, "node").select("large", "i", "query", "node", "set").repartition("large", "i").sortWithinPartitions("large", "i")
-    return dealt.mapInArrow(_by_group(("large", "i"), _linked, _link_rows), "a long, b long")
+    sets = _sets(scratch, docs, placed.select(F.col("node").alias("doc_id")), 2)
+    dealt = rows.join(sets, "node").select(*columns, "set").repartition("cluster", "i").sortWithinPartitions("cluster", "i")
+    return dealt.mapInArrow(_by_group(("cluster", "i"), _linked, _link_rows), "a long, b long")
