@@ -34,6 +34,7 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
         seen = links.join(labels, links.dst == labels.node).groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
         best = F.min_by("label", F.struct(-F.col("n"), F.col("label")))
         labels = scratch.write(seen.groupBy(F.col("src").alias("node")).agg(best.alias("label")), f"round-{k}")
+        scratch.keep("links", f"round-{k}")
     return labels
 
 
@@ -64,11 +65,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         rest = scratch.write(_pairs(ends, "ta", "tb"), f"edges-{k + 1}")
         scratch.drop(f"edges-{k}")
         k += 1
-    out = moves[0].select("node", F.col("to").alias("component"))
+    out, name = moves[0].select("node", F.col("to").alias("component")), "moves-0"
     for k, moved in enumerate(moves[1:], 1):
         step = moved.select(F.col("node").alias("component"), "to")
         out = out.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        out = scratch.write(out, f"out-{k}")
+        out, name = scratch.write(out, f"out-{k}"), f"out-{k}"
+    scratch.keep(name)
     return out
 
 

@@ -35,6 +35,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/lodeworks/{label}-{uuid.uuid4().hex}"
+        self._written: list[str] = []
         atexit.register(self._remove, self.root)
 
     def _remove(self, path: str) -> None:
@@ -50,12 +51,18 @@ class Scratch:
         """Run ``df`` once and return it as read back from its table."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self._written.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
             self._remove(f"{self.root}/{name}")
 
+    def keep(self, *names: str) -> None:
+        """Remove all tables but those that the result still reads."""
+        self.drop(*(n for n in self._written if n not in names))
+        self._written = list(names)
+
     def bytes_of(self, name: str) -> int:
         """Bytes on disk of a written table."""
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
