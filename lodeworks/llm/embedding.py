@@ -239,6 +239,7 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, recall: float = TARGET_R
     classes = classes.join(parts, "node", "left") if parts is not None else classes.withColumn("component", F.lit(None).cast("long"))
     classes = classes.select("vector", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
     classes = scratch.write(classes, "classes")
+    scratch.keep("classes")
     key = F.when(sound & (F.size("vector") == width), F.col("vector"))
     out = rows.select("vec_id", key.alias("vector")).join(classes, "vector", "left")
     component = F.coalesce("component", "vec_id")

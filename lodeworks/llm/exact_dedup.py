@@ -94,6 +94,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     best = F.max(F.struct("points", (-F.col("doc_id")).alias("minus"))).alias("best")  # nulls are smallest, so null ids come last
     chosen = base.join(small, "fp", "left_semi").groupBy("digest").agg(best).join(verified, "digest")
     classes = scratch.write(chosen.where("group_size > 1").select("digest", (-F.col("best.minus")).alias("chosen_id"), "group_size"), "classes")
+    scratch.keep("base", "classes")
     out = base.join(broadcast_if_small(scratch, classes, "classes", BROADCAST_BYTES), "digest", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("chosen_id"))
     return out.select(

@@ -117,6 +117,7 @@ def drop_repeated_lines(
     repeated = scratch.write(repeated.where((F.col("n") >= min_documents) & F.col("owner").isNotNull()).select("key", "owner"), "repeated")
     lost = found.join(broadcast_if_small(scratch, repeated, "repeated", BROADCAST_TEXT_BYTES), "key").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
     lost = scratch.write(lost.groupBy("doc_id").agg(F.collect_set("key").alias("lost")), "lost")
+    scratch.keep("lost")
     lost = broadcast_if_small(scratch, lost, "lost", BROADCAST_TEXT_BYTES).withColumnRenamed("doc_id", "lost_by")
     joined = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_by")), "left")
     kept = F.filter(lines, lambda line: ~F.array_contains(F.col("lost"), line_key(line)))

@@ -329,6 +329,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             labels = connected_components(edges)
     classes = nodes.select("digest", "node").join(labels, "node", "left")
     classes = scratch.write(classes.select("digest", F.coalesce("component", "node").alias("component")), "classes")
+    scratch.keep("base", "classes")
     out = base.select("doc_id", "n", "digest").join(classes, "digest", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select(

@@ -226,6 +226,7 @@ def cut_repeated_passages(df: DataFrame, least: int = LEAST, id_col: str = "doc_
     lost = found.join(broadcast_if_small(scratch, first, "first", BROADCAST_BYTES), "digest").where("doc_id <> first")
     lost = lost.groupBy(F.col("doc_id").alias("lost_by")).agg(F.collect_list(F.struct("start", "end", "first")).alias("lost"))
     lost = scratch.write(lost, "lost")
+    scratch.keep("lost")
     whole = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
     joined = whole.join(lost, F.col("doc_id") == F.col("lost_by"), "left").drop("lost_by")
     schema = T.StructType([*CUT.fields, joined.schema["carried"]]) if carry else CUT
