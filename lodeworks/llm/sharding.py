@@ -5,8 +5,9 @@ hash of their text, and neighbours in that order are taken together into
 ``2**UNIT_BITS`` units, so that the driver sees a fixed number of sizes at any
 size of the corpus; a unit is the atom of the partition. The smallest capacity
 that ``shards`` contiguous shards can keep is found by binary search, each trial
-being checked greedily, and the cuts are those of the greedy pass at that
-capacity.
+being checked greedily. The cuts keep that capacity, and of all such cuts they
+leave the smallest shard as large as possible, found by binary search as well: the
+greedy pass alone would leave all slack to the last shard.
 
 A group larger than a shard's share gets a shard that is as large as it has to
 be; the others stay near equal. Slots are dealt without any window over a whole
@@ -47,7 +48,7 @@ def shards_needed(ends: np.ndarray, capacity: int, most: int) -> tuple[int, list
 
 
 def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
-    """Smallest feasible capacity and the cuts at it."""
+    """Smallest feasible capacity and cuts that keep it, the smallest shard being as large as it can be."""
     ends = np.cumsum(np.asarray(sizes, dtype=np.int64))
     if not len(ends) or not ends[-1]:
         return 0, []
@@ -58,7 +59,33 @@ def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
             high = middle
         else:
             low = middle + 1
-    return low, shards_needed(ends, low, shards)[1]
+    capacity, floor, ceiling = low, 0, int(ends[-1]) // shards
+    cuts = cuts_within(ends, 0, capacity, shards)
+    while floor < ceiling:
+        middle = (floor + ceiling + 1) // 2
+        found = cuts_within(ends, middle, capacity, shards)
+        if found is None:
+            ceiling = middle - 1
+        else:
+            floor, cuts = middle, found
+    return capacity, cuts
+
+
+def cuts_within(ends: np.ndarray, least: int, most: int, shards: int) -> list[int] | None:
+    """Cuts into exactly ``shards`` contiguous parts, of which each has ``least`` to ``most`` in all; none if there are none."""
+    sums = np.concatenate([[0], ends])
+    first, last = np.searchsorted(sums, sums - most, "left"), np.searchsorted(sums, sums - least, "right")
+    reached = [np.arange(len(sums)) == 0]
+    for _ in range(shards):  # positions at which the next part may end
+        before = np.concatenate([[0], np.cumsum(reached[-1])])
+        reached.append(before[last] > before[first])
+    if not reached[-1][-1]:
+        return None
+    cuts, at = [], len(sums) - 1
+    for was in reached[-2:0:-1]:
+        at = int(first[at] + np.flatnonzero(was[first[at] : last[at]])[-1])
+        cuts.append(at)
+    return cuts[::-1]
 
 
 def shard_by_bytes(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,3 +1,5 @@
+from itertools import combinations_with_replacement
+
 import numpy as np
 import pytest
 from helpers import documents, rows_of
@@ -26,8 +28,12 @@ def test_minimax(seed):
     shards = int(rng.integers(1, 6))
     capacity, cuts = sharding.minimax_cuts(sizes, shards)
     assert capacity == brute_minimax(sizes.tolist(), shards)
-    parts = np.split(sizes, cuts)
-    assert len(parts) <= shards and max(p.sum() for p in parts) <= capacity
+    parts = [p.sum() for p in np.split(sizes, cuts)]
+    assert sum(parts) == sizes.sum() and len(parts) <= shards and max(parts) <= capacity
+    if len(parts) == shards:
+        every = [np.diff([0, *c, len(sizes)]) for c in combinations_with_replacement(range(len(sizes) + 1), shards - 1)]
+        sums = [[p.sum() for p in np.split(sizes, np.cumsum(e)[:-1])] for e in every]
+        assert min(parts) == max(min(x) for x in sums if max(x) <= capacity)
 
 
 def test_shards(spark, small):
