@@ -15,8 +15,18 @@ from lodeworks.plans.stages import Scratch, broadcast_if_small
 __all__ = ["Scratch", "arrow_schema", "broadcast_if_small", "by_range", "gathered", "id_and_text", "map_rows", "within"]
 
 
+#: Rows of an Arrow batch of texts: a few MB, where the session's default makes it tens, on both sides of the pipe.
+TEXT_BATCH = 1000
+
+
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only (doc_id, text), so that no other column of the input can clash; a null text becomes the empty one."""
+    """Only (doc_id, text), so that no other column of the input can clash; a null text becomes the empty one.
+
+    Lowers the session's rows for each Arrow batch to ``TEXT_BATCH``, as texts are long.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= TEXT_BATCH:
+        conf.set(key, str(TEXT_BATCH))
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
