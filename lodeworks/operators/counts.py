@@ -72,6 +72,6 @@ def ordinals(df: DataFrame, key: str, name: str = "ordinal") -> DataFrame:
 
 
 def last_rating(df: DataFrame, user: str, item: str, rating: str, order: str | None = None) -> DataFrame:
-    """One rating for each (user, item): the latest where an order exists, else the largest."""
-    pick = F.max_by(rating, order) if order else F.max(rating)
+    """One rating for each (user, item): the latest where an order exists, of several at that time the largest, else the largest."""
+    pick = F.max_by(rating, F.struct(order, rating)) if order else F.max(rating)
     return df.groupBy(user, item).agg(pick.alias(rating))

@@ -137,6 +137,7 @@ def last_ratings(spark, d):
 
 @query(f'WITH {REVIEWS} SELECT usr AS "user", item, arg_max(rating, date) AS rating FROM reviews GROUP BY usr, item HAVING count(DISTINCT date) = count(*)')
 def latest_ratings(spark, d):
+    """As its SQL, without pairs that repeat any date; ``last_rating`` itself resolves these as well."""
     rows = roles.reviews(spark, d)
     clear = rows.groupBy("user", "item").agg(F.countDistinct("date").alias("k"), F.count(F.lit(1)).alias("n")).where("k = n")
     return counts.last_rating(rows.join(clear.select("user", "item"), ["user", "item"], "left_semi"), "user", "item", "rating", "date")

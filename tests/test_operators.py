@@ -166,3 +166,11 @@ def test_summaries_add_up():
     both = part(x[:8]).joined(part(x[8:]))
     assert np.allclose([both.n.sum(), *both.total.sum(axis=0)], [20, *x.sum(axis=0)])
     assert cluster.merge_near(both, 100).tolist() == [0, 0] and cluster.merge_near(both, 0).tolist() == [0, 1]
+
+
+def test_latest_of_equal_dates_is_the_largest(spark):
+    rows = [(1, 1, 2.0, "b"), (1, 1, 5.0, "b"), (1, 1, 4.0, "b"), (1, 1, 9.0, "a"), (1, 2, 1.0, "a"), (2, 1, 3.0, "a"), (2, 1, 1.0, "b")]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "user long, item long, rating double, date string").coalesce(1)
+        found = {(r["user"], r["item"]): r["rating"] for r in counts.last_rating(df, "user", "item", "rating", "date").collect()}
+        assert found == {(1, 1): 5.0, (1, 2): 1.0, (2, 1): 1.0}
