@@ -15,7 +15,15 @@ two documents share has the same chunks in both, but for its two ends.
    its chunks, the others may lose theirs; the ids are combined in each task first.
 3. Neighbouring lost chunks form runs. Runs of at least ``LEAST`` bytes are cut out
    of their document; shorter ones, common phrases, stay.
-
+4. Passages of few bytes or of a short period can have no such run. So each window
+   of ``LONG`` words also has a seed, the smallest hash of the ``GRAM`` words in a row
+   in it, which goes with the chunks' digests through 1 and 2. Windows with a lost
+   seed and no byte in a run are looked up by their own digest, and cut whole if a
+   smaller id has the window too. A window of ``LONG`` words that a smaller id has is
+   thus never kept whole. (Of a longer passage that has a run, what lies outside the
+   run, fewer than ``LONG`` words on a side, stays.)
+
+Words are divided by white space [\\x20\\x09-\\x0D], which itself does not count.
 Edge cases: a null or empty text has no chunks and stays empty; repetition inside
 one document is left alone; rows with a null id lose nothing and take nothing from
 others; rows with equal ids count as one document; a run that would cut a
@@ -27,17 +35,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeworks.llm.common import Scratch, broadcast_if_small, by_range, id_and_text, map_rows
+from lodeworks.llm.minhash import mixed
 
 #: Bytes on either side among which a border has the smallest hash, largest bytes of a chunk, and bytes that a run has at least to be cut out.
 #: A passage of 50 words has some 300 bytes, of which 120 and more lie between borders that do not depend on what is around it.
 AROUND, MOST, LEAST = 15, 64, 120
 #: Digests that a range is made for.
 RANGE_DIGESTS = 1 << 18
+#: Words of the shortest passage that is never kept whole, and words of which a seed is the hash; a power of two.
+LONG, GRAM = 51, 16
 #: Suspected digests that are sent to all executors at most, 4 bytes each, and largest other tables, in bytes.
 BROADCAST_DIGESTS = 8_000_000
 BROADCAST_BYTES = 4 << 20
@@ -45,6 +57,7 @@ _RNG = np.random.default_rng(3)
 _GEAR = _RNG.integers(0, 1 << 32, 256, dtype=np.uint32)
 _NONE = np.uint32(0xFFFFFFFF)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _POWER = np.cumprod(np.full(MOST, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
@@ -91,6 +104,54 @@ def chunks(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.append(start, len(data)), (value ^ (value >> np.uint64(32))).view(np.int64)
 
 
+def _joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + y
+
+
+def _seeds(data: bytes) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Seeds (int64) of all windows of ``LONG`` words, and the hashes of so many words in a row."""
+    words = data.split()
+    n = len(words) - LONG + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64), {}
+    of = {1: np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))}
+    for k in (1, 2, 4, 8):
+        of[2 * k] = _joined(of[k][:-k], of[k][k:])
+    low, k, grams = mixed(of[GRAM] ^ np.uint64(0x5851F42D4C957F2D)), 1, LONG - GRAM + 1
+    while 2 * k <= grams:
+        low, k = np.minimum(low[:-k], low[k:]), 2 * k
+    return np.minimum(low[:n], low[grams - k : grams - k + n]).view(np.int64), of
+
+
+def _places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all windows of ``LONG`` words."""
+    turn = np.flatnonzero(np.diff(_WHITE[np.frombuffer(data, dtype=np.uint8)], prepend=True, append=True))
+    return turn[::2][: 1 - LONG], turn[1::2][LONG - 1 :]
+
+
+def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds, digests (int64), starts and ends in bytes of all windows of ``LONG`` words."""
+    data = text.encode("utf-8", "replace")
+    seeds, of = _seeds(data)
+    n = len(seeds)
+    if not n:
+        return (seeds,) * 4
+    of[32] = _joined(of[16][:-16], of[16][16:])
+    whole, at = None, 0
+    for k in (32, 16, 8, 4, 2, 1):
+        if LONG & k:
+            whole = of[k][at : at + n] if whole is None else _joined(whole, of[k][at : at + n])
+            at += k
+    return seeds, mixed(whole).view(np.int64), *_places(data)
+
+
+def stretches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds that neighbouring windows have in common, and the first and the last of these windows."""
+    seeds = _seeds(data)[0]
+    first = np.flatnonzero(np.append(True, seeds[1:] != seeds[:-1])[: len(seeds)])
+    return seeds[first], first, np.append(first[1:], len(seeds))[: len(first)] - 1
+
+
 def _ranges(bits: int):
     kind = pa.schema([("range", pa.int32()), ("digests", pa.binary())])
 
@@ -104,7 +165,8 @@ def _ranges(bits: int):
         held, n = [], 0
         for batch in batches:
             for text in batch.column(0):
-                digests = chunks(text.as_py())[1]
+                text = text.as_py()
+                digests = np.concatenate([chunks(text)[1], np.unique(_seeds(text.encode("utf-8", "replace"))[0])])
                 held.append(digests)
                 n += len(digests)
                 if n >= 1 << 20:
@@ -125,8 +187,13 @@ def _tags(digests: np.ndarray) -> np.ndarray:
     return (digests.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
 
 
+def _known(tags: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    own = _tags(digests)
+    return tags[np.minimum(np.searchsorted(tags, own), len(tags) - 1)] == own if len(tags) else np.zeros(len(own), dtype=bool)
+
+
 def _rows(known):
-    """(digest, doc_id, start, end) of the chunks, of those only whose tag is known if tags are given."""
+    """(digest, doc_id, start, end, seed) of the chunks and of the seeds' stretches, of those only whose tag is known if tags are given."""
 
     def run(batches):
         tags = known and known.value
@@ -134,15 +201,24 @@ def _rows(known):
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    stops, digests = chunks(text.as_py())
+                    text = text.as_py()
+                    stops, digests = chunks(text)
+                    data = text.encode("utf-8", "replace")
+                    seeds, first, last = stretches(data)
                     starts, stops = stops[:-1], stops[1:]
-                    if tags is not None and len(digests):
-                        own = _tags(digests)
-                        hit = tags[np.minimum(np.searchsorted(tags, own), len(tags) - 1)] == own if len(tags) else np.zeros(len(own), dtype=bool)
+                    if tags is not None:
+                        hit = _known(tags, digests)
                         starts, stops, digests = starts[hit], stops[hit], digests[hit]
-                    out.append((digests, np.full(len(digests), doc_id), starts, stops))
-                columns = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["digest", "doc_id", "start", "end"])
+                        hit = _known(tags, seeds)
+                        seeds, first, last = seeds[hit], first[hit], last[hit]
+                    seed = np.arange(len(digests) + len(seeds)) >= len(digests)
+                    if len(seeds):
+                        opened, closed = _places(data)
+                        digests, starts, stops = np.append(digests, seeds), np.append(starts, opened[first]), np.append(stops, closed[last])
+                    out.append((digests, np.full(len(digests), doc_id), starts, stops, seed))
+                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+                columns = [pa.array(c.astype(np.int64)) for c in columns[:4]] + [pa.array(columns[4].astype(bool))]
+                yield pa.RecordBatch.from_arrays(columns, names=["digest", "doc_id", "start", "end", "seed"])
 
     return run
 
@@ -158,6 +234,60 @@ def runs(lost: list[tuple[int, int]], least: int = LEAST) -> list[tuple[int, int
     return [(a, b) for a, b in out if b - a >= least]
 
 
+def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that touch or overlap made one."""
+    return runs(spans, 0)
+
+
+def left_whole(lost: list[tuple[int, int]], seeds: list[tuple[int, int]], least: int = LEAST) -> list[tuple[int, int]]:
+    """Parts of the lost seeds' stretches without a byte of a run, where a window has room."""
+    cut = runs(lost, least)
+    gaps = list(zip([0, *(b for _, b in cut)], [*(a for a, _ in cut), 1 << 62], strict=True))
+    parts = [(max(a, x), min(b, y)) for a, b in seeds for x, y in gaps]
+    return [(a, b) for a, b in parts if b - a >= 2 * LONG - 1]
+
+
+def _doubtful(least: int):
+    def each(c):
+        found = [left_whole([(x["start"], x["end"]) for x in lost if not x["seed"]], [(x["start"], x["end"]) for x in lost if x["seed"]], least) for lost in c["lost"]]
+        kept = [k for k, parts in enumerate(found) if parts]
+        return {"doubted": [c["lost_by"][k] for k in kept], "parts": [[{"start": a, "end": b} for a, b in found[k]] for k in kept]}
+
+    return lambda: each
+
+
+def _candidates(c):
+    out = {"digest": [], "seed": [], "doc_id": [], "start": [], "end": []}
+    for doc_id, text, parts in zip(c["doc_id"], c["text"], c["parts"], strict=True):
+        seeds, digests, starts, stops = windows(text)
+        inside = np.zeros(len(seeds), dtype=bool)
+        for part in parts:
+            inside[np.searchsorted(starts, part["start"]) : np.searchsorted(stops, part["end"], "right")] = True
+        for name, values in zip(out, (digests, seeds, np.full(len(seeds), doc_id), starts, stops), strict=True):
+            out[name].extend(values[inside].tolist())
+    return out
+
+
+def _holders(known):
+    """(digest, doc_id) of the windows, of those only whose tag is known if tags are given."""
+
+    def start():
+        tags = known and known.value
+
+        def each(c):
+            out = {"digest": [], "doc_id": []}
+            for doc_id, text in zip(c["doc_id"], c["text"], strict=True):
+                digests = np.unique(windows(text)[1])
+                digests = digests if tags is None else digests[_known(tags, digests)]
+                out["digest"].extend(digests.tolist())
+                out["doc_id"].extend([doc_id] * len(digests))
+            return out
+
+        return each
+
+    return start
+
+
 def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
     """The text less the spans of its bytes, each shortened to whole characters, and the spans so shortened."""
     data = text.encode("utf-8", "replace")
@@ -184,16 +314,24 @@ CUT = T.StructType(
         T.StructField("source_ids", T.ArrayType(T.LongType())),
     ]
 )
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+DOUBTFUL = T.StructType([T.StructField("doubted", T.LongType()), T.StructField("parts", _SPANS)])
+CANDIDATE = T.StructType([T.StructField(n, T.LongType()) for n in ("digest", "seed", "doc_id", "start", "end")])
+HOLDER = T.StructType([T.StructField(n, T.LongType()) for n in ("digest", "doc_id")])
 
 
 def _cut(least: int, carried: bool):
     def each(c):
         out = {f.name: [] for f in CUT} | ({"carried": c["carried"]} if carried else {})
-        for doc_id, text, lost in zip(c["doc_id"], c["text"], c["lost"], strict=True):
-            spans = runs([(x["start"], x["end"]) for x in lost or []], least)
+        for doc_id, text, lost, more in zip(c["doc_id"], c["text"], c["lost"], c["more"], strict=True):
+            lost = [x for x in lost or [] if not x["seed"]]
+            spans = runs([(x["start"], x["end"]) for x in lost], least)
+            if more:
+                spans = union(spans + [(x["start"], x["end"]) for x in more])
+                lost += more
             size = len(text.encode("utf-8", "replace"))
             text, spans = without(text, spans) if spans else (text, spans)
-            sources = sorted({x["first"] for x in lost or [] if any(a < x["end"] and x["start"] < b for a, b in spans)}) if spans else []
+            sources = sorted({x["first"] for x in lost if any(a < x["end"] and x["start"] < b for a, b in spans)}) if spans else []
             values = (doc_id, text, size, sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans], sources)
             for f, v in zip(CUT, values, strict=True):
                 out[f.name].append(v)
@@ -209,25 +347,58 @@ def cut_repeated_passages(df: DataFrame, least: int = LEAST, id_col: str = "doc_
     """
     scratch = Scratch(df.sparkSession, "substring")
     docs = id_and_text(df, id_col, text_col)
+    named = docs.where("doc_id is not null")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     bits = max(5, int(np.ceil(np.log2(max(1, size / (2 * AROUND + 1) / RANGE_DIGESTS)))))
-    packed = docs.where("doc_id is not null").select("text").mapInArrow(_ranges(bits), "range int, digests binary")
+    packed = named.select("text").mapInArrow(_ranges(bits), "range int, digests binary")
     suspected = scratch.write(packed.groupBy("range").applyInArrow(_repeated, "digest long"), "suspected")
-    known = None
-    if suspected.count() <= BROADCAST_DIGESTS:
-        digests = suspected.toArrow().column("digest").to_numpy()
-        known = df.sparkSession.sparkContext.broadcast(np.unique(_tags(digests)))
-    found = docs.where("doc_id is not null").mapInArrow(_rows(known), "digest long, doc_id long, start long, end long")
+    known = _sent(suspected)
+    found = named.mapInArrow(_rows(known), "digest long, doc_id long, start long, end long, seed boolean")
     if known is None:
         found = found.join(suspected, "digest", "left_semi")
     found = scratch.write(found, "found")
     first = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     first = scratch.write(first.select("digest", "first"), "first")
     lost = found.join(broadcast_if_small(scratch, first, "first", BROADCAST_BYTES), "digest").where("doc_id <> first")
-    lost = lost.groupBy(F.col("doc_id").alias("lost_by")).agg(F.collect_list(F.struct("start", "end", "first")).alias("lost"))
+    lost = lost.groupBy(F.col("doc_id").alias("lost_by")).agg(F.collect_list(F.struct("start", "end", "first", "seed")).alias("lost"))
     lost = scratch.write(lost, "lost")
-    scratch.keep("lost")
+    more = _whole_windows(scratch, named, found, lost, least)
+    if more is not None:
+        lost = lost.join(more, F.col("lost_by") == F.col("more_by"), "left").drop("more_by")
+    else:
+        lost = lost.withColumn("more", F.lit(None).cast("array<struct<start:bigint,end:bigint,first:bigint>>"))
+    scratch.keep("lost", "more")
     whole = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
     joined = whole.join(lost, F.col("doc_id") == F.col("lost_by"), "left").drop("lost_by")
     schema = T.StructType([*CUT.fields, joined.schema["carried"]]) if carry else CUT
     return map_rows(joined, _cut(least, bool(carry)), schema)
+
+
+def _sent(table: DataFrame):
+    """Tags of a written table's digests at all executors, or None if they are too many."""
+    if table.count() > BROADCAST_DIGESTS:
+        return None
+    digests = table.select("digest").toArrow().column("digest").to_numpy()
+    return table.sparkSession.sparkContext.broadcast(np.unique(_tags(digests)))
+
+
+def _whole_windows(scratch: Scratch, docs: DataFrame, found: DataFrame, lost: DataFrame, least: int) -> DataFrame | None:
+    """(more_by, more): windows without a byte in a run that a smaller id has too; None if there are none to look up."""
+    doubtful = scratch.write(map_rows(lost.where(F.exists("lost", lambda x: x["seed"])), _doubtful(least), DOUBTFUL), "doubtful")
+    doubtful = broadcast_if_small(scratch, doubtful, "doubtful", BROADCAST_BYTES)
+    candidates = docs.join(doubtful, F.col("doc_id") == F.col("doubted")).select("doc_id", "text", "parts")
+    candidates = scratch.write(map_rows(candidates, lambda: _candidates, CANDIDATE), "candidates")
+    if candidates.isEmpty():
+        return None
+    seeds = scratch.write(candidates.select(F.col("seed").alias("digest")).distinct(), "seeds")
+    ids = found.where("seed").join(broadcast_if_small(scratch, seeds, "seeds", BROADCAST_BYTES), "digest", "left_semi").select("doc_id").distinct()
+    ids = scratch.write(ids, "ids")
+    asked = scratch.write(candidates.select("digest").distinct(), "asked")
+    known = _sent(asked)
+    holders = map_rows(docs.join(broadcast_if_small(scratch, ids, "ids", BROADCAST_BYTES), "doc_id", "left_semi"), _holders(known), HOLDER)
+    if known is None:
+        holders = holders.join(asked, "digest", "left_semi")
+    holder = scratch.write(holders.groupBy("digest").agg(F.min("doc_id").alias("first")), "holder")
+    more = candidates.join(broadcast_if_small(scratch, holder, "holder", BROADCAST_BYTES), "digest").where("doc_id > first")
+    more = more.groupBy(F.col("doc_id").alias("more_by")).agg(F.collect_list(F.struct("start", "end", "first")).alias("more"))
+    return scratch.write(more, "more")

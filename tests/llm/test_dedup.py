@@ -276,3 +276,41 @@ def test_shuffled_chunks_give_the_same(spark, monkeypatch):
     want = rows_of(substring.cut_repeated_passages(documents(spark, docs)), "doc_id", "kept_text")
     monkeypatch.setattr(substring, "BROADCAST_DIGESTS", -1)
     assert rows_of(substring.cut_repeated_passages(documents(spark, docs)), "doc_id", "kept_text") == want
+
+
+def brute_windows(docs):
+    """Words in a window of more than 50 that a smaller id has too, by the words themselves: (id, [first and last word of each window])."""
+    size, first, out = 51, {}, {}
+    split = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t in docs}
+    for i, _ in sorted(docs):
+        grams = [tuple(split[i][k : k + size]) for k in range(len(split[i]) - size + 1)]
+        out[i] = [g for g in grams if first.get(g, i) < i]
+        for g in grams:
+            first.setdefault(g, i)
+    return out
+
+
+def test_short_and_periodic_passages_are_cut(spark):
+    rng = np.random.default_rng(9)
+    letters = lambda n, m: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), m)) for _ in range(n))
+    docs, planted = [], {}
+    for k, passage in enumerate([*[letters(55, 1 + j % 3) for j in range(30)], letters(51, 1), "la " * 70, "do re mi " * 30, "1, 0,\n" * 40]):
+        passage = passage.strip()
+        docs.append((2 * k, letters(80, 5) + " " + passage + " " + letters(70, 5)))
+        docs.append((2 * k + 1, letters(47 + k % 7, 5) + " " + passage + " " + letters(60, 5)))
+        planted[2 * k + 1] = passage
+    docs.append((100, docs[0][1][:300].rsplit(" ", 1)[0] + " " + letters(20, 5) + " " + planted[1].rsplit(" ", 5)[0]))  # at most 50 words of either
+    found = {r["doc_id"]: r for r in substring.cut_repeated_passages(documents(spark, docs)).collect()}
+    shared = brute_windows(docs)
+    assert all(bool(shared[i]) == (i in planted) for i, _ in docs)
+    texts = dict(docs)
+    for i, passage in planted.items():
+        at = texts[i].encode().index(passage.encode())
+        assert any(x["start"] < at + len(passage) and at < x["end"] for x in found[i]["spans"]), passage
+        assert found[i]["source_ids"] == [i - 1]
+        left = found[i]["kept_text"]
+        assert not {g for g in brute_windows([(-1, texts[i - 1]), (i, left)])[i]}, passage
+        before, behind = texts[i].split(passage)
+        assert left.startswith(before) and left.endswith(behind)
+    for i in range(0, 68, 2):
+        assert found[i]["n_removed"] == 0
