@@ -60,23 +60,9 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
 
 
-def edge(a: Column, b: Column) -> tuple[Column, Column]:
-    """Canonical ends of an undirected edge."""
-    return F.least(a, b), F.greatest(a, b)
-
-
-def bands(signature: Column, count: int, rows: int) -> Column:
-    """Array of (band, rows) structs of a signature."""
-    return F.array(*[F.struct(F.lit(k).alias("band"), F.slice(signature, k * rows + 1, rows).alias("rows")) for k in range(count)])
-
-
-def mahalanobis(point: Column, n: Column, total: Column, squares: Column) -> Column:
-    """Distance of a point to a cluster's centre over the deviations of its axes (I13); an axis without deviation counts only where the point is off centre, as infinite."""
-    centre = F.transform(total, lambda s: s / n)
-    spread = F.zip_with(squares, centre, lambda q, c: F.sqrt(F.greatest(q / n - c * c, F.lit(0.0))))
-    off = F.zip_with(point, centre, lambda p, c: p - c)
-    term = lambda o, s: F.when(s > 0, (o / s) * (o / s)).when(o == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))
-    return F.sqrt(F.aggregate(F.zip_with(off, spread, term), F.lit(0.0), lambda acc, v: acc + v))
+def seconds_text(ts: Column) -> Column:
+    """A timestamp to whole seconds, as ``2019-01-31 23:59:59``."""
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 
 
 def quoted(value: Column) -> Column:

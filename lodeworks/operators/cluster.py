@@ -42,16 +42,21 @@ class Summary:
         return Summary(np.append(self.n, other.n), np.vstack([self.total, other.total]), np.vstack([self.squares, other.squares]))
 
 
-def summarise(assigned: DataFrame, d: int) -> tuple[list[int], Summary]:
-    """Statistics of the points (cluster, features), combined in each task before the shuffle; a row for each cluster and axis."""
+def statistics(assigned: DataFrame) -> DataFrame:
+    """(cluster, axis, n, total, squares) of the points (cluster, features), combined in each task before the shuffle."""
     axis = assigned.select("cluster", F.posexplode("features").alias("axis", "x"))
-    rows = axis.groupBy("cluster", "axis").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")).collect()
+    return axis.groupBy("cluster", "axis").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"), F.sum(F.col("x") * F.col("x")).alias("squares"))
+
+
+def summarise(assigned: DataFrame, d: int) -> tuple[list[int], Summary]:
+    """The same at the driver; a row for each cluster and axis."""
+    rows = statistics(assigned).collect()
     ids = sorted({r["cluster"] for r in rows})
     place = {c: k for k, c in enumerate(ids)}
     out = Summary(np.zeros(len(ids)), np.zeros((len(ids), d)), np.zeros((len(ids), d)))
     for r in rows:
         k = place[r["cluster"]]
-        out.n[k], out.total[k, r["axis"]], out.squares[k, r["axis"]] = r["n"], r["s"], r["q"]
+        out.n[k], out.total[k, r["axis"]], out.squares[k, r["axis"]] = r["n"], r["total"], r["squares"]
     return ids, out
 
 

@@ -47,35 +47,43 @@ def communities(labels: DataFrame, node: str = "node", label: str = "label") ->
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest node reachable, for each node of ``edges`` (src, dst).
 
-    In each round every node moves to the smallest of itself and its neighbours,
-    and edges follow their ends; edges inside a node vanish. The number of nodes
-    with edges at least halves in a round. Minima are combined in each task first,
-    so that a node with many edges is no hot key, and each round is written, so
-    that its plan stays small.
+    Alternating large stars and small stars: the larger neighbours of a node are
+    linked to the smallest node around it, then its smaller neighbours and itself
+    to the smallest of these. Both keep components as they are, edges never grow in
+    number, and distances to the smallest node about halve in a round, so that a
+    path takes a logarithmic number of rounds however its nodes are numbered.
+    Minima are combined in each task first, and joins read written tables, so that
+    a node with many edges is split by AQE. A null end is no node.
     """
+    return star_rounds(edges)[0]
+
+
+def star_rounds(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Components as :func:`connected_components` gives them, and the rounds it took."""
     scratch = Scratch(edges.sparkSession, "components")
-    rest = scratch.write(_pairs(edges, "src", "dst"), "edges-0")
-    moves, k = [], 0
-    while not rest.isEmpty() or not moves:
-        both = rest.select("a", "b").union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        moved = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
-        moves.append(moved := scratch.write(moved, f"moves-{k}"))
-        first = rest.join(moved.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a")
-        ends = first.join(moved.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
-        rest = scratch.write(_pairs(ends, "ta", "tb"), f"edges-{k + 1}")
-        scratch.drop(f"edges-{k}")
+    links = scratch.write(_pairs(edges.select(F.col("src").alias("low"), F.col("dst").alias("big")), "low", "big"), "links-0")
+    k = 0
+    while True:
         k += 1
-    out, name = moves[0].select("node", F.col("to").alias("component")), "moves-0"
-    for k, moved in enumerate(moves[1:], 1):
-        step = moved.select(F.col("node").alias("component"), "to")
-        out = out.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        out, name = scratch.write(out, f"out-{k}"), f"out-{k}"
-    scratch.keep(name)
-    return out
+        up = links.groupBy(F.col("big").alias("low")).agg(F.min("low").alias("top"))
+        large = links.join(up, "low", "left").select("big", F.coalesce("top", "low").alias("low"), F.col("top").isNotNull().alias("moved"))
+        large = scratch.write(large, f"large-{k}")
+        ends = large.groupBy("big").agg(F.min("low").alias("top"), F.max("low").alias("other"), F.max("moved").alias("moved"))
+        ends = scratch.write(ends, f"ends-{k}")
+        if ends.where("moved or top <> other").isEmpty():
+            break
+        small = large.join(ends.select("big", "top"), "big").where("low <> top").select(F.col("low").alias("big"), F.col("top").alias("low"))
+        links = scratch.write(small.union(ends.select("big", F.col("top").alias("low"))).distinct(), f"links-{k}")
+        scratch.drop(f"links-{k - 1}", f"large-{k}", f"ends-{k}")
+    roots = ends.select(F.col("top").alias("node"), F.col("top").alias("component")).distinct()
+    out = scratch.write(ends.select(F.col("big").alias("node"), F.col("top").alias("component")).union(roots), "out")
+    scratch.keep("out")
+    return out, k
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    """Different pairs of different ends, the smaller one first, under the names given."""
+    return df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias(a), F.greatest(a, b).alias(b)).distinct()
 
 
 def modularity(edges: DataFrame, labels: DataFrame, current: DataFrame | None = None) -> DataFrame:
@@ -132,7 +140,7 @@ def edge_betweenness(edges: DataFrame, exact: bool = False) -> DataFrame:
     Roots are dealt to tasks; each task holds the adjacency of the whole graph, so graphs of more than
     ``MOST_EDGES`` edges are refused: use :func:`edge_betweenness_frontier` for them.
     """
-    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    pairs = _pairs(edges, "src", "dst")
     known = pairs.limit(MOST_EDGES + 1).collect()
     if len(known) > MOST_EDGES:
         raise ValueError(f"more than {MOST_EDGES} edges: use edge_betweenness_frontier")
@@ -206,7 +214,7 @@ def girvan_newman(edges: DataFrame, original_adjacency: bool = False, margin: fl
     ``MOST_EDGES``, are kept by the driver.
     """
     spark = edges.sparkSession
-    start = [tuple(r) for r in edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().limit(MOST_EDGES + 1).collect()]
+    start = [tuple(r) for r in _pairs(edges, "src", "dst").limit(MOST_EDGES + 1).collect()]
     if len(start) > MOST_EDGES:
         raise ValueError(f"more than {MOST_EDGES} edges")
     schema = edges.select("src", "dst").schema

@@ -14,6 +14,8 @@ from lodeworks.plans.stages import Scratch
 
 #: Largest table of candidate itemsets, in bytes, that every task holds; a larger one is joined by shuffle.
 BROADCAST_BYTES = 4 << 20
+#: Baskets in which an itemset has to be found in a part, at least, to be a candidate: below that nearly all subsets would be.
+LEAST_LOCAL = 4
 
 
 def baskets(df: DataFrame, key: str, item: str, larger_than: int = 0) -> DataFrame:
@@ -96,20 +98,32 @@ def local_frequent(part: list[frozenset], threshold: float) -> list[tuple]:
 def local_candidates(found: DataFrame, support: int, rows: int = 20_000) -> DataFrame:
     """(items): itemsets frequent in some part of the baskets, at the part's share of the support.
 
-    A part is a piece of at most ``rows`` baskets of a partition, so that a task's memory is bounded.
-    Which itemsets are candidates depends on the parts; that every frequent one is among them does not.
+    A part is a piece of a partition, of ``rows`` baskets or as many as it takes for a share of the support of
+    ``LEAST_LOCAL`` (less only in a partition that is smaller), and of fewer than twice that, so that a task's
+    memory does not follow its input. Which itemsets are candidates depends on the partitions; that every
+    frequent one is among them does not.
     """
     total = max(1, found.count())
+    size = max(rows, -(-LEAST_LOCAL * total // max(1, support)))
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = [frozenset(x) for x in batch.slice(at, rows).column(0).to_pylist()]
-                sets = local_frequent(part, support * len(part) / total)
-                if sets:
-                    yield pa.RecordBatch.from_arrays([pa.array([list(s) for s in sets], batch.schema.field(0).type)], names=["items"])
+        part, kind = [], None
 
-    items = found.select("items")
+        def sets():
+            frequent = local_frequent(part, support * len(part) / total)
+            return [pa.RecordBatch.from_arrays([pa.array([list(s) for s in frequent], kind)], names=["items"])] if frequent else []
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            part += [frozenset(x) for x in batch.column(0).to_pylist()]
+            while len(part) >= 2 * size:
+                part, rest = part[:size], part[size:]
+                yield from sets()
+                part = rest
+        if part:
+            yield from sets()
+
+    items = found.select("items").coalesce(-(-total // size))
     return items.mapInArrow(run, items.schema).distinct()
 
 

@@ -1,8 +1,8 @@
 """Collaborative filtering (survey J8-J15, D2, D3, D5-D7, D11, D12, E13-E17, F2, F3).
 
 Ratings are long tables (user, item, rating), one row for each pair; ``test`` has
-the pairs to predict. Neighbours are found by joins on the shared key, and each
-needed similarity is computed once.
+the pairs to predict. Neighbours are found by joins on the shared key, and only
+the similarities that a prediction needs are computed, each once.
 """
 
 from __future__ import annotations
@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.scalar import clip, zero_default
 from lodeworks.functions.stats import mean_without, pearson, weighted
+from lodeworks.plans.stages import Scratch, broadcast_if_small
+
+#: Largest table of needed pairs, in bytes, that is sent to all executors; a larger one is joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def known_only(test: DataFrame, train: DataFrame) -> DataFrame:
@@ -26,27 +30,69 @@ def similarities(train: DataFrame, of: str, over: str) -> DataFrame:
     return half.union(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
 
 
+def needed_similarities(train: DataFrame, of: str, over: str, needed: DataFrame) -> DataFrame:
+    """(a, b, sim) as :func:`similarities`, of the pairs (a, b) in ``needed`` only, each in both orders; those with nothing in common are left out.
+
+    Either the pairs that meet under an ``over`` are reduced to the needed ones before they are aggregated, or the
+    needed pairs fetch the ratings of the one of the two that has fewer, and of the other only those that match.
+    Both costs are counted in rows first and the lesser one is paid: a popular item with a million raters, which
+    alone makes 10**12 pairs, then costs its ratings times the pairs that need it.
+    """
+    scratch = Scratch(train.sparkSession, "similarities")
+    half = needed.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sizes = train.groupBy(of).agg(F.count(F.lit(1)).alias("n"))
+    size = lambda s: sizes.select(F.col(of).alias(s), F.col("n").alias(f"n_{s}"))
+    half = scratch.write(half.join(size("a"), "a").join(size("b"), "b"), "needed")
+    by_pair = half.agg(F.sum(F.least("n_a", "n_b")).alias("n")).first()["n"] or 0
+    by_key = train.groupBy(over).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("n")).first()["n"] or 0
+    n, found = half.count(), sizes.count()
+    side = lambda s, of_s: train.select(F.col(of).alias(of_s), over, F.col("rating").alias(f"r_{s}"))
+    if by_pair < by_key:
+        few = F.when(F.col("n_a") <= F.col("n_b"), F.col("a")).otherwise(F.col("b")).alias("few")
+        many = F.when(F.col("n_a") <= F.col("n_b"), F.col("b")).otherwise(F.col("a")).alias("many")
+        met = half.select("a", "b", few, many).join(side("a", "few"), "few").join(side("b", "many"), ["many", over])
+    else:
+        met = side("a", "a").join(side("b", "b"), over).where("a < b")
+        if 4 * n < found * (found - 1):  # of more than half of all pairs, reducing saves less than it costs
+            met = met.join(broadcast_if_small(scratch, half.select("a", "b"), "needed", BROADCAST_BYTES), ["a", "b"], "left_semi")
+    found = met.groupBy("a", "b").agg(pearson("r_a", "r_b").alias("sim"))
+    return found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+
+
 def means(train: DataFrame, of: str, name: str) -> DataFrame:
     """(of, name): mean rating."""
     return train.groupBy(of).agg(F.avg("rating").alias(name))
 
 
-def _user_neighbours(test: DataFrame, train: DataFrame) -> DataFrame:
-    """(user, item, other, off, sim): raters of a test pair's item, how far each is off its own mean without it, and its similarity."""
+def _user_neighbours(test: DataFrame, train: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(user, item, other, off, sim): raters of a test pair's item, how far each is off its own mean without it, and its similarity.
+
+    With ``only`` (user, item, other), those among them.
+    """
     own = train.groupBy("user").agg(F.sum("rating").alias("total"), F.count(F.lit(1)).alias("n"))
     off = F.coalesce(F.col("rating") - mean_without(F.col("total"), F.col("n"), F.col("rating")), F.lit(0.0))
     raters = train.join(own, "user").select(F.col("user").alias("other"), "item", off.alias("off"))
     pairs = test.select("user", "item").distinct().join(raters, "item").where("user <> other")
-    sims = similarities(train, "user", "item").select(F.col("a").alias("user"), F.col("b").alias("other"), "sim")
+    if only is not None:
+        pairs = pairs.join(only, ["user", "item", "other"], "left_semi")
+    pairs = Scratch(train.sparkSession, "pairs").write(pairs, "pairs")
+    needed = pairs.select(F.col("user").alias("a"), F.col("other").alias("b"))
+    sims = needed_similarities(train, "user", "item", needed).select(F.col("a").alias("user"), F.col("b").alias("other"), "sim")
     return pairs.join(sims, ["user", "other"], "left").select("user", "item", "other", "off", F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
-def _item_neighbours(test: DataFrame, train: DataFrame) -> DataFrame:
-    """(user, item, other, rating, sim): what a test pair's user rated, and its similarity to the pair's item."""
+def _rated(test: DataFrame, train: DataFrame) -> DataFrame:
+    """(user, item, other, rating): what a test pair's user rated besides the item."""
     rated = train.select("user", F.col("item").alias("other"), "rating")
-    pairs = test.select("user", "item").distinct().join(rated, "user").where("item <> other")
-    sims = similarities(train, "item", "user").select(F.col("a").alias("item"), F.col("b").alias("other"), "sim")
-    return pairs.join(sims, ["item", "other"], "left").select("user", "item", "other", "rating", F.coalesce("sim", F.lit(0.0)).alias("sim"))
+    return test.select("user", "item").distinct().join(rated, "user").where("item <> other")
+
+
+def _with_similarity(pairs: DataFrame, train: DataFrame) -> DataFrame:
+    """``pairs`` (item, other, ...) and the similarity of both, 0 without a common rater."""
+    pairs = Scratch(train.sparkSession, "pairs").write(pairs, "pairs")
+    needed = pairs.select(F.col("item").alias("a"), F.col("other").alias("b"))
+    sims = needed_similarities(train, "item", "user", needed).select(F.col("a").alias("item"), F.col("b").alias("other"), "sim")
+    return pairs.join(sims, ["item", "other"], "left").select(*pairs.columns, F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
 def _first(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -69,27 +115,27 @@ def user_cf(test: DataFrame, train: DataFrame, sample: int | None = None, seed:
     rate the item is void, one drawn twice counts twice. Draws follow from the seed and the pair alone.
     """
     test = known_only(test, train)
-    near = _user_neighbours(test, train)
     if sample is not None:
         from lodeworks.operators.counts import ordinals
 
         codes = ordinals(train, "user", "code")
         n = codes.count()
-        draw = lambda k: F.pmod(F.xxhash64("user", "item", k, F.lit(seed)), F.lit(n))
+        digits = lambda k: F.substring(F.md5(F.concat_ws("/", F.col("user").cast("string"), F.col("item").cast("string"), k.cast("string"), F.lit(str(seed)))), 1, 15)
+        draw = lambda k: F.conv(digits(k), 16, 10).cast("long") % n
         drawn = test.select("user", "item").distinct().select("user", "item", F.explode(F.transform(F.sequence(F.lit(1), F.lit(sample)), draw)).alias("code"))
         drawn = drawn.groupBy("user", "item", "code").agg(F.count(F.lit(1)).alias("times")).join(codes.withColumnRenamed("user", "other"), "code")
-        near = near.join(drawn, ["user", "item", "other"]).withColumn("off", F.col("off") * F.col("times"))
+        near = _user_neighbours(test, train, drawn).join(drawn, ["user", "item", "other"]).withColumn("off", F.col("off") * F.col("times"))
         weight = F.sum(F.abs("sim") * F.col("times"))
         moved = near.groupBy("user", "item").agg(F.coalesce(F.try_divide(F.sum(F.col("off") * F.col("sim")), weight), F.lit(0.0)).alias("move"))
         out = test.select("user", "item").distinct().join(means(train, "user", "mean"), "user").join(moved, ["user", "item"], "left")
         return out.select("user", "item", clip(F.col("mean") + F.coalesce("move", F.lit(0.0))).alias("prediction"))
-    return _centred(test, train, near)
+    return _centred(test, train, _user_neighbours(test, train))
 
 
 def item_cf_first(test: DataFrame, train: DataFrame, k: int = 20) -> DataFrame:
     """Item-based prediction from the first k items, in order of id, that the user rated."""
     test = known_only(test, train)
-    near = _first(_item_neighbours(test, train), k, F.col("other"))
+    near = _with_similarity(_first(_rated(test, train), k, F.col("other")), train)
     score = near.groupBy("user", "item").agg(weighted(F.col("rating"), F.col("sim")).alias("score"))
     out = test.select("user", "item").distinct().join(score, ["user", "item"], "left")
     return out.select("user", "item", clip(zero_default(F.coalesce("score", F.lit(0.0)))).alias("prediction"))
@@ -99,10 +145,11 @@ def item_cf_lsh(test: DataFrame, train: DataFrame) -> DataFrame:
     """Item-based prediction from all items that share a MinHash band with the item; an item without any has its mean."""
     from lodeworks.operators.similarity import lsh_candidates
 
-    test = known_only(test, train)
+    test = Scratch(train.sparkSession, "test").write(known_only(test, train), "test")
     half = lsh_candidates(train.select("item", "user").distinct(), "item", "user")
     linked = half.union(half.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("item"), F.col("b").alias("other"))
-    near = _item_neighbours(test, train).join(linked, ["item", "other"], "left_semi")
+    linked = Scratch(train.sparkSession, "linked").write(linked, "linked")
+    near = _with_similarity(_rated(test, train).join(linked, ["item", "other"], "left_semi"), train)
     score = near.groupBy("user", "item").agg(weighted(F.col("rating"), F.col("sim")).alias("score"))
     alone = test.select("user", "item").distinct().join(linked.select("item").distinct().withColumn("linked", F.lit(True)), "item", "left")
     out = alone.join(score, ["user", "item"], "left").join(means(train, "item", "mean"), "item")
@@ -110,6 +157,15 @@ def item_cf_lsh(test: DataFrame, train: DataFrame) -> DataFrame:
     return out.select("user", "item", clip(zero_default(raw)).alias("prediction"))
 
 
+def ranked_neighbours(train: DataFrame) -> DataFrame:
+    """(item, other, sim): items that share a MinHash band, with their Pearson similarity, each item's most similar ones first."""
+    from lodeworks.operators.similarity import lsh_candidates
+
+    half = lsh_candidates(train.select("item", "user").distinct(), "item", "user").select(F.col("a").alias("item"), F.col("b").alias("other"))
+    both = half.union(half.select(F.col("other").alias("item"), F.col("item").alias("other")))
+    return _with_similarity(both, train).orderBy("item", F.desc("sim"), "other")
+
+
 def user_cf_top(test: DataFrame, train: DataFrame, item_profile: DataFrame, k: int = 10) -> DataFrame:
     """User-based prediction from the k most similar raters of the item; a user without ratings gets the item's profile mean.
 
@@ -129,7 +185,7 @@ def item_cf_top(test: DataFrame, train: DataFrame, user_profile: DataFrame, k: i
     ``user_profile``: (user, user_mean). Ties in similarity go to the smaller item.
     """
     pairs = test.select("user", "item").distinct()
-    near = _first(_item_neighbours(pairs, train), k, F.desc("sim"), F.col("other"))
+    near = _first(_with_similarity(_rated(pairs, train), train), k, F.desc("sim"), F.col("other"))
     score = near.groupBy("user", "item").agg(weighted(F.col("rating"), F.col("sim")).alias("score"))
     out = pairs.join(score, ["user", "item"], "left").join(user_profile, "user", "left")
     raw = F.when(F.coalesce("score", F.lit(0.0)) == 0, F.col("user_mean")).otherwise(F.col("score"))

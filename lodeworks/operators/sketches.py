@@ -45,14 +45,27 @@ def fm_estimate(maxima: list[Column]) -> Column:
     return F.floor(sum(powers[1:], powers[0]) / len(powers)).cast("long")
 
 
-def fm_windows(events: DataFrame, ts: str, value: str, length: str = "30 seconds", slide: str = "10 seconds") -> DataFrame:
+def fm_windows(events: DataFrame, ts: str, value: str, length: str = "30 seconds", slide: str = "10 seconds", fill: bool = False) -> DataFrame:
     """(window_start, n_distinct, estimate): exact and estimated different values of each sliding window.
 
-    Values are made different inside a window first, so each one is hashed once there.
+    Each different value is hashed once, and values are made different inside a window before they are counted.
+    With ``fill`` a window without events, between the first and the last one with any, has the values of the
+    window before it; else it has no row.
     """
-    rows = events.where(F.col(value).isNotNull()).select(F.window(ts, length, slide)["start"].alias("window_start"), F.col(value).cast("string").alias("value")).distinct()
-    sums = rows.groupBy("window_start").agg(F.count(F.lit(1)).alias("n_distinct"), *fm_maxima(F.col("value")))
-    return sums.select("window_start", "n_distinct", fm_estimate([F.col(f"z{k}") for k in range(6)]).alias("estimate"))
+    named = events.where(F.col(value).isNotNull()).select(F.window(ts, length, slide)["start"].alias("window_start"), F.col(value).cast("string").alias("value")).distinct()
+    hashes = linear_hashes(byte_fold(F.col("value"), FM_MODULUS), FM_MODULUS)
+    known = named.select("value").distinct().select("value", *[trailing_zeros(hashes[k]).alias(f"t{k}") for k in range(6)])
+    sums = named.join(known, "value").groupBy("window_start").agg(F.count(F.lit(1)).alias("n_distinct"), *[F.max(f"t{k}").alias(f"z{k}") for k in range(6)])
+    found = sums.select("window_start", "n_distinct", fm_estimate([F.col(f"z{k}") for k in range(6)]).alias("estimate"))
+    if not fill:
+        return found
+    from pyspark.sql import Window
+
+    span = found.agg(F.min("window_start").alias("low"), F.max("window_start").alias("high")).where("low is not null")
+    every = span.select(F.explode(F.sequence("low", "high", F.expr(f"INTERVAL {slide}"))).alias("window_start"))
+    so_far = Window.orderBy("window_start").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each window
+    last = lambda c: F.last(c, ignorenulls=True).over(so_far).alias(c)
+    return every.join(found, "window_start", "left").select("window_start", last("n_distinct"), last("estimate"))
 
 
 def reservoir(df: DataFrame, key: str, size: int = 100, seed: str = "0") -> DataFrame:

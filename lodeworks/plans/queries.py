@@ -135,12 +135,9 @@ def last_ratings(spark, d):
     return counts.last_rating(roles.reviews(spark, d), "user", "item", "rating")
 
 
-@query(f'WITH {REVIEWS} SELECT usr AS "user", item, arg_max(rating, date) AS rating FROM reviews GROUP BY usr, item HAVING count(DISTINCT date) = count(*)')
+@query(f'WITH {REVIEWS} SELECT usr AS "user", item, arg_max(rating, (date, rating)) AS rating FROM reviews GROUP BY usr, item')
 def latest_ratings(spark, d):
-    """As its SQL, without pairs that repeat any date; ``last_rating`` itself resolves these as well."""
-    rows = roles.reviews(spark, d)
-    clear = rows.groupBy("user", "item").agg(F.countDistinct("date").alias("k"), F.count(F.lit(1)).alias("n")).where("k = n")
-    return counts.last_rating(rows.join(clear.select("user", "item"), ["user", "item"], "left_semi"), "user", "item", "rating", "date")
+    return counts.last_rating(roles.reviews(spark, d), "user", "item", "rating", "date")
 
 
 # layout
@@ -273,9 +270,9 @@ def lsh_jaccard_pairs(spark, d):
     return _rounded_pairs(similarity.lsh_jaccard(roles.order_parts(spark, d), "l_orderkey", "l_partkey"))
 
 
-@query(f"""WITH {PARTS}, {EXACT}, {_lsh_sql()}, found AS (SELECT a, b FROM exact SEMI JOIN met USING (a, b))
-SELECT (SELECT count(*) FROM found) AS n_found, count(*) AS n_truth, (SELECT count(*) FROM found) AS n_common,
-  CAST(1.0 AS DOUBLE) AS "precision", round((SELECT count(*) FROM found) / count(*), 6) AS recall FROM exact""")
+@query(f"""WITH {PARTS}, {EXACT}, {_lsh_sql()}, found AS (SELECT a, b FROM scored SEMI JOIN met USING (a, b) WHERE jaccard >= 0.5),
+n AS (SELECT (SELECT count(*) FROM found) AS f, (SELECT count(*) FROM exact) AS t, (SELECT count(*) FROM found SEMI JOIN exact USING (a, b)) AS c)
+SELECT f AS n_found, t AS n_truth, c AS n_common, round(c / f, 6) AS "precision", round(c / t, 6) AS recall FROM n""")
 def lsh_recall(spark, d):
     rows = roles.order_parts(spark, d)
     out = similarity.recall(similarity.lsh_jaccard(rows, "l_orderkey", "l_partkey"), similarity.exact_jaccard(rows, "l_orderkey", "l_partkey"))
@@ -287,12 +284,15 @@ def item_pearson(spark, d):
     return recommend.similarities(roles.ratings(spark, d)[0], "item", "user").select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query(f'WITH {SPLIT}, {USIM} SELECT a AS "user", count(*) AS n_others, round(sum(sim), 4) AS total, round(sum(abs(sim)), 4) AS total_abs, CAST(count_if(sim = 0) AS BIGINT) AS n_zero FROM usim GROUP BY a')
+@query(f"""WITH {SPLIT}, {ISIM}, rows AS (SELECT item AS k, usr AS m FROM train), {_lsh_sql()}, linked AS (SELECT a, b FROM met UNION ALL SELECT b, a FROM met)
+SELECT a AS item, b AS other, round(coalesce(sim, 0), 6) AS sim FROM linked LEFT JOIN isim USING (a, b)""")
+def lsh_neighbours(spark, d):
+    return recommend.ranked_neighbours(roles.ratings(spark, d)[0]).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"WITH {SPLIT}, {USIM} SELECT a, b, round(sim, 6) AS sim FROM usim")
 def user_pearson(spark, d):
-    sims = recommend.similarities(roles.ratings(spark, d)[0], "user", "item")
-    return sims.groupBy(F.col("a").alias("user")).agg(
-        F.count(F.lit(1)).alias("n_others"), F.round(F.sum("sim"), 4).alias("total"), F.round(F.sum(F.abs("sim")), 4).alias("total_abs"), F.count_if(F.col("sim") == 0).alias("n_zero")
-    )
+    return recommend.similarities(roles.ratings(spark, d)[0], "user", "item").select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 # recommenders
@@ -309,7 +309,11 @@ def cf_user_all(spark, d):
     return _predicted(recommend.user_cf(test, train))
 
 
-@query()
+@query(f"""WITH {SPLIT}, {USIM}, {UNEAR}, codes AS (SELECT usr AS other, CAST(row_number() OVER (ORDER BY usr) - 1 AS BIGINT) AS code FROM (SELECT DISTINCT usr FROM train)),
+drawn AS (SELECT usr, item, CAST('0x' || substr(md5(usr || '/' || item || '/' || k || '/0'), 1, 15) AS BIGINT) % (SELECT count(*) FROM codes) AS code FROM test, range(1, 51) r(k)),
+times AS (SELECT usr, item, other, count(*) AS times FROM drawn JOIN codes USING (code) GROUP BY 1, 2, 3),
+moved AS (SELECT u.usr, u.item, coalesce(sum(off * times * sim) / nullif(sum(abs(sim) * times), 0), 0) AS move FROM unear u JOIN times t ON t.usr = u.usr AND t.item = u.item AND t.other = u.other GROUP BY 1, 2)
+SELECT t.usr AS "user", t.item, {_clip('m + coalesce(move, 0)')} AS prediction FROM test t JOIN umean USING (usr) LEFT JOIN moved v ON v.usr = t.usr AND v.item = t.item""")
 def cf_user_sampled(spark, d):
     train, test = roles.ratings(spark, d)
     return _predicted(recommend.user_cf(test, train, sample=50))
@@ -440,20 +444,16 @@ def label_propagation(spark, d):
 
 
 @query(f"""WITH {GRAPH.format(least=2)}, {_rounds(5)}, g AS (SELECT label, list_sort(list(node)) AS members FROM l5 GROUP BY label)
-SELECT CAST(len(members) AS INTEGER) AS size, array_to_string(list_transform(members, lambda x: '''' || x || ''''), ', ') AS value FROM g""")
+SELECT array_to_string(list_transform(members, lambda x: '''' || x || ''''), ', ') AS value FROM g""")
 def community_text(spark, d):
-    found = graph.communities(graph.label_propagation(_graph(spark, d, 2), 5))
-    return found.select("size", F.array_join(F.transform("members", scalar.quoted), ", ").alias("value"))
+    return sinks.community_lines(graph.communities(graph.label_propagation(_graph(spark, d, 2), 5)))
 
 
 @query(f"""WITH RECURSIVE {GRAPH.format(least=2)}, reach AS (SELECT DISTINCT src AS node, src AS root FROM links
   UNION SELECT dst, root FROM reach JOIN links ON src = node WHERE root < dst)
 SELECT node, min(root) AS component FROM reach GROUP BY node""")
 def connected_components(spark, d):
-    return graph.connected_components(_graph(spark, d, 3))
-
-
-_SQL["connected_components"] = _SQL["connected_components"].replace("count(*) >= 2", "count(*) >= 3")
+    return graph.connected_components(_graph(spark, d, 2))
 
 
 @query(f"""WITH {GRAPH.format(least=2)}, {_rounds(5)}, m AS (SELECT count(*) AS m2 FROM links), deg AS (SELECT src AS node, count(*) AS k FROM links GROUP BY src),
@@ -465,14 +465,32 @@ def modularity(spark, d):
     return graph.modularity(edges, graph.label_propagation(edges, 5)).select(F.round("modularity", 6).alias("modularity"))
 
 
-@query()
+def _betweenness_sql(least: int) -> str:
+    """Shortest distances from every root, then a unit from each node up to the root, shared among parents by their own parents' number."""
+    return f"""WITH RECURSIVE {GRAPH.format(least=least)},
+near (root, node, lvl) USING KEY (root, node) AS (SELECT DISTINCT src, src, 0 FROM links
+  UNION SELECT n.root, l.dst, n.lvl + 1 FROM near n JOIN links l ON l.src = n.node LEFT JOIN recurring.near r ON r.root = n.root AND r.node = l.dst WHERE r.node IS NULL),
+up AS (SELECT c.root, c.node, p.node AS parent FROM near c JOIN links l ON l.dst = c.node JOIN near p ON p.root = c.root AND p.node = l.src AND p.lvl + 1 = c.lvl),
+weight AS (SELECT root, node, count(*) AS w FROM up GROUP BY 1, 2),
+share AS (SELECT root, node, parent, coalesce(w, 1) / sum(coalesce(w, 1)) OVER (PARTITION BY root, up.node) AS part
+  FROM up LEFT JOIN (SELECT root, node AS parent, w FROM weight) USING (root, parent)),
+flow (root, node, child, amount) AS (SELECT root, node, node, CAST(1 AS DOUBLE) FROM near WHERE lvl > 0
+  UNION ALL SELECT s.root, s.parent, s.node, s.part * f.amount FROM (SELECT root, node, sum(amount) AS amount FROM flow GROUP BY 1, 2) f JOIN share s ON s.root = f.root AND s.node = f.node)
+SELECT least(node, child) AS src, greatest(node, child) AS dst, round(sum(amount) / 2, 5) AS betweenness FROM flow WHERE node <> child GROUP BY 1, 2"""
+
+
+def _rounded_credit(df):
+    return df.select("src", "dst", F.round("betweenness", 5).alias("betweenness"))
+
+
+@query(_betweenness_sql(2))
 def edge_betweenness(spark, d):
-    return graph.edge_betweenness(_graph(spark, d, 3))
+    return _rounded_credit(graph.edge_betweenness(_graph(spark, d, 2)))
 
 
-@query()
+@query(_betweenness_sql(3))
 def edge_betweenness_frontier(spark, d):
-    return graph.edge_betweenness_frontier(_graph(spark, d, 3))
+    return _rounded_credit(graph.edge_betweenness_frontier(_graph(spark, d, 3)))
 
 
 @query()
@@ -514,6 +532,19 @@ def fm_windows(spark, d):
     return sketches.fm_windows(roles.events(spark, d), "ts", "city", "3 hours", "1 hour")
 
 
+@query(f"""WITH e AS (SELECT DISTINCT time_bucket(INTERVAL 10 MINUTE, ts) - to_minutes(10 * CAST(k AS BIGINT)) AS window_start, CAST(user_id AS VARCHAR) AS v FROM events, range(2) t(k) WHERE user_id % 50 = 0),
+x AS (SELECT window_start, v, {FOLD.format(m=512)} AS x FROM e),
+z AS (SELECT window_start, count(*) AS n_distinct, {', '.join(f"max({_tz(f'(({a} * x + {b}) % 512)')}) AS z{j}" for j, (a, b) in enumerate(scalar.SKETCH_PAIRS))} FROM x GROUP BY 1),
+f AS (SELECT window_start, n_distinct, CAST(floor(({' + '.join(f'power(2, z{j})' for j in range(6))}) / 6) AS BIGINT) AS estimate FROM z),
+w AS (SELECT unnest(generate_series(min(window_start), max(window_start), INTERVAL 10 MINUTE)) AS window_start FROM f)
+SELECT window_start, last_value(n_distinct IGNORE NULLS) OVER (ORDER BY window_start) AS n_distinct, last_value(estimate IGNORE NULLS) OVER (ORDER BY window_start) AS estimate
+FROM w LEFT JOIN f USING (window_start)""")
+def fm_windows_filled(spark, d):
+    """Windows of a sparse stream, the events of every fiftieth user, so that there are empty ones."""
+    rows = roles.events(spark, d).where(F.col("city").cast("long") % 50 == 0)
+    return sketches.fm_windows(rows, "ts", "city", "20 minutes", "10 minutes", fill=True)
+
+
 @query("""WITH n AS (SELECT event_type AS tag, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, CAST(dense_rank() OVER (ORDER BY n DESC) AS INTEGER) AS rank FROM n)
 SELECT tag, n, rank FROM r WHERE rank <= 3""")
 def trending_tags(spark, d):
@@ -576,10 +607,19 @@ def set_difference(spark, d):
 
 
 @query("""WITH v AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS axis FROM embeddings)
-SELECT label, CAST(axis AS INTEGER) AS axis, count(*) AS n, round(sum(x), 6) AS total, round(sum(x * x), 6) AS squares FROM v GROUP BY 1, 2""")
+SELECT label AS cluster, CAST(axis AS INTEGER) AS axis, count(*) AS n, round(sum(x), 6) AS total, round(sum(x * x), 6) AS squares FROM v GROUP BY 1, 2""")
 def cluster_statistics(spark, d):
-    axis = roles.points(spark, d).select("label", F.posexplode("features").alias("axis", "x"))
-    return axis.groupBy("label", "axis").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 6).alias("total"), F.round(F.sum(F.col("x") * F.col("x")), 6).alias("squares"))
+    found = cluster.statistics(roles.points(spark, d).select(F.col("label").alias("cluster"), "features"))
+    return found.select("cluster", "axis", "n", F.round("total", 6).alias("total"), F.round("squares", 6).alias("squares"))
+
+
+@query("""WITH t AS (SELECT vec_id % 7 AS cluster, label, count(*) AS n FROM embeddings WHERE vec_id % 11 <> 0 GROUP BY 1, 2), b AS (SELECT max(n) AS n FROM t GROUP BY cluster)
+SELECT CAST(sum(n) AS BIGINT) AS n_correct, (SELECT count(*) FROM embeddings) AS n_total, round(sum(n) / (SELECT count(*) FROM embeddings), 6) AS purity FROM b""")
+def purity_of_given_labels(spark, d):
+    """Purity of a fixed assignment, a tenth of it outliers."""
+    truth = roles.points(spark, d).select("index", "label")
+    labels = truth.select("index", F.when(F.col("index") % 11 == 0, -1).otherwise(F.col("index") % 7).alias("cluster"))
+    return cluster.purity(labels, truth).withColumn("purity", F.round("purity", 6))
 
 
 def _bfr(spark, d):

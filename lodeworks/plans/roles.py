@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.operators.counts import last_rating
+from lodeworks.plans.stages import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ratings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(train, test): one rating for each (user, item), the largest; a tenth of the pairs, by their keys, is for testing."""
     known = last_rating(reviews(spark, sf_dir), "user", "item", "rating").withColumn("_fold", F.pmod(F.col("user") * 31 + F.col("item"), F.lit(10)))
+    known = Scratch(spark, "ratings").write(known, "ratings")  # recommenders read it several times
     return known.where("_fold <> 0").drop("_fold"), known.where("_fold = 0").drop("_fold")
 
 

@@ -1,4 +1,3 @@
-import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -52,14 +51,8 @@ def test_clip_default_and_jaccard(spark):
     assert one(spark, scalar.jaccard(empty, empty)) is None
 
 
-def test_mahalanobis(spark):
-    array = lambda *v: F.array(*[F.lit(float(x)) for x in v])
-    # two points (0, 0) and (2, 4): centre (1, 2), deviations (1, 2)
-    args = F.lit(2), array(2, 4), array(4, 16)
-    assert one(spark, scalar.mahalanobis(array(3, 2), *args)) == pytest.approx(2.0)
-    flat = F.lit(2), array(2, 2), array(2, 2)
-    assert one(spark, scalar.mahalanobis(array(1, 1), *flat)) == 0
-    assert np.isinf(one(spark, scalar.mahalanobis(array(1, 2), *flat)))
+def test_seconds_text(spark):
+    assert one(spark, scalar.seconds_text(F.lit("2019-01-31 23:59:59.999").cast("timestamp"))) == "2019-01-31 23:59:59"
 
 
 @pytest.mark.parametrize(("pairs", "expected"), [([(1, 1), (1, 2)], 0.0), ([(3, 4)], 0.0), ([(1, 2), (2, 4), (3, 6)], 1.0), ([(1, 3), (2, 2), (3, 1)], -1.0)])

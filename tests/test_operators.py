@@ -174,3 +174,60 @@ def test_latest_of_equal_dates_is_the_largest(spark):
         df = spark.createDataFrame(given, "user long, item long, rating double, date string").coalesce(1)
         found = {(r["user"], r["item"]): r["rating"] for r in counts.last_rating(df, "user", "item", "rating", "date").collect()}
         assert found == {(1, 1): 5.0, (1, 2): 1.0, (2, 1): 1.0}
+
+
+def test_components_take_few_rounds(spark):
+    n = 2000
+    edges = spark.createDataFrame([(k, k + 1) for k in range(n - 1)] + [(5000, 5001), (5001, 5001), (None, 3)], "src long, dst long")
+    found, rounds = graph.star_rounds(edges)
+    assert {r["node"]: r["component"] for r in found.collect()} == dict.fromkeys(range(n), 0) | {5000: 5000, 5001: 5000}
+    assert rounds <= 15
+
+
+def test_candidates_do_not_depend_on_arrow_batches(spark):
+    import random
+
+    draw = random.Random(1)
+    df = spark.createDataFrame([(sorted(draw.sample("abcdefghij", 4)),) for _ in range(600)], "items array<string>").repartition(2).persist()
+    key, found = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    for size in (7, 10_000):
+        spark.conf.set(key, size)
+        found.append({tuple(r["items"]) for r in itemsets.local_candidates(df, 60, rows=100).collect()})
+    spark.conf.unset(key)
+    assert found[0] == found[1] and found[0]
+    rare = itemsets.local_candidates(df, 2, rows=10)  # a part of ten baskets would make all their subsets candidates
+    assert {tuple(r["items"]) for r in rare.collect()} >= set(brute_itemsets([r["items"] for r in df.collect()], 2))
+
+
+def test_needed_similarities_by_both_ways(spark):
+    import random
+
+    draw = random.Random(2)
+    rows = list({(u, i): float(draw.randint(1, 5)) for u, i in ((draw.randint(1, 30), draw.randint(1, 12)) for _ in range(150))}.items())
+    train = spark.createDataFrame([(u, i, r) for (u, i), r in rows], "user long, item long, rating double")
+    every = {(r["a"], r["b"]): r["sim"] for r in recommend.similarities(train, "item", "user").collect()}
+    few = [(1, 2), (5, 3), (4, 4), (3, 5)]
+    for asked in (few, [(a, b) for a in range(1, 13) for b in range(1, 13)]):
+        needed = spark.createDataFrame(asked, "a long, b long")
+        found = {(r["a"], r["b"]): r["sim"] for r in recommend.needed_similarities(train, "item", "user", needed).collect()}
+        want = {p: s for p, s in every.items() if p in asked or p[::-1] in asked}
+        assert found == {p: pytest.approx(s) for p, s in want.items()}
+
+
+def test_written_tables_need_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from lodeworks.plans import stages
+
+    cluster_session = lambda **kw: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: kw.get("conf")), sparkContext=SimpleNamespace(master=kw["master"], getCheckpointDir=lambda: kw.get("dir")))
+    with pytest.raises(ValueError):
+        stages.shared_folder(cluster_session(master="spark://host:7077"))
+    assert stages.shared_folder(cluster_session(master="yarn", dir="hdfs://x/y/")) == "hdfs://x/y"
+    assert stages.shared_folder(cluster_session(master="yarn", conf="hdfs://z")) == "hdfs://z"
+    scratch = stages.Scratch(spark, "test")
+    monkeypatch.setattr(stages, "_WRITTEN", [scratch])
+    assert scratch.write(spark.range(3), "t").count() == 3
+    target, fs = scratch._path(scratch.root)
+    assert fs.exists(target)
+    stages.release()
+    assert not fs.exists(target) and not stages._WRITTEN
