@@ -532,17 +532,16 @@ def fm_windows(spark, d):
     return sketches.fm_windows(roles.events(spark, d), "ts", "city", "3 hours", "1 hour")
 
 
-@query(f"""WITH e AS (SELECT DISTINCT time_bucket(INTERVAL 10 MINUTE, ts) - to_minutes(10 * CAST(k AS BIGINT)) AS window_start, CAST(user_id AS VARCHAR) AS v FROM events, range(2) t(k) WHERE user_id % 50 = 0),
+@query(f"""WITH e AS (SELECT DISTINCT date_trunc('minute', ts) - to_minutes(CAST(k AS BIGINT)) AS window_start, CAST(user_id AS VARCHAR) AS v FROM events, range(2) t(k)),
 x AS (SELECT window_start, v, {FOLD.format(m=512)} AS x FROM e),
 z AS (SELECT window_start, count(*) AS n_distinct, {', '.join(f"max({_tz(f'(({a} * x + {b}) % 512)')}) AS z{j}" for j, (a, b) in enumerate(scalar.SKETCH_PAIRS))} FROM x GROUP BY 1),
 f AS (SELECT window_start, n_distinct, CAST(floor(({' + '.join(f'power(2, z{j})' for j in range(6))}) / 6) AS BIGINT) AS estimate FROM z),
-w AS (SELECT unnest(generate_series(min(window_start), max(window_start), INTERVAL 10 MINUTE)) AS window_start FROM f)
+w AS (SELECT unnest(generate_series(min(window_start), max(window_start), INTERVAL 1 MINUTE)) AS window_start FROM f)
 SELECT window_start, last_value(n_distinct IGNORE NULLS) OVER (ORDER BY window_start) AS n_distinct, last_value(estimate IGNORE NULLS) OVER (ORDER BY window_start) AS estimate
 FROM w LEFT JOIN f USING (window_start)""")
 def fm_windows_filled(spark, d):
-    """Windows of a sparse stream, the events of every fiftieth user, so that there are empty ones."""
-    rows = roles.events(spark, d).where(F.col("city").cast("long") % 50 == 0)
-    return sketches.fm_windows(rows, "ts", "city", "20 minutes", "10 minutes", fill=True)
+    """Windows so short that some are empty."""
+    return sketches.fm_windows(roles.events(spark, d), "ts", "city", "2 minutes", "1 minute", fill=True)
 
 
 @query("""WITH n AS (SELECT event_type AS tag, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, CAST(dense_rank() OVER (ORDER BY n DESC) AS INTEGER) AS rank FROM n)
