@@ -9,6 +9,11 @@ a million characters is no obstacle. Decoding concatenates vocabulary strings.
 Texts consist of few different pre-tokens, so each worker keeps a bounded table
 of those met so far.
 
+Letters, numbers, white space and cases are those of the Unicode version that the
+vocabulary's library has. Where Python's differ, or do not know a character, a text
+with such a character is normalised and cut by the library's own components, which
+the file names; merges are always those of the queue.
+
 Edge cases: a null or empty text has no ids and decodes to the empty text;
 repeated rows and rows with a null id are encoded like any other; columns besides
 id and text are ignored.
@@ -23,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -63,8 +69,11 @@ class _Words(dict):
 class Bpe:
     """A byte-pair vocabulary as described by a tokenizer's JSON file."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, odd: bytes | None = None):
+        """``odd``: what :func:`differing` returns; without it all characters are Python's."""
         j = json.loads(spec)
+        self.odd = np.unpackbits(np.frombuffer(odd, dtype=np.uint8)).astype(bool) if odd else None
+        self.library = tokenizers.Tokenizer.from_str(spec) if odd else None
         model = j["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(model["merges"])}
@@ -149,7 +158,13 @@ class Bpe:
             k = after[k]
         return out
 
+    def _unlettered(self, piece: str) -> str:
+        return bytes(map(self._bytes.__getitem__, piece)).decode()
+
     def _ordinary(self, text: str) -> bytes:
+        if self.odd is not None and not text.isascii() and self.odd[np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")].any():
+            text = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+            return b"".join(self.words[self._unlettered(piece)] for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text))
         for step in self._normal:
             text = step(text)
         if self._prefix_space and text and not text[0].isspace():
@@ -179,9 +194,29 @@ class Bpe:
         return self.decode(np.frombuffer(ids, dtype="<u4"))
 
 
+@lru_cache(maxsize=1)
+def differing() -> bytes:
+    """A bit for each code point that Python's tables and the library's classify, lower or normalise differently, or that Python's do not know."""
+    every = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    apart = {c for c in every if unicodedata.category(c) == "Cn"}
+    text, lines = "".join(every), "\n".join(every)
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        cut = tokenizers.pre_tokenizers.Split(tokenizers.Regex(kind + "+"), "removed", invert=True).pre_tokenize_str(text)
+        apart |= set(regex.findall(kind.replace(r"\s", r"\p{White_Space}"), text)) ^ set("".join(piece for piece, _ in cut))
+    nfc = tokenizers.normalizers.NFC()
+    for own, step in ((unicodedata.normalize("NFC", lines), nfc), (lines.replace("Σ", "σ").lower(), tokenizers.normalizers.Lowercase())):
+        apart |= {c for c, a, b in zip(every, own.split("\n"), step.normalize_str(lines).split("\n"), strict=True) if a != b}
+    for c in filter(unicodedata.combining, every):  # marks that change places with others for one of the two only
+        if nfc.normalize_str(f"\u0301{c}\u0334") != unicodedata.normalize("NFC", f"\u0301{c}\u0334"):
+            apart.add(c)
+    bits = np.zeros(0x110000, dtype=bool)
+    bits[[ord(c) for c in apart]] = True
+    return np.packbits(bits).tobytes()
+
+
 @lru_cache(maxsize=4)
-def _loaded(spec: str) -> Bpe:
-    return Bpe(spec)
+def _loaded(spec: str, odd: bytes | None = None) -> Bpe:
+    return Bpe(spec, odd)
 
 
 def read_spec(path: str) -> str:
@@ -191,9 +226,9 @@ def read_spec(path: str) -> str:
 
 
 def shared_bpe(spark, path: str):
-    """A function that returns the worker's own :class:`Bpe`; the file goes out once as a broadcast of its fixed size."""
-    sent = spark.sparkContext.broadcast(read_spec(path))
-    return lambda: _loaded(sent.value)
+    """A function that returns the worker's own :class:`Bpe`; file and table go out once as a broadcast of their fixed size."""
+    sent = spark.sparkContext.broadcast((read_spec(path), differing()))
+    return lambda: _loaded(*sent.value)
 
 
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])

@@ -12,13 +12,15 @@ Texts are equal if the same after white space ``[\\x20\\x09-\\x0D]`` is deleted.
    run with an error.
 4. Rows whose fingerprint occurs once are their own class.
 
-A range holds about ``RANGE_ROWS`` fingerprints at any size of the corpus, and
-copies only raise a count, so that no task gathers a group of copies.
+A range holds about ``RANGE_ROWS`` fingerprints up to two billion rows; beyond that
+there are ``1 << MOST_BITS`` ranges, which grow (30 MB each at 50 billion rows), so
+that what a task sends to a range stays worth a filter. Copies only raise a count,
+so that no task gathers a group of copies.
 
 Edge cases: a null text counts as empty, and all empty texts are equal; of equal
-texts the longest original stays, then the smallest id, null ids last; repeated
-rows with the same id share that id's decision; an empty table gives no rows;
-other columns are ignored.
+texts the longest original stays, then the smallest id, null ids last, and of rows
+that are alike in all this exactly one; texts of any length pass whole; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from lodeworks.llm.common import Scratch, broadcast_if_small, by_range, gathered
 from lodeworks.llm.quotient import CountingQuotientFilter
 
 RANGE_ROWS = 1 << 17
+MOST_BITS = 14
 #: Largest table of suspected fingerprints, in bytes, that is sent to all executors; a larger one is joined by shuffle.
 BROADCAST_BYTES = 16 << 20
 #: White space that does not count (fixed value).
@@ -48,9 +51,9 @@ def _filters(bits: int):
     def build(batches):
         for values in gathered(batches):
             values = values[np.argsort(values >> np.uint64(64 - bits), kind="stable")]
-            for prefix, part in by_range(values, bits):
-                data = CountingQuotientFilter.of(part, shared_bits=bits).dump()
-                yield pa.RecordBatch.from_arrays([pa.array([prefix], pa.int32()), pa.array([data], pa.binary())], schema=kind)
+            parts = list(by_range(values, bits))
+            filters = [CountingQuotientFilter.of(part, shared_bits=bits).dump() for _, part in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([prefix for prefix, _ in parts], pa.int32()), pa.array(filters, pa.binary())], schema=kind)
 
     return build
 
@@ -70,17 +73,17 @@ def _merge(bits: int):
 
 def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
     """(fp, n) of the values that occur more than once in the only column of ``fingerprints`` (long)."""
-    bits = max(5, int(np.ceil(np.log2(max(1, rows) / RANGE_ROWS))))
+    bits = min(MOST_BITS, max(5, int(np.ceil(np.log2(max(1, rows) / RANGE_ROWS)))))
     built = fingerprints.mapInArrow(_filters(bits), "range int, filter binary")
     return built.groupBy("range").applyInArrow(_merge(bits), "fp long, n long")
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) for each row."""
+    """(doc_id, keep_id, group_size, kept, text_sha256, text_md5) for each row; the last one is of the text as it is."""
     scratch = Scratch(df.sparkSession, "exact")
     docs = id_and_text(df, id_col, text_col)
-    norm = docs.select("doc_id", F.char_length("text").cast("long").alias("points"), normalised(F.col("text")).alias("norm"))
-    marked = norm.select("doc_id", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("digest"), "points")
+    norm = docs.select("doc_id", F.char_length("text").cast("long").alias("points"), normalised(F.col("text")).alias("norm"), F.md5("text").alias("text_md5"))
+    marked = norm.select("doc_id", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("digest"), "points", "text_md5", F.monotonically_increasing_id().alias("row"))
     base = scratch.write(marked, "base")
     suspects = scratch.write(repeated_fingerprints(base.select("fp"), base.count()).select("fp"), "suspects")
     small = broadcast_if_small(scratch, suspects, "suspects", BROADCAST_BYTES)
@@ -91,9 +94,9 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     verified = verified.groupBy("digest").agg(
         F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("two texts have one digest"))).otherwise(F.max("copies")).cast("long").alias("group_size")
     )
-    best = F.max(F.struct("points", (-F.col("doc_id")).alias("minus"))).alias("best")  # nulls are smallest, so null ids come last
+    best = F.min(F.struct((-F.col("points")).alias("shorter"), F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("best")
     chosen = base.join(small, "fp", "left_semi").groupBy("digest").agg(best).join(verified, "digest")
-    classes = scratch.write(chosen.where("group_size > 1").select("digest", (-F.col("best.minus")).alias("chosen_id"), "group_size"), "classes")
+    classes = scratch.write(chosen.where("group_size > 1").select("digest", F.col("best.doc_id").alias("chosen_id"), F.col("best.row").alias("chosen"), "group_size"), "classes")
     scratch.keep("base", "classes")
     out = base.join(broadcast_if_small(scratch, classes, "classes", BROADCAST_BYTES), "digest", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("chosen_id"))
@@ -101,6 +104,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        F.coalesce(F.col("row") == F.col("chosen"), F.lit(True)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "text_md5",
     )

@@ -10,16 +10,18 @@ doc_id that holds them.
    the first has seen enters the second. A second look at the packed hashes keeps
    those that the second filter knows: all repeated hashes, and a few others. The
    number of ranges follows the corpus, so the filters' size does not.
-2. Only lines with a suspected hash leave their task with their text, to be
-   counted exactly and to choose the document that keeps them; counts and largest
-   ids are combined in each task first.
-3. The keys that a document loses come back to it by its id.
-
-Edge cases: a null or empty text is one empty line; a document is a row, so rows
-with the same id count as two documents; with null ids among the holders, the
-largest id that is not null keeps the lines, and rows with a null id lose them
-(if all ids are null, none loses any); an empty table gives no rows; other columns
-are ignored.
+2. Only lines with a suspected hash leave their task with their text and place, to be
+   counted exactly and to choose the document that keeps them; rows of a document
+   and a key, then counts and largest ids, are combined in each task first.
+3. The places that a text loses come back to it by its id and digest. What is kept
+   are the slices between them, so that the work is linear in a text's lines.
+
+Edge cases: a null or empty text is one empty line; rows with equal ids are one
+document, and each of them loses what it would lose alone; each row with a null id
+counts as a document, and with any other id among the holders the largest of those
+keeps the lines and rows with a null id lose them (if all ids are null, none loses
+any); texts of any length and number of lines pass whole; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ MIN_POINTS = 20
 MIN_DOCUMENTS = 3
 #: Hashes that a range is made for.
 RANGE_HASHES = 1 << 18
+#: There are as many ranges as that many bits tell apart, at most; past 17 billion hashes they grow.
+MOST_BITS = 16
 #: Bits of a Bloom filter for each of these, and its hash functions.
 BITS_EACH, PROBES = 16, 4
 #: Largest written tables, of hashes and of lines, that are sent to all executors; larger ones are joined by shuffle.
@@ -50,27 +54,30 @@ def line_key(line: Column) -> Column:
 
 
 class TwoBlooms:
-    """Once-seen and twice-seen filters of 64-bit hashes."""
+    """Once-seen and twice-seen filters of 64-bit hashes, a bit for each place."""
 
     def __init__(self, hashes: int):
         self.size = np.uint64(max(1024, hashes * BITS_EACH))
-        self.once = np.zeros(int(self.size), dtype=bool)
-        self.twice = np.zeros(int(self.size), dtype=bool)
+        self.once = np.zeros(int(self.size) // 8 + 1, dtype=np.uint8)
+        self.twice = np.zeros(int(self.size) // 8 + 1, dtype=np.uint8)
 
-    def _places(self, values: np.ndarray) -> np.ndarray:
+    def _places(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and bits of the places of each value, a row for each probe."""
         a = values * np.uint64(0x9E3779B97F4A7C15)
         b = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
-        return np.stack([((a + np.uint64(k) * b) >> np.uint64(11)) % self.size for k in range(PROBES)])
+        places = np.stack([((a + np.uint64(k) * b) >> np.uint64(11)) % self.size for k in range(PROBES)])
+        return (places >> np.uint64(3)).astype(np.int64), np.left_shift(1, (places & np.uint64(7)).astype(np.uint8), dtype=np.uint8)
 
     def add(self, values: np.ndarray) -> None:
         """Add hashes, each at most once a call."""
-        places = self._places(values)
-        seen = self.once[places].all(axis=0)
-        self.twice[places[:, seen]] = True
-        self.once[places] = True
+        at, bit = self._places(values)
+        seen = (self.once[at] & bit).all(axis=0)
+        np.bitwise_or.at(self.twice, at[:, seen], bit[:, seen])
+        np.bitwise_or.at(self.once, at, bit)
 
     def suspected(self, values: np.ndarray) -> np.ndarray:
-        return values[self.twice[self._places(values)].all(axis=0)]
+        at, bit = self._places(values)
+        return values[(self.twice[at] & bit).all(axis=0)]
 
 
 def _ranges(bits: int):
@@ -104,27 +111,35 @@ def drop_repeated_lines(
     """(doc_id, n_lines, n_dropped, kept_text) for each row."""
     scratch = Scratch(df.sparkSession, "lines")
     docs = id_and_text(df, id_col, text_col)
-    lines = F.split("text", "\n", -1)
+    lines, mark = F.split("text", "\n", -1), F.unhex(F.md5("text"))
     long_keys = F.array_distinct(F.filter(F.transform(lines, line_key), lambda k: F.char_length(k) >= min_points))
     keys = docs.select("doc_id", F.explode(long_keys).alias("key")).withColumn("hash", F.xxhash64("key"))
     rows = scratch.write(keys.select("hash"), "hashes")
-    bits = max(5, int(np.ceil(np.log2(max(1, rows.count()) / RANGE_HASHES))))
+    bits = min(MOST_BITS, max(5, int(np.ceil(np.log2(max(1, rows.count()) / RANGE_HASHES)))))
     packed = rows.mapInArrow(_ranges(bits), "range int, hashes binary")
     suspected = scratch.write(packed.groupBy("range").applyInArrow(_suspect, "hash long"), "suspected")
-    found = keys.join(broadcast_if_small(scratch, suspected, "suspected", BROADCAST_BYTES), "hash", "left_semi").select("doc_id", "key")
+    rowed = docs.select("doc_id", mark.alias("mark"), F.monotonically_increasing_id().alias("row"), lines.alias("lines"))  # once a row, not a line
+    placed = rowed.select("doc_id", "mark", "row", F.posexplode("lines").alias("place", "line")).withColumn("key", line_key(F.col("line")))
+    placed = placed.where(F.char_length("key") >= min_points).withColumn("hash", F.xxhash64("key"))
+    found = placed.join(broadcast_if_small(scratch, suspected, "suspected", BROADCAST_BYTES), "hash", "left_semi").select("doc_id", "mark", "row", "place", "key")
     found = scratch.write(found, "found")
-    repeated = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("owner"))
+    # a document holds a key once, however often; rows with a null id are told apart by where they were written
+    row = F.when(F.col("doc_id").isNull(), F.col("row"))
+    held = found.select("key", "doc_id", row.alias("row")).distinct()
+    repeated = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("owner"))
     repeated = scratch.write(repeated.where((F.col("n") >= min_documents) & F.col("owner").isNotNull()).select("key", "owner"), "repeated")
     lost = found.join(broadcast_if_small(scratch, repeated, "repeated", BROADCAST_TEXT_BYTES), "key").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
-    lost = scratch.write(lost.groupBy("doc_id").agg(F.collect_set("key").alias("lost")), "lost")
+    lost = lost.groupBy(F.col("doc_id").alias("lost_by"), F.col("mark").alias("lost_mark")).agg(F.array_sort(F.collect_set("place")).alias("lost"))
+    lost = scratch.write(lost, "lost")
     scratch.keep("lost")
-    lost = broadcast_if_small(scratch, lost, "lost", BROADCAST_TEXT_BYTES).withColumnRenamed("doc_id", "lost_by")
-    joined = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_by")), "left")
-    kept = F.filter(lines, lambda line: ~F.array_contains(F.col("lost"), line_key(line)))
-    out = joined.withColumn("lines", lines).withColumn("stay", F.when(F.col("lost").isNull(), F.col("lines")).otherwise(kept))
+    lost = broadcast_if_small(scratch, lost, "lost", BROADCAST_BYTES)
+    joined = docs.withColumn("mark", mark).join(lost, F.col("doc_id").eqNullSafe(F.col("lost_by")) & (F.col("mark") == F.col("lost_mark")), "left")
+    out = joined.withColumn("lines", lines)
+    gaps = F.zip_with(F.concat(F.array(F.lit(-1)), "lost"), F.concat("lost", F.array(F.size("lines"))), lambda a, b: F.struct((a + 2).alias("first"), (b - a - 1).alias("n")))
+    kept = F.flatten(F.transform(gaps, lambda x: F.slice(F.col("lines"), x["first"], x["n"])))
     return out.select(
         "doc_id",
         F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size("stay")).cast("long").alias("n_dropped"),
-        F.array_join("stay", "\n").alias("kept_text"),
+        F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )

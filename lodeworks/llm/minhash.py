@@ -2,12 +2,12 @@
 
 A document's set holds the 64-bit hashes of its 5-word shingles; its signature
 holds, for each of ``CHUNKS * WIDTH`` hash functions, 16 bits of the smallest
-value. Two signatures that differ in at most ``2 * CHUNKS - 1`` places have, by the
-pigeonhole principle, a chunk in which they differ in one place at most. So every
+value. Two signatures that differ in at most ``FAR = 2 * CHUNKS - 1`` places have, by
+the pigeonhole principle, a chunk in which they differ in one place at most. So every
 document is indexed once for each chunk and each place of it left out: all pairs
-within that distance meet under a key. (Pairs farther apart usually do as well: of
-pairs with a similarity of 0.75, all but one in twenty thousand.) What meets is
-checked by signature distance, and then on the full sets.
+within that distance meet under a key, and are then checked on the full sets. (At a
+similarity of 0.75 a pair lies beyond it once in 11,000; such a link is found only
+by way of other documents.)
 
 Documents with equal sets are one node. To find components, not all pairs under a
 key are needed:
@@ -18,15 +18,19 @@ key are needed:
    the centre's component are compared with all members, in blocks of a bounded
    size, and the closest pairs between two components are checked on the full sets.
 3. Components that still meet, directly or through others, form a cluster. In it all
-   documents but those of its largest component pass blocks of the inverted lists of
-   all its documents, on the full sets. What is sent grows with the documents outside
-   the largest component times the cluster's blocks, not with pairs.
+   documents but those of its largest component pass the inverted lists of all its
+   documents, on the full sets, block by block: a block of documents asked for and
+   one of documents asked have about ``LISTED`` shingles each, so that a task holds
+   no more at any size of a cluster. What is sent grows with the documents outside
+   the largest component times the cluster's blocks.
 
 Edge cases: a null or empty text has an empty set and links with nothing; texts of
-fewer than five words have one shingle; rows with a null id belong to the class of
-their set, but cannot be its smallest id (a class of null ids only has a null
-component and is kept); rows with equal ids must have equal texts and share their
-decision; an empty table gives no rows; other columns are ignored.
+fewer than five words have one shingle; texts of any length pass whole; rows with a
+null id belong to the class of their set and link like others, but cannot give a
+component its id (a component of null ids only has a null id); of each component
+exactly one row is kept, one with the smallest id, however often that row occurs;
+rows that share an id but not a text are told apart; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,18 +46,18 @@ from lodeworks.llm.common import Scratch, broadcast_if_small, id_and_text, map_r
 from lodeworks.llm.components import connected_components
 
 WORDS = 5
-CHUNKS, WIDTH = 10, 5
+CHUNKS, WIDTH = 13, 4
 PLACES = CHUNKS * WIDTH
-#: Signature distance up to which pairs are checked on their sets: at a similarity of 0.75 a pair is beyond it once in 40,000.
-FAR = 25
+#: Signature distance up to which all pairs meet and are checked on their sets.
+FAR = 2 * CHUNKS - 1
 #: Similarity, in hundredths, from which on documents link.
 SIMILAR = 75
 #: Members of a key that are compared in one piece.
 BLOCK = 512
 #: Closest partners of a document, outside its component, that are checked before whole clusters are searched.
 CLOSEST = 4
-#: Documents of a cluster whose inverted lists are held at once.
-LISTED = 256
+#: Shingles of the documents of a cluster whose inverted lists are held at once.
+LISTED = 1 << 17
 BROADCAST_BYTES = 8 << 20
 _KEPT_WORDS = 1 << 18
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,12 +114,12 @@ def _base(docs: DataFrame) -> DataFrame:
 
         def each(c):
             sets = [shingles(t, hashes) for t in c["text"]]
-            return {"doc_id": c["doc_id"], "n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sig": [signature(s) for s in sets]}
+            return {"row": c["row"], "text_md5": c["text_md5"], "doc_id": c["doc_id"], "n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sig": [signature(s) for s in sets]}
 
         return each
 
-    kinds = [("doc_id", T.LongType()), ("n", T.LongType()), ("digest", T.BinaryType()), ("sig", T.BinaryType())]
-    return map_rows(docs, start, T.StructType([T.StructField(*k) for k in kinds]))
+    kinds = [("row", T.LongType()), ("text_md5", T.StringType()), ("doc_id", T.LongType()), ("n", T.LongType()), ("digest", T.BinaryType()), ("sig", T.BinaryType())]
+    return map_rows(docs.withColumn("row", F.monotonically_increasing_id()).withColumn("text_md5", F.md5("text")), start, T.StructType([T.StructField(*k) for k in kinds]))
 
 
 def _all_keys(sigs: np.ndarray) -> np.ndarray:
@@ -244,23 +248,31 @@ def _by_group(keys: tuple[str, ...], one, out):
         return _signatures(values.to_pylist()) if name == "sig" else values.to_numpy(zero_copy_only=False)
 
     def run(batches):
-        rest: dict[str, np.ndarray] = {}
+        held: list[dict[str, np.ndarray]] = []  # parts of a group whose end has not come yet
+
+        def whole():
+            return {name: np.concatenate([part[name] for part in held]) for name in held[0]}
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             c = {name: column(name, batch.column(k)) for k, name in enumerate(batch.schema.names)}
-            c = {name: np.concatenate([rest[name], v]) if rest else v for name, v in c.items()}
-            new = np.zeros(len(c[keys[0]]) - 1, dtype=bool)
+            new = np.zeros(batch.num_rows - 1, dtype=bool)
             for k in keys:
-                new |= np.diff(c[k]) != 0
-            cuts, found = [0, *(np.flatnonzero(new) + 1).tolist()], []
+                new |= c[k][1:] != c[k][:-1]
+            cuts, found = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows], []
+            if held and any(held[-1][k][-1] != c[k][0] for k in keys):
+                one(whole(), found)
+                held = []
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                one({name: v[lo:hi] for name, v in c.items()}, found)
-            rest = {name: v[cuts[-1] :] for name, v in c.items()}
+                held.append({name: v[lo:hi] for name, v in c.items()})
+                if hi < batch.num_rows:
+                    one(whole(), found)
+                    held = []
             if found:
                 yield out(found)
-        if rest:
-            one(rest, found := [])
+        if held:
+            one(whole(), found := [])
             if found:
                 yield out(found)
 
@@ -293,16 +305,16 @@ def _link_rows(found: list):
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row."""
+    """(doc_id, n_shingles, component_id, kept, text_md5) for each row."""
     scratch = Scratch(df.sparkSession, "minhash")
     docs = id_and_text(df, id_col, text_col)
     base = scratch.write(_base(docs), "base")
-    nodes = base.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("sig").alias("sig"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first")
+    nodes = base.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.max("n").alias("n"), F.max("sig").alias("sig"), first)
     nodes = scratch.write(nodes, "nodes")
-    named = nodes.where("node is not null")
-    ends = lambda s: named.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
+    ends = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
 
-    keys = named.select("node", "sig").mapInArrow(_keys, "key long, node long")
+    keys = nodes.select("node", "sig").mapInArrow(_keys, "key long, node long")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = scratch.write(shared, "counts")
     shared = scratch.write(keys.join(shared, "key"), "shared")
@@ -313,50 +325,69 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     star = scratch.write(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "star")
     close = star.join(ends("a"), "a").join(ends("b"), "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(_near, "a long, b long")
     close = scratch.write(close, "close-0")
-    edges = scratch.write(_checked(scratch, docs, close, 0), "edges-0")
+    edges = scratch.write(_checked(scratch, docs, nodes, close, 0), "edges-0")
     labels = connected_components(edges)
-    met = _meeting(scratch, shared, centre, labels, named, 1)
+    met = _meeting(scratch, shared, centre, labels, nodes, 1)
     closest = scratch.write(met.mapInArrow(_across(CLOSEST), "a long, b long").distinct(), "closest")
     if not closest.isEmpty():
         new = scratch.write(closest.join(close, ["a", "b"], "left_anti"), "close-1")
         if not new.isEmpty():
-            edges = scratch.write(edges.union(_checked(scratch, docs, new, 1)), "edges-1")
+            edges = scratch.write(edges.union(_checked(scratch, docs, nodes, new, 1)), "edges-1")
             labels = connected_components(edges)
-        met = _meeting(scratch, shared, centre, labels, named, 2)
+        met = _meeting(scratch, shared, centre, labels, nodes, 2)
         apart = scratch.write(met.mapInArrow(_across(None), "a long, b long").distinct(), "apart")
         if not apart.isEmpty():
-            edges = scratch.write(edges.union(_searched(scratch, docs, apart, labels, named)), "edges-2")
+            edges = scratch.write(edges.union(_searched(scratch, docs, nodes, apart, labels)), "edges-2")
             labels = connected_components(edges)
-    classes = nodes.select("digest", "node").join(labels, "node", "left")
-    classes = scratch.write(classes.select("digest", F.coalesce("component", "node").alias("component")), "classes")
+    classes = nodes.select("digest", "node", "first").join(labels, "node", "left")
+    classes = scratch.write(classes.select("digest", F.coalesce("component", "node").alias("component"), "first"), "labelled")
+    best = scratch.write(classes.groupBy("component").agg(F.min("first").alias("best")), "best")
+    classes = classes.select("digest", "component").join(best, "component")
+    classes = scratch.write(classes.select("digest", F.col("best.doc_id").alias("component"), F.col("best.row").alias("chosen")), "classes")
     scratch.keep("base", "classes")
-    out = base.select("doc_id", "n", "digest").join(classes, "digest", "left")
+    out = base.select("row", "doc_id", "n", "digest", "text_md5").join(classes, "digest", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept")
-    )
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("row") == F.col("chosen"), F.lit(True)).alias("kept"), "text_md5")
 
 
-def _sets(scratch: Scratch, docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(node, set) of the documents in ``asked`` (doc_id), made anew from their texts."""
-    asked = broadcast_if_small(scratch, scratch.write(asked.distinct(), f"asked-{k}"), f"asked-{k}", BROADCAST_BYTES)
+def _sets(scratch: Scratch, docs: DataFrame, nodes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(node, set) of the nodes in ``asked`` (node), made anew from their texts."""
+    wanted = nodes.join(asked.distinct(), "node", "left_semi").select("node", "digest", F.col("first.doc_id").alias("id"))
+    wanted = scratch.write(wanted, f"wanted-{k}")
+    ids = wanted.select("id").distinct()
+    ids = broadcast_if_small(scratch, scratch.write(ids, f"asked-{k}"), f"asked-{k}", BROADCAST_BYTES)
 
     def start():
         hashes = WordHashes()
-        return lambda c: {"node": c["doc_id"], "set": [shingles(t, hashes).astype("<u8").tobytes() for t in c["text"]]}
 
-    kind = T.StructType([T.StructField("node", T.LongType()), T.StructField("set", T.BinaryType())])
-    return scratch.write(map_rows(docs.join(asked, "doc_id", "left_semi"), start, kind), f"sets-{k}")
+        def each(c):
+            sets = [shingles(t, hashes) for t in c["text"]]
+            return {"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "set": [s.astype("<u8").tobytes() for s in sets]}
+
+        return each
+
+    kind = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("set", T.BinaryType())])
+    sets = map_rows(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"), start, kind)
+    once = broadcast_if_small(scratch, wanted.select("node", "digest"), f"wanted-{k}", BROADCAST_BYTES)
+    if _repeat(docs, ids):  # ids that are null or repeat bring more rows than nodes
+        sets = sets.join(once.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("set").alias("set"))
+    return scratch.write(sets.join(once, "digest").select("node", "set"), f"sets-{k}")
+
+
+def _repeat(docs: DataFrame, ids: DataFrame) -> bool:
+    """Whether any of the ids belongs to more than one row."""
+    rows = docs.select("doc_id").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    return not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
-def _checked(scratch: Scratch, docs: DataFrame, close: DataFrame, k: int) -> DataFrame:
+def _checked(scratch: Scratch, docs: DataFrame, nodes: DataFrame, close: DataFrame, k: int) -> DataFrame:
     """The pairs of ``close`` (a written table) that are similar by their full sets."""
-    sets = _sets(scratch, docs, close.select(F.col("a").alias("doc_id")).distinct().union(close.select(F.col("b").alias("doc_id")).distinct()), k)
+    sets = _sets(scratch, docs, nodes, close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))), k)
     of = lambda s: sets.select(F.col("node").alias(s), F.col("set").alias(f"set_{s}"))
     return close.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long")
 
 
-def _meeting(scratch: Scratch, shared: DataFrame, centre: DataFrame, labels: DataFrame, named: DataFrame, k: int) -> DataFrame:
+def _meeting(scratch: Scratch, shared: DataFrame, centre: DataFrame, labels: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """Members of the keys that have more than one component, dealt to blocks: sorted (key, i, j, query, node, component, n, sig)."""
     members = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     main = centre.join(labels, F.col("centre") == F.col("node"), "left").select("key", F.coalesce("component", "centre").alias("main"))
@@ -366,26 +397,30 @@ def _meeting(scratch: Scratch, shared: DataFrame, centre: DataFrame, labels: Dat
     open_keys = scratch.write(open_keys, f"open-{k}")
     at = lambda of: F.pmod(F.xxhash64("node"), F.ceil(F.col(of) / BLOCK)).cast("int")
     parts = lambda of: F.sequence(F.lit(0), F.ceil(F.col(of) / BLOCK).cast("int") - 1)
-    rows = members.join(open_keys, "key").join(named.select("node", "n", "sig"), "node")
+    rows = members.join(open_keys, "key").join(nodes.select("node", "n", "sig"), "node")
     targets = rows.select("key", at("all").alias("i"), F.explode(parts("outside")).alias("j"), F.lit(False).alias("query"), "node", "component", "n", "sig")
     queries = rows.where("out").select("key", F.explode(parts("all")).alias("i"), at("outside").alias("j"), F.lit(True).alias("query"), "node", "component", "n", "sig")
     return targets.unionByName(queries).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def _searched(scratch: Scratch, docs: DataFrame, apart: DataFrame, labels: DataFrame, named: DataFrame) -> DataFrame:
+def _searched(scratch: Scratch, docs: DataFrame, nodes: DataFrame, apart: DataFrame, labels: DataFrame) -> DataFrame:
     """Links (a, b) between the components that ``apart`` (a, b) joins to clusters: at least one for each two of them that have any."""
     clusters = connected_components(apart).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
-    placed = named.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    placed = nodes.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
     placed = scratch.write(placed.join(clusters, "component"), "placed")
-    sizes = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = F.max(F.struct("size", (-F.col("component")).alias("minus"))).alias("largest")
+    sizes = placed.groupBy("cluster", "component").agg(F.sum("n").alias("size"))
+    largest = F.max(F.struct("size", "component")).alias("largest")
     sizes = sizes.groupBy("cluster").agg(F.sum("size").alias("all"), largest)
-    sizes = scratch.write(sizes.select("cluster", F.ceil(F.col("all") / LISTED).cast("int").alias("blocks"), (-F.col("largest.minus")).alias("main")), "sizes")
-    sized = placed.join(sizes, "cluster")
-    columns = "cluster", "i", "query", "node", "component"
-    targets = sized.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("query", F.lit(False)).select(*columns)
-    queries = sized.where("component <> main").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(True)).select(*columns)
+    blocks = lambda c: F.ceil(c / LISTED).cast("int")
+    sizes = sizes.select("cluster", F.col("largest.component").alias("main"), blocks(F.col("all")).alias("n_i"), blocks(F.col("all") - F.col("largest.size")).alias("n_j"))
+    sized = placed.join(scratch.write(sizes, "sizes"), "cluster")
+    columns = "cluster", "i", "j", "query", "node", "component"
+    own = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    targets = sized.withColumn("i", own("n_i")).withColumn("j", every("n_j")).withColumn("query", F.lit(False)).select(*columns)
+    queries = sized.where("component <> main").withColumn("j", own("n_j")).withColumn("i", every("n_i")).withColumn("query", F.lit(True)).select(*columns)
     rows = scratch.write(targets.unionByName(queries), "to-search")
-    sets = _sets(scratch, docs, placed.select(F.col("node").alias("doc_id")), 2)
-    dealt = rows.join(sets, "node").select(*columns, "set").repartition("cluster", "i").sortWithinPartitions("cluster", "i")
-    return dealt.mapInArrow(_by_group(("cluster", "i"), _linked, _link_rows), "a long, b long")
+    sets = _sets(scratch, docs, nodes, placed.select("node"), 2)
+    keys = "cluster", "i", "j"
+    dealt = rows.join(sets, "node").select(*columns, "set").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(_by_group(keys, _linked, _link_rows), "a long, b long")

@@ -5,8 +5,8 @@ length and a rest. Rests are routed to tiers, the smallest window length that
 holds them. From the longest tier down, a window is opened by the longest waiting
 piece of its tier; its gap is filled with the longest pieces of shorter tiers
 that fit, and the head of one more piece fills what is left. The last window of a
-block falls into exact shorter windows, so that a block has one window with
-padding at most. Windows are dealt to step groups of near equal token counts.
+block falls into windows whose lengths are powers of two, so that none has any
+padding. Windows are dealt to step groups of near equal token counts.
 
 Tasks tokenise and pack what they read, in blocks of a bounded number of tokens,
 so that there is no shuffle and what a task holds does not follow its input.
@@ -64,15 +64,15 @@ def pack(lengths, tiers=TIERS) -> list[list[tuple[int, int, int]]]:
                 n = gap
             window.append((row, start, n))
             gap -= n
-        windows += [window] if not gap else _exact(window, tiers)
+        windows += [window] if not gap else _exact(window)
     return windows
 
 
-def _exact(pieces: list[tuple[int, int, int]], tiers) -> list[list[tuple[int, int, int]]]:
-    """The pieces of a window that cannot be filled, as exact windows of shorter tiers and one rest."""
+def _exact(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """The pieces of a window that cannot be filled, as windows of powers of two, longest first."""
     left, out = sum(p[2] for p in pieces), []
-    for size in reversed(tiers):
-        while left >= size:
+    for size in (1 << k for k in reversed(range(left.bit_length()))):
+        if left & size:
             window, need = [], size
             while need:
                 row, start, n = pieces.pop(0)
@@ -82,8 +82,7 @@ def _exact(pieces: list[tuple[int, int, int]], tiers) -> list[list[tuple[int, in
                 window.append((row, start, n))
                 need -= n
             out.append(window)
-            left -= size
-    return out + [pieces] * bool(left)
+    return out
 
 
 def step_groups(sizes: list[int], tokens: int) -> list[int]:

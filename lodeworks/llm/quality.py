@@ -16,11 +16,12 @@ empty table gives no rows; columns besides id and text are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,9 +157,9 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "quality", samp
     return fit(x[order], y[order])
 
 
-def with_score(df: DataFrame, forest: Forest, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``df`` and the score of each row's text."""
-    sent = df.sparkSession.sparkContext.broadcast(forest)  # a few hundred KB, whatever the corpus
+def scorer(spark: SparkSession, forest: Forest) -> Callable[[Column], Column]:
+    """Function from a column of texts to their scores; a null text counts as empty."""
+    sent = spark.sparkContext.broadcast(forest)  # a few hundred KB, whatever the corpus
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
@@ -168,9 +169,9 @@ def with_score(df: DataFrame, forest: Forest, text_col: str = "text", score_col:
             out[at : at + 512] = sent.value.score(np.stack([statistics(t) for t in part]))
         return pd.Series(out)
 
-    return df.withColumn(score_col, score(F.coalesce(F.col(text_col), F.lit(""))))
+    return lambda text: score(F.coalesce(text, F.lit("")))
 
 
 def score_documents(df: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for each row."""
-    return with_score(id_and_text(df, id_col, text_col), forest).select("doc_id", "score")
+    return id_and_text(df, id_col, text_col).select("doc_id", scorer(df.sparkSession, forest)(F.col("text")).alias("score"))

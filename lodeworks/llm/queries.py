@@ -33,11 +33,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("text_md5")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_md5")
 
 
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ c AS (
 r AS (SELECT *, n * 10 AS ts FROM c WHERE n % 13 <> 0),
 v AS (SELECT n, canonical_url, n * 10 + CASE WHEN n % 11 = 0 THEN -5 ELSE 5 END AS ts,
         CASE WHEN n % 7 = 0 THEN '"stale"' ELSE etag END AS bare_etag, CASE WHEN n % 7 = 0 THEN '"stale"' ELSE 'W/' || etag END AS etag, modified
-      FROM c WHERE n % 3 <> 0),
+      FROM c),
 b AS (SELECT v.*, r.n AS rn, r.ts AS rts, r.etag AS retag, r.modified AS rmod, r.digest AS rdigest,
         coalesce(v.bare_etag = r.etag, v.modified = r.modified) AS agree
       FROM v ASOF LEFT JOIN r ON v.canonical_url = r.canonical_url AND v.ts > r.ts),

@@ -21,8 +21,11 @@ class CountingQuotientFilter:
     def of(cls, fingerprints: np.ndarray, counts: np.ndarray | None = None, shared_bits: int = 0) -> CountingQuotientFilter:
         """Filter of fingerprints (uint64) whose upper ``shared_bits`` bits are the same."""
         order = np.argsort(fingerprints, kind="stable")
-        values = fingerprints[order]
-        weights = np.ones(len(values), dtype=np.int64) if counts is None else counts[order]
+        return cls._counted(fingerprints[order], np.ones(len(order), dtype=np.int64) if counts is None else counts[order], shared_bits)
+
+    @classmethod
+    def _counted(cls, values: np.ndarray, weights: np.ndarray, shared_bits: int) -> CountingQuotientFilter:
+        """Filter of ascending fingerprints with their weights."""
         first = np.ones(len(values), dtype=bool)
         first[1:] = values[1:] != values[:-1]
         starts = np.flatnonzero(first)
@@ -83,6 +86,10 @@ class CountingQuotientFilter:
         return cls(q, parts[0], parts[1], parts[2], remainders, counts)
 
     def merged(self, other: CountingQuotientFilter, prefix: int = 0, shared_bits: int = 0) -> CountingQuotientFilter:
-        """Filter of both: their sorted fingerprints are merged and laid out anew, counts of equal ones added."""
+        """Filter of both: their sorted runs are merged, without sorting again, and laid out anew, counts of equal ones added."""
         (a, n), (b, m) = self.items(prefix, shared_bits), other.items(prefix, shared_bits)
-        return CountingQuotientFilter.of(np.concatenate([a, b]), np.concatenate([n, m]), shared_bits)
+        values, counts = np.empty(len(a) + len(b), dtype=np.uint64), np.empty(len(a) + len(b), dtype=np.int64)
+        for own, number, place in ((a, n, np.searchsorted(b, a, "left")), (b, m, np.searchsorted(a, b, "right"))):
+            place = place + np.arange(len(own))
+            values[place], counts[place] = own, number
+        return CountingQuotientFilter._counted(values, counts, shared_bits)

@@ -97,7 +97,7 @@ def shard_by_bytes(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.shiftrightunsigned(F.xxhash64(text), 64 - UNIT_BITS).cast("int").alias("unit"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).cast("int").alias("cell"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(CELLS)).cast("int").alias("cell"),  # not of the id: ids may be null or repeat
     )
     rows = scratch.write(rows, "rows")
     sizes = np.zeros(1 << UNIT_BITS, dtype=np.int64)

@@ -9,17 +9,17 @@ two documents share has the same chunks in both, but for its two ends.
 1. Tasks send the 64-bit digests of their chunks, packed and without repetition, to
    the range of digests they belong to; digests that more than one chunk has are
    suspected.
-2. Only suspected chunks become rows: tasks know the suspected digests by 32 of
-   their bits, in a sorted array of a checked size; beyond that size all chunks
-   become rows and are joined with the suspected ones. Of a digest's documents the smallest id keeps
+2. Chunks are joined with the suspected digests, at any size of the corpus in the
+   same way; what matches carries a second, independent digest, so that chunks count
+   as equal only if 128 bits agree. Of such a pair's documents the smallest id keeps
    its chunks, the others may lose theirs; the ids are combined in each task first.
 3. Neighbouring lost chunks form runs. Runs of at least ``LEAST`` bytes are cut out
    of their document; shorter ones, common phrases, stay.
 4. Passages of few bytes or of a short period can have no such run. So each window
    of ``LONG`` words also has a seed, the smallest hash of the ``GRAM`` words in a row
    in it, which goes with the chunks' digests through 1 and 2. Windows with a lost
-   seed and no byte in a run are looked up by their own digest, and cut whole if a
-   smaller id has the window too. A window of ``LONG`` words that a smaller id has is
+   seed and no byte in a run are looked up by their own digest, among the windows of
+   that seed in other documents, and cut whole if a smaller id has the window too. A window of ``LONG`` words that a smaller id has is
    thus never kept whole. (Of a longer passage that has a run, what lies outside the
    run, fewer than ``LONG`` words on a side, stays.)
 
@@ -50,8 +50,7 @@ AROUND, MOST, LEAST = 15, 64, 120
 RANGE_DIGESTS = 1 << 18
 #: Words of the shortest passage that is never kept whole, and words of which a seed is the hash; a power of two.
 LONG, GRAM = 51, 16
-#: Suspected digests that are sent to all executors at most, 4 bytes each, and largest other tables, in bytes.
-BROADCAST_DIGESTS = 8_000_000
+#: Largest tables, in bytes, that are sent to all executors; larger ones are joined by shuffle.
 BROADCAST_BYTES = 4 << 20
 _RNG = np.random.default_rng(3)
 _GEAR = _RNG.integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -59,6 +58,8 @@ _NONE = np.uint32(0xFFFFFFFF)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _POWER = np.cumprod(np.full(MOST, 0x9E3779B97F4A7C15, dtype=np.uint64))
+_BYTE_2 = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_POWER_2 = np.cumprod(np.full(MOST, 0xD1342543DE82EF95, dtype=np.uint64))
 
 
 def _low(h: np.ndarray, k: int) -> np.ndarray:
@@ -91,17 +92,29 @@ def ends(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _mixed(value: np.ndarray) -> np.ndarray:
+    value = (value ^ (value >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (value ^ (value >> np.uint64(32))).view(np.int64)
+
+
 def chunks(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the chunks, and the end; their digests (int64)."""
+    return checked_chunks(text, False)[:2]
+
+
+def checked_chunks(text: str, check: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the chunks, and the end; their digests, and second digests if asked for (int64)."""
     data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
+    none = np.zeros(0, dtype=np.int64)
     if not len(data):
-        return np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.zeros(1, dtype=np.int64), none, none
     stop = ends(data)
     start = np.concatenate([[0], stop[:-1]])
     offset = np.arange(len(data)) - np.repeat(start, stop - start)
-    value = np.add.reduceat(_BYTE[data] * _POWER[offset], start) + (stop - start).astype(np.uint64)
-    value = (value ^ (value >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.append(start, len(data)), (value ^ (value >> np.uint64(32))).view(np.int64)
+    size = (stop - start).astype(np.uint64)
+    value = _mixed(np.add.reduceat(_BYTE[data] * _POWER[offset], start) + size)
+    second = _mixed(np.add.reduceat(_BYTE_2[data] * _POWER_2[offset], start) + size) if check else none
+    return np.append(start, len(data)), value, second
 
 
 def _joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -183,44 +196,25 @@ def _repeated(key, table):
     return pa.table({"digest": pa.array(np.unique(values[1:][values[1:] == values[:-1]]).view(np.int64), pa.int64())})
 
 
-def _tags(digests: np.ndarray) -> np.ndarray:
-    return (digests.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
-
-
-def _known(tags: np.ndarray, digests: np.ndarray) -> np.ndarray:
-    own = _tags(digests)
-    return tags[np.minimum(np.searchsorted(tags, own), len(tags) - 1)] == own if len(tags) else np.zeros(len(own), dtype=bool)
-
-
-def _rows(known):
-    """(digest, doc_id, start, end, seed) of the chunks and of the seeds' stretches, of those only whose tag is known if tags are given."""
-
-    def run(batches):
-        tags = known and known.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, out = batch.slice(at, 256), []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    text = text.as_py()
-                    stops, digests = chunks(text)
-                    data = text.encode("utf-8", "replace")
-                    seeds, first, last = stretches(data)
-                    starts, stops = stops[:-1], stops[1:]
-                    if tags is not None:
-                        hit = _known(tags, digests)
-                        starts, stops, digests = starts[hit], stops[hit], digests[hit]
-                        hit = _known(tags, seeds)
-                        seeds, first, last = seeds[hit], first[hit], last[hit]
-                    seed = np.arange(len(digests) + len(seeds)) >= len(digests)
-                    if len(seeds):
-                        opened, closed = _places(data)
-                        digests, starts, stops = np.append(digests, seeds), np.append(starts, opened[first]), np.append(stops, closed[last])
-                    out.append((digests, np.full(len(digests), doc_id), starts, stops, seed))
-                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                columns = [pa.array(c.astype(np.int64)) for c in columns[:4]] + [pa.array(columns[4].astype(bool))]
-                yield pa.RecordBatch.from_arrays(columns, names=["digest", "doc_id", "start", "end", "seed"])
-
-    return run
+def _rows(batches):
+    """(digest, check, doc_id, start, end) of the chunks and of the seeds' stretches; a seed's end is negative, and its check 0."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part, out = batch.slice(at, 256), []
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                text = text.as_py()
+                stops, digests, checks = checked_chunks(text)
+                starts, stops = stops[:-1], stops[1:]
+                data = text.encode("utf-8", "replace")
+                seeds, first, last = stretches(data)
+                if len(seeds):
+                    opened, closed = _places(data)
+                    digests, checks = np.append(digests, seeds), np.append(checks, np.zeros(len(seeds), dtype=np.int64))
+                    starts, stops = np.append(starts, opened[first]), np.append(stops, -closed[last])
+                out.append((digests, checks, np.full(len(digests), doc_id), starts, stops))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+            kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names=["digest", "check", "doc_id", "start", "end"])
 
 
 def runs(lost: list[tuple[int, int]], least: int = LEAST) -> list[tuple[int, int]]:
@@ -249,7 +243,7 @@ def left_whole(lost: list[tuple[int, int]], seeds: list[tuple[int, int]], least:
 
 def _doubtful(least: int):
     def each(c):
-        found = [left_whole([(x["start"], x["end"]) for x in lost if not x["seed"]], [(x["start"], x["end"]) for x in lost if x["seed"]], least) for lost in c["lost"]]
+        found = [left_whole([(x["start"], x["end"]) for x in lost if x["end"] >= 0], [(x["start"], -x["end"]) for x in lost if x["end"] < 0], least) for lost in c["lost"]]
         kept = [k for k, parts in enumerate(found) if parts]
         return {"doubted": [c["lost_by"][k] for k in kept], "parts": [[{"start": a, "end": b} for a, b in found[k]] for k in kept]}
 
@@ -257,37 +251,22 @@ def _doubtful(least: int):
 
 
 def _candidates(c):
+    """(digest, seed, doc_id, start, end) of the windows inside the parts of each text."""
     out = {"digest": [], "seed": [], "doc_id": [], "start": [], "end": []}
     for doc_id, text, parts in zip(c["doc_id"], c["text"], c["parts"], strict=True):
         seeds, digests, starts, stops = windows(text)
-        inside = np.zeros(len(seeds), dtype=bool)
+        inside = np.zeros(len(seeds) + 1, dtype=np.int64)
         for part in parts:
-            inside[np.searchsorted(starts, part["start"]) : np.searchsorted(stops, part["end"], "right")] = True
+            lo, hi = np.searchsorted(starts, part["start"]), np.searchsorted(stops, part["end"], "right")
+            if lo < hi:
+                inside[lo] += 1
+                inside[hi] -= 1
+        inside = np.cumsum(inside)[:-1] > 0
         for name, values in zip(out, (digests, seeds, np.full(len(seeds), doc_id), starts, stops), strict=True):
             out[name].extend(values[inside].tolist())
     return out
 
 
-def _holders(known):
-    """(digest, doc_id) of the windows, of those only whose tag is known if tags are given."""
-
-    def start():
-        tags = known and known.value
-
-        def each(c):
-            out = {"digest": [], "doc_id": []}
-            for doc_id, text in zip(c["doc_id"], c["text"], strict=True):
-                digests = np.unique(windows(text)[1])
-                digests = digests if tags is None else digests[_known(tags, digests)]
-                out["digest"].extend(digests.tolist())
-                out["doc_id"].extend([doc_id] * len(digests))
-            return out
-
-        return each
-
-    return start
-
-
 def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
     """The text less the spans of its bytes, each shortened to whole characters, and the spans so shortened."""
     data = text.encode("utf-8", "replace")
@@ -317,14 +296,13 @@ CUT = T.StructType(
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 DOUBTFUL = T.StructType([T.StructField("doubted", T.LongType()), T.StructField("parts", _SPANS)])
 CANDIDATE = T.StructType([T.StructField(n, T.LongType()) for n in ("digest", "seed", "doc_id", "start", "end")])
-HOLDER = T.StructType([T.StructField(n, T.LongType()) for n in ("digest", "doc_id")])
 
 
 def _cut(least: int, carried: bool):
     def each(c):
         out = {f.name: [] for f in CUT} | ({"carried": c["carried"]} if carried else {})
         for doc_id, text, lost, more in zip(c["doc_id"], c["text"], c["lost"], c["more"], strict=True):
-            lost = [x for x in lost or [] if not x["seed"]]
+            lost = [x for x in lost or [] if x["end"] >= 0]
             spans = runs([(x["start"], x["end"]) for x in lost], least)
             if more:
                 spans = union(spans + [(x["start"], x["end"]) for x in more])
@@ -352,16 +330,13 @@ def cut_repeated_passages(df: DataFrame, least: int = LEAST, id_col: str = "doc_
     bits = max(5, int(np.ceil(np.log2(max(1, size / (2 * AROUND + 1) / RANGE_DIGESTS)))))
     packed = named.select("text").mapInArrow(_ranges(bits), "range int, digests binary")
     suspected = scratch.write(packed.groupBy("range").applyInArrow(_repeated, "digest long"), "suspected")
-    known = _sent(suspected)
-    found = named.mapInArrow(_rows(known), "digest long, doc_id long, start long, end long, seed boolean")
-    if known is None:
-        found = found.join(suspected, "digest", "left_semi")
-    found = scratch.write(found, "found")
-    first = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    first = scratch.write(first.select("digest", "first"), "first")
-    lost = found.join(broadcast_if_small(scratch, first, "first", BROADCAST_BYTES), "digest").where("doc_id <> first")
-    lost = lost.groupBy(F.col("doc_id").alias("lost_by")).agg(F.collect_list(F.struct("start", "end", "first", "seed")).alias("lost"))
-    lost = scratch.write(lost, "lost")
+    rows = named.mapInArrow(_rows, "digest long, check long, doc_id long, start int, end int")
+    found = scratch.write(rows.join(suspected, "digest", "left_semi"), "found")
+    first = found.groupBy("digest", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    first = scratch.write(first.select("digest", "check", "first"), "first")
+    lost = found.join(broadcast_if_small(scratch, first, "first", BROADCAST_BYTES), ["digest", "check"]).where("doc_id <> first")
+    place = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "first")
+    lost = scratch.write(lost.groupBy(F.col("doc_id").alias("lost_by")).agg(F.collect_set(place).alias("lost")), "lost")
     more = _whole_windows(scratch, named, found, lost, least)
     if more is not None:
         lost = lost.join(more, F.col("lost_by") == F.col("more_by"), "left").drop("more_by")
@@ -374,31 +349,22 @@ def cut_repeated_passages(df: DataFrame, least: int = LEAST, id_col: str = "doc_
     return map_rows(joined, _cut(least, bool(carry)), schema)
 
 
-def _sent(table: DataFrame):
-    """Tags of a written table's digests at all executors, or None if they are too many."""
-    if table.count() > BROADCAST_DIGESTS:
-        return None
-    digests = table.select("digest").toArrow().column("digest").to_numpy()
-    return table.sparkSession.sparkContext.broadcast(np.unique(_tags(digests)))
-
-
 def _whole_windows(scratch: Scratch, docs: DataFrame, found: DataFrame, lost: DataFrame, least: int) -> DataFrame | None:
     """(more_by, more): windows without a byte in a run that a smaller id has too; None if there are none to look up."""
-    doubtful = scratch.write(map_rows(lost.where(F.exists("lost", lambda x: x["seed"])), _doubtful(least), DOUBTFUL), "doubtful")
+    doubtful = scratch.write(map_rows(lost.where(F.exists("lost", lambda x: x["end"] < 0)), _doubtful(least), DOUBTFUL), "doubtful")
     doubtful = broadcast_if_small(scratch, doubtful, "doubtful", BROADCAST_BYTES)
     candidates = docs.join(doubtful, F.col("doc_id") == F.col("doubted")).select("doc_id", "text", "parts")
     candidates = scratch.write(map_rows(candidates, lambda: _candidates, CANDIDATE), "candidates")
     if candidates.isEmpty():
         return None
     seeds = scratch.write(candidates.select(F.col("seed").alias("digest")).distinct(), "seeds")
-    ids = found.where("seed").join(broadcast_if_small(scratch, seeds, "seeds", BROADCAST_BYTES), "digest", "left_semi").select("doc_id").distinct()
-    ids = scratch.write(ids, "ids")
+    places = found.where("end < 0").join(broadcast_if_small(scratch, seeds, "seeds", BROADCAST_BYTES), "digest", "left_semi")
+    places = places.groupBy(F.col("doc_id").alias("held_by")).agg(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), (-F.col("end")).cast("long").alias("end"))).alias("parts"))
+    places = broadcast_if_small(scratch, scratch.write(places, "places"), "places", BROADCAST_BYTES)
+    holders = map_rows(docs.join(places, F.col("doc_id") == F.col("held_by")).select("doc_id", "text", "parts"), lambda: _candidates, CANDIDATE)
     asked = scratch.write(candidates.select("digest").distinct(), "asked")
-    known = _sent(asked)
-    holders = map_rows(docs.join(broadcast_if_small(scratch, ids, "ids", BROADCAST_BYTES), "doc_id", "left_semi"), _holders(known), HOLDER)
-    if known is None:
-        holders = holders.join(asked, "digest", "left_semi")
+    holders = holders.select("digest", "doc_id").join(broadcast_if_small(scratch, asked, "asked", BROADCAST_BYTES), "digest", "left_semi")
     holder = scratch.write(holders.groupBy("digest").agg(F.min("doc_id").alias("first")), "holder")
     more = candidates.join(broadcast_if_small(scratch, holder, "holder", BROADCAST_BYTES), "digest").where("doc_id > first")
-    more = more.groupBy(F.col("doc_id").alias("more_by")).agg(F.collect_list(F.struct("start", "end", "first")).alias("more"))
+    more = more.groupBy(F.col("doc_id").alias("more_by")).agg(F.collect_set(F.struct("start", "end", "first")).alias("more"))
     return scratch.write(more, "more")

@@ -5,10 +5,13 @@ server did not send again. It is resolved to the latest earlier full response of
 the same canonical URL, if their validators agree; the response's headers, updated
 by those that a 304 may change, then describe the body.
 
-The as-of join is two windows, neither over all captures of a URL: captures are
-ordered inside one of ``SLICES`` slices of the time range, and each (URL, slice)
-takes the last full response of the slices before it, of which a URL has at most
-``SLICES``. A URL with a third of all captures is thus cut into many tasks.
+All captures of a URL at one time are first made one point, with the largest record
+id among its full responses. The as-of join is two windows over points, neither over
+all of a URL: points of a URL with more than ``SLICE_POINTS`` are cut into slices at
+quantiles of their own times, so that neither a burst nor a wrong date fills a slice,
+and each slice takes the last full response of the slices before it, of which a URL
+has at most ``MOST_SLICES``. A URL with a third of all captures is thus cut into many
+tasks.
 
 Rules: full responses have the kind ``response`` and the status 200; earlier means
 a smaller time; of two responses at one time the larger record id is the later
@@ -17,7 +20,9 @@ else, if both have Last-Modified, it must be the same; else, if the revisit name
 a payload digest, it must be the response's; else nothing can be checked.
 
 Edge cases: a revisit with a null URL or time has no response; a null headers map
-is an empty one; header names are compared in lower case; repeated records are
+is an empty one; header names are compared in lower case; a response without a
+record id can be referred to, by nothing; of responses with one record id, URL and
+time the largest by digest, then headers, stands for all; repeated revisits are
 resolved each; an empty table gives no rows; other columns are ignored.
 """
 
@@ -26,9 +31,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import Scratch
+from lodeworks.llm.common import Scratch, broadcast_if_small
 
-SLICES = 256
+#: Points of a URL up to which it is one slice, and most slices of a URL.
+SLICE_POINTS, MOST_SLICES = 50_000, 4096
+BROADCAST_BYTES = 8 << 20
 #: Headers of a 304 response that replace those of the stored one (fixed values, from the HTTP standard).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 
@@ -68,41 +75,54 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         lower_names(F.coalesce("headers", F.create_map().cast("map<string,string>"))).alias("headers"),
         "payload_digest",
     ).where("revisit or full")
-    span = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
-    low, width = span["low"] or 0, ((span["high"] or 0) - (span["low"] or 0)) // SLICES + 1
-    rows = rows.withColumn("slice", F.floor((F.col("ts") - low) / width).cast("int"))
-    slim = rows.select("canonical_url", "slice", "ts", "full", "record_id", "revisit")
-    key = F.when(F.col("full"), F.struct("ts", "record_id"))
+    points = rows.where("canonical_url is not null and ts is not null").groupBy("canonical_url", "ts")
+    points = scratch.write(points.agg(F.max(F.when(F.col("full"), F.struct("ts", "record_id"))).alias("stored"), F.max("revisit").alias("asked")), "points")
+    busy = points.groupBy("canonical_url").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SLICE_POINTS)
+    busy = scratch.write(busy, "busy")
+    cuts = points.join(broadcast_if_small(scratch, busy, "busy", BROADCAST_BYTES), "canonical_url").groupBy("canonical_url")
+    cuts = cuts.agg(F.percentile_approx("ts", [k / MOST_SLICES for k in range(1, MOST_SLICES)], 4 * MOST_SLICES).alias("quantiles"), F.max("n").alias("n"))
+    step = F.greatest(F.lit(1), F.floor(MOST_SLICES / F.ceil(F.col("n") / SLICE_POINTS)).cast("int"))  # as many slices as it has points for
+    cuts = cuts.select("canonical_url", F.filter("quantiles", lambda x, k: (k + 1) % step == 0).alias("cuts"))
+    cuts = scratch.write(cuts, "cuts")
+    sliced = points.join(broadcast_if_small(scratch, cuts, "cuts", BROADCAST_BYTES), "canonical_url", "left")
+    points = sliced.select("canonical_url", "ts", "stored", "asked", F.coalesce(F.size(F.filter("cuts", lambda x: x <= F.col("ts"))), F.lit(0)).alias("slice"))
     # what the slices before have: one row for each URL and slice
-    ends = slim.where("full").groupBy("canonical_url", "slice").agg(F.max(F.struct("ts", "record_id")).alias("end"))
-    marks = slim.where("revisit").select("canonical_url", "slice").distinct()
     before = Window.partitionBy("canonical_url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    prior = marks.join(ends, ["canonical_url", "slice"], "full_outer").withColumn("prior", F.last("end", ignorenulls=True).over(before))
-    # what the slice itself has: revisits come before responses of the same time
-    inside = Window.partitionBy("canonical_url", "slice").orderBy("ts", "full", "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = rows.withColumn("own", F.last(key, ignorenulls=True).over(inside)).where("revisit")
-    found = own.join(prior.select("canonical_url", "slice", "prior"), ["canonical_url", "slice"], "left")
-    found = found.withColumn("refers_to", F.coalesce("own", "prior")["record_id"])
-    stored = rows.where("full").select(F.col("record_id").alias("stored_id"), F.col("headers").alias("stored"), F.col("payload_digest").alias("stored_digest")).dropDuplicates(["stored_id"])
+    ends = points.groupBy("canonical_url", "slice").agg(F.max("stored").alias("end"))
+    prior = ends.select("canonical_url", "slice", F.last("end", ignorenulls=True).over(before).alias("prior"))
+    # what the slice itself has before
+    inside = Window.partitionBy("canonical_url", "slice").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    own = points.withColumn("own", F.last("stored", ignorenulls=True).over(inside)).where("asked")
+    asof = own.join(prior, ["canonical_url", "slice"]).select("canonical_url", "ts", F.coalesce("own", "prior").alias("last")).where("last is not null")
+    asof = scratch.write(asof.select(F.col("canonical_url").alias("at_url"), F.col("ts").alias("at_ts"), F.col("last.ts").alias("last_ts"), F.col("last.record_id").alias("last_id")), "asof")
+    revisits = rows.where("revisit").select("record_id", "canonical_url", "ts", "headers", "payload_digest")
+    found = revisits.join(asof, (F.col("canonical_url") == F.col("at_url")) & (F.col("ts") == F.col("at_ts")), "left")
+    entries = F.array_sort(F.map_entries("headers"))
+    stored = rows.where("full").groupBy("canonical_url", "ts", "record_id").agg(F.max(F.struct("payload_digest", entries.alias("entries"))).alias("kept"))
+    stored = stored.select(
+        F.col("canonical_url").alias("stored_url"), F.col("ts").alias("stored_ts"), F.col("record_id").alias("stored_id"),
+        F.map_from_entries("kept.entries").alias("stored"), F.col("kept.payload_digest").alias("stored_digest"),
+    )
     stored = scratch.write(stored, "stored")  # its own exchange in the join below, so that a response with very many revisits can be split
-    both = found.join(stored, F.col("refers_to") == F.col("stored_id"), "left")
+    at = (F.col("at_url") == F.col("stored_url")) & (F.col("last_ts") == F.col("stored_ts")) & F.col("last_id").eqNullSafe(F.col("stored_id"))
+    both = found.join(stored, at, "left")
     strong = lambda h: F.regexp_replace(F.element_at(h, "etag"), "^W/", "")
     agree = F.coalesce(
         strong(F.col("headers")) == strong(F.col("stored")),
         F.element_at("headers", "last-modified") == F.element_at("stored", "last-modified"),
         F.col("payload_digest") == F.col("stored_digest"),
     )
-    outcome = F.when(F.col("stored_id").isNull(), "no_response").when(agree.isNull(), "no_validator").when(agree, "resolved").otherwise("mismatch")
+    outcome = F.when(F.col("stored_ts").isNull(), "no_response").when(agree.isNull(), "no_validator").when(agree, "resolved").otherwise("mismatch")
     news = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter("stored", lambda k, v: ~F.map_contains_key(news, k)), news)
     only = lambda c: F.when(F.col("outcome") == "resolved", c)
     return both.withColumn("outcome", outcome).select(
-        "record_id", "canonical_url", "ts", only(F.col("refers_to")).alias("refers_to"), "outcome", only(merged).alias("headers"), only(F.col("stored_digest")).alias("payload_digest")
+        "record_id", "canonical_url", "ts", only(F.col("stored_id")).alias("refers_to"), "outcome", only(merged).alias("headers"), only(F.col("stored_digest")).alias("payload_digest")
     )
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """An archive of the pages table for the query: each page as a response, and later (or earlier) revisits of two pages in three.
+    """An archive of the pages table for the query: each page as a response, and a later (or earlier) revisit of each.
 
     Some responses are errors, some lack an ETag or all validators, some revisits have a stale ETag.
     """
@@ -121,7 +141,7 @@ def captures(pages: DataFrame) -> DataFrame:
         digest.alias("payload_digest"),
     )
     ts = n * 10 + F.when(every(11), -5).otherwise(5)
-    revisit = pages.where(~every(3)).select(
+    revisit = pages.select(
         F.concat(F.lit("v"), n).alias("record_id"),
         F.regexp_replace("url", "#.*$", "").alias("url"),
         ts.alias("ts"),

@@ -56,6 +56,14 @@ def test_exact_edges(spark):
     assert exact_dedup.exact_duplicates(df.where("false")).count() == 0
 
 
+def test_exact_repeated_rows(spark):
+    df = documents(spark, [(6, "same"), (6, "same"), (7, "same"), (6, "other"), (None, "z"), (None, "z"), (-(1 << 63), "long " * 100_000), (5, "long " * 100_000)])
+    found = rows_of(exact_dedup.exact_duplicates(df), "doc_id", "keep_id", "group_size", "kept")
+    least = -(1 << 63)
+    expected = [(6, 6, 3, True), (6, 6, 3, False), (7, 6, 3, False), (6, 6, 1, True), (None, None, 2, True), (None, None, 2, False), (least, least, 2, True), (5, least, 2, False)]
+    assert found == sorted(expected, key=repr)
+
+
 def test_exact_ties_and_digest(spark):
     found = exact_dedup.exact_duplicates(documents(spark, [(8, "x y"), (7, "xy "), (3, "x y"), (5, None)]))
     assert rows_of(found, "doc_id", "keep_id") == [(3, 3), (5, 5), (7, 3), (8, 3)]
@@ -110,7 +118,7 @@ def test_near_duplicates_against_all_pairs(spark, seed, groups, copies):
 def test_blocks_do_not_change_the_result(spark, monkeypatch):
     docs = variants(3, 2, 60)
     monkeypatch.setattr(minhash, "BLOCK", 7)
-    monkeypatch.setattr(minhash, "LISTED", 5)
+    monkeypatch.setattr(minhash, "LISTED", 600)
     monkeypatch.setattr(minhash, "CLOSEST", 1)
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(documents(spark, docs)).collect()}
     assert found == brute_components(docs)
@@ -123,9 +131,48 @@ def test_near_edges(spark):
     expected = [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (7, 2996, 7, True)]
     expected += [(8, 2997, 7, False)] * 2 + [(None, 2996, 7, False), (None, 1, None, True)]
     assert found == sorted(expected, key=repr)
+    least = -(1 << 63)
+    df = documents(spark, [(least, "a b c d e f"), (9, "a b c d e f"), (9, "a b c d e f"), (9, "quite another text of nine words in one"), (None, long), (None, long), (None, long + " more")])
+    found = rows_of(minhash.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept")
+    expected = [(least, 2, least, True), (9, 2, least, False), (9, 2, least, False), (9, 4, 9, True), (None, 2996, None, True), (None, 2996, None, False), (None, 2997, None, False)]
+    assert [r[:3] for r in found] == [r[:3] for r in sorted(expected, key=repr)] and sum(r[3] for r in found) == 3
     assert minhash.near_duplicates(df.where("false")).count() == 0
 
 
+def test_links_of_many_documents_are_found(spark):
+    """5,400 documents around the threshold: every link by an exact prefix-filter join, and the components it makes."""
+    docs = variants(5, 1800, 3)
+    sets = {i: shingle_set(t) for i, t in docs}
+    often = defaultdict(int)
+    for s in sets.values():
+        for x in s:
+            often[x] += 1
+    lists, pairs = defaultdict(list), set()
+    for i, s in sets.items():
+        rare = sorted(s, key=lambda x: (often[x], x))[: len(s) - -(-75 * len(s) // 100) + 1]
+        for x in rare:
+            pairs |= {(j, i) for j in lists[x]}
+            lists[x].append(i)
+    links = [(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    low = {i: i for i in sets}
+
+    def top(i):
+        while low[i] != i:
+            low[i] = i = low[low[i]]
+        return i
+
+    for i, j in links:
+        a, b = top(i), top(j)
+        low[max(a, b)] = min(a, b)
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(spark, docs)).collect()}
+    assert len(links) > 1000 and sum(found[i] == found[j] for i, j in links) >= 0.9995 * len(links)
+    assert sum(found[i] == top(i) for i in found) >= 0.9995 * len(found) and len(found) == len(docs)
+
+
+def test_far_pairs_are_those_that_need_not_meet():
+    assert minhash.FAR == 2 * minhash.CHUNKS - 1
+
+
 def test_keys_meet_within_the_distance():
     rng = np.random.default_rng(4)
     x = rng.integers(0, 1 << 16, (200, minhash.PLACES), dtype=np.uint16)
@@ -179,6 +226,24 @@ def test_lines_null_ids(spark):
     assert {r["n_dropped"] for r in alone.collect()} == {0}
 
 
+def test_lines_of_equal_ids_are_one_document(spark):
+    common, other = "This line is common to many documents.", "Another line that is held by three documents."
+    docs = [(1, common + "\na"), (1, common + "\nb"), (1, common + "\nb"), (2, common), (3, other), (4, other + "\n" + other), (5, other), (5, "x\n" + other)]
+    found = rows_of(lines.drop_repeated_lines(documents(spark, docs)), "doc_id", "n_lines", "n_dropped", "kept_text")
+    expected = [(1, 2, 0, common + "\na"), (1, 2, 0, common + "\nb"), (1, 2, 0, common + "\nb"), (2, 1, 0, common), (3, 1, 1, ""), (4, 2, 2, ""), (5, 1, 0, other), (5, 2, 0, "x\n" + other)]
+    assert found == sorted(expected, key=repr)
+
+
+def test_a_document_of_very_many_lines(spark):
+    import time
+
+    body = "\n".join(f"line number {k} of a very long log file" for k in range(200_000))
+    began = time.perf_counter()
+    found = lines.drop_repeated_lines(documents(spark, [(k, body) for k in (1, 2, 3)])).select("doc_id", "n_lines", "n_dropped").collect()
+    assert sorted(map(tuple, found)) == [(1, 200_000, 200_000), (2, 200_000, 200_000), (3, 200_000, 0)]
+    assert time.perf_counter() - began < 60
+
+
 def test_blooms_never_miss():
     values = np.random.default_rng(0).integers(0, 1 << 62, 4000, dtype=np.uint64)
     f = lines.TwoBlooms(4000)
@@ -269,12 +334,12 @@ def test_whole_characters_are_cut():
     assert substring.without("aäb", [(0, 2)]) == ("äb", [(0, 1)])
 
 
-def test_shuffled_chunks_give_the_same(spark, monkeypatch):
+def test_shuffled_tables_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(8)
     shared = words(rng, 70)
-    docs = [(k, words(rng, 30) + " " + shared) for k in range(6)]
+    docs = [(k, words(rng, 30) + " " + shared) for k in range(6)] + [(7, "la " * 90), (8, words(rng, 60) + " la" * 80)]
     want = rows_of(substring.cut_repeated_passages(documents(spark, docs)), "doc_id", "kept_text")
-    monkeypatch.setattr(substring, "BROADCAST_DIGESTS", -1)
+    monkeypatch.setattr(substring, "BROADCAST_BYTES", -1)
     assert rows_of(substring.cut_repeated_passages(documents(spark, docs)), "doc_id", "kept_text") == want
 
 

@@ -89,7 +89,10 @@ def test_vectors_against_all_pairs(spark, monkeypatch, block):
             break
         low = new
     found = embedding.near_vectors(df).orderBy("vec_id").collect()
+    monkeypatch.setattr(embedding, "FEW", 0)
+    found = embedding.near_vectors(df).orderBy("vec_id").collect()
     true, seen = links.sum(), sum(r["n_links"] for r in found)
+    assert seen % 2 == 0  # each pair found counts at both ends
     assert 0.999 * true <= seen <= true
     assert sum(r["component_id"] == low[r["vec_id"]] for r in found) >= len(found) - 2
     assert all(r["kept"] == (r["component_id"] == r["vec_id"]) for r in found)
@@ -106,6 +109,43 @@ def test_vector_edges(spark):
     assert embedding.near_vectors(df.where("vec_id = 4")).first()["n_links"] == 0
 
 
+@pytest.mark.parametrize("few", [0, 2048])
+def test_vectors_of_several_lengths(spark, monkeypatch, few):
+    monkeypatch.setattr(embedding, "FEW", few)
+    rng = np.random.default_rng(12)
+    rows = []
+    for width in (2, 3, 8):
+        base = rng.standard_normal((30, width))
+        rows += [*base.tolist(), *(base[:20] + 0.01 * rng.standard_normal((20, width))).tolist()]
+    rows += [[1e200, 1e200, 0.0], [1e-200, 1e-200, 0.0], [1.0, 1.0, 0.0]]
+    vectors = list(enumerate(rows))
+    found = {r["vec_id"]: r["n_links"] for r in embedding.near_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()}
+    for width in (2, 3, 8):
+        own = [(k, [x / max(map(abs, v)) for x in v]) for k, v in vectors if len(v) == width]
+        want = dict(zip([k for k, _ in own], brute_links(own).sum(axis=1).tolist(), strict=True))
+        if few:
+            assert {k: found[k] for k in want} == want
+        else:
+            assert sum(found[k] for k in want) >= 0.99 * sum(want.values())
+
+
+def test_fit_in_little_memory():
+    import tracemalloc
+
+    sample = embedding.units(np.random.default_rng(13).standard_normal((2048, 64)))
+    tracemalloc.start()
+    index = embedding.MultiIndex.fit(sample, 300_000_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(index.first) == 1083 and 1 <= index.cells <= 1083**2 and peak < 300 << 20
+
+
+def test_ranks_are_those_of_the_grid():
+    rng = np.random.default_rng(14)
+    d, e, own = rng.random(40), rng.random(30), 0.9
+    assert np.searchsorted(np.sort(e), own - d, "left").sum() == (d[:, None] + e < own).sum()
+
+
 def test_traversal_is_in_order():
     rng = np.random.default_rng(10)
     a, b = rng.random(9), rng.random(7)
@@ -143,6 +183,32 @@ def test_revisits(spark):
     assert warc.resolve_revisits(df.where("false")).count() == 0
 
 
+def test_bursts_ties_and_wrong_dates(spark, monkeypatch):
+    """One busy URL with a burst, equal times, a date of year 9999 and repeated records, against a search by hand."""
+    monkeypatch.setattr(warc, "SLICE_POINTS", 5)
+    monkeypatch.setattr(warc, "MOST_SLICES", 16)
+    rng = np.random.default_rng(15)
+    times = [*rng.integers(1000, 1010, 40).tolist(), *rng.integers(0, 5000, 60).tolist(), 0, 253_402_300_799]
+    rows = []
+    for k, ts in enumerate(map(int, times)):
+        kind = "response" if k % 2 else "revisit"
+        rows.append((None if k == 51 else f"x{k:03d}", "http://a.com/x" if k % 7 else "http://b.com/", ts, kind, 200 if k % 5 else 404, {"etag": "1"}, f"p{k}"))
+    rows += [rows[3], rows[4], rows[4], (rows[3][0], *rows[3][1:6], "q")]
+    df = spark.createDataFrame(rows, "record_id string, url string, ts long, kind string, status int, headers map<string,string>, payload_digest string")
+    full = {}
+    for r in rows:
+        if r[3] == "response" and r[4] == 200:
+            key = (r[1], r[2], r[0] or "")
+            full[key] = max(full.get(key, ""), r[6])
+    want = []
+    for r in rows:
+        if r[3] == "revisit":
+            best = max((k for k in full if k[0] == r[1] and k[1] < r[2]), key=lambda k: k[1:], default=None)
+            want.append((r[0], r[2], "resolved" if best else "no_response", (best[2] or None) if best else None, full[best] if best else None))
+    found = rows_of(warc.resolve_revisits(df), "record_id", "ts", "outcome", "refers_to", "payload_digest")
+    assert found == sorted(want, key=repr)
+
+
 def test_canonical_urls(spark):
     urls = {"HTTP://WWW.Ex.com:80/A/?b=2&utm_x=1&a=1#z": "ex.com/A?a=1&b=2", "https://m.ex.com": "m.ex.com", "ex.com/": "ex.com", "": "", "http://ex.com?q": "ex.com?q"}
     df = spark.createDataFrame([(u,) for u in urls], "u string")
