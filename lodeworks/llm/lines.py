@@ -10,9 +10,10 @@ doc_id that holds them.
    the first has seen enters the second. A second look at the packed hashes keeps
    those that the second filter knows: all repeated hashes, and a few others. The
    number of ranges follows the corpus, so the filters' size does not.
-2. Only lines with a suspected hash leave their task with their text and place, to be
-   counted exactly and to choose the document that keeps them; rows of a document
-   and a key, then counts and largest ids, are combined in each task first.
+2. Only lines with a suspected hash leave their task, with their place and the SHA-256
+   of their key, by which they are counted exactly and the document that keeps them is
+   chosen; rows of a document and a key, then counts and largest ids, are combined in
+   each task first.
 3. The places that a text loses come back to it by its id and digest. What is kept
    are the slices between them, so that the work is linear in a text's lines.
 
@@ -41,9 +42,8 @@ RANGE_HASHES = 1 << 18
 MOST_BITS = 16
 #: Bits of a Bloom filter for each of these, and its hash functions.
 BITS_EACH, PROBES = 16, 4
-#: Largest written tables, of hashes and of lines, that are sent to all executors; larger ones are joined by shuffle.
+#: Largest written tables that are sent to all executors; larger ones are joined by shuffle.
 BROADCAST_BYTES = 16 << 20
-BROADCAST_TEXT_BYTES = 1 << 20
 #: Fixed value.
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -121,14 +121,14 @@ def drop_repeated_lines(
     rowed = docs.select("doc_id", mark.alias("mark"), F.monotonically_increasing_id().alias("row"), lines.alias("lines"))  # once a row, not a line
     placed = rowed.select("doc_id", "mark", "row", F.posexplode("lines").alias("place", "line")).withColumn("key", line_key(F.col("line")))
     placed = placed.where(F.char_length("key") >= min_points).withColumn("hash", F.xxhash64("key"))
-    found = placed.join(broadcast_if_small(scratch, suspected, "suspected", BROADCAST_BYTES), "hash", "left_semi").select("doc_id", "mark", "row", "place", "key")
+    found = placed.join(broadcast_if_small(scratch, suspected, "suspected", BROADCAST_BYTES), "hash", "left_semi")
+    found = found.select("doc_id", "mark", F.when(F.col("doc_id").isNull(), F.col("row")).alias("row"), "place", F.unhex(F.sha2("key", 256)).alias("key"))
     found = scratch.write(found, "found")
     # a document holds a key once, however often; rows with a null id are told apart by where they were written
-    row = F.when(F.col("doc_id").isNull(), F.col("row"))
-    held = found.select("key", "doc_id", row.alias("row")).distinct()
+    held = found.select("key", "doc_id", "row").distinct()
     repeated = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("owner"))
     repeated = scratch.write(repeated.where((F.col("n") >= min_documents) & F.col("owner").isNotNull()).select("key", "owner"), "repeated")
-    lost = found.join(broadcast_if_small(scratch, repeated, "repeated", BROADCAST_TEXT_BYTES), "key").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
+    lost = found.join(broadcast_if_small(scratch, repeated, "repeated", BROADCAST_BYTES), "key").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
     lost = lost.groupBy(F.col("doc_id").alias("lost_by"), F.col("mark").alias("lost_mark")).agg(F.array_sort(F.collect_set("place")).alias("lost"))
     lost = scratch.write(lost, "lost")
     scratch.keep("lost")
