@@ -16,7 +16,8 @@ key are needed:
    keys with others. A group of near copies is linked up by that alone.
 2. Keys whose members are in different components are left. Their members outside
    the centre's component are compared with all members, in blocks of a bounded
-   size, and the closest pairs between two components are checked on the full sets.
+   size: first each with one block of a key, drawn by a hash of both, and the closest
+   pairs between two components are checked on the full sets; then with all blocks.
 3. Components that still meet, directly or through others, form a cluster. In it all
    documents but those of its largest component pass the inverted lists of all its
    documents, on the full sets, block by block: a block of documents asked for and
@@ -327,7 +328,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     close = scratch.write(close, "close-0")
     edges = scratch.write(_checked(scratch, docs, nodes, close, 0), "edges-0")
     labels = connected_components(edges)
-    met = _meeting(scratch, shared, centre, labels, nodes, 1)
+    met = _meeting(scratch, shared, centre, labels, nodes, 1, drawn=True)
     closest = scratch.write(met.mapInArrow(_across(CLOSEST), "a long, b long").distinct(), "closest")
     if not closest.isEmpty():
         new = scratch.write(closest.join(close, ["a", "b"], "left_anti"), "close-1")
@@ -387,8 +388,11 @@ def _checked(scratch: Scratch, docs: DataFrame, nodes: DataFrame, close: DataFra
     return close.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long")
 
 
-def _meeting(scratch: Scratch, shared: DataFrame, centre: DataFrame, labels: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Members of the keys that have more than one component, dealt to blocks: sorted (key, i, j, query, node, component, n, sig)."""
+def _meeting(scratch: Scratch, shared: DataFrame, centre: DataFrame, labels: DataFrame, nodes: DataFrame, k: int, drawn: bool = False) -> DataFrame:
+    """Members of the keys that have more than one component, dealt to blocks: sorted (key, i, j, query, node, component, n, sig).
+
+    A query goes to all blocks of a key, or with ``drawn`` to one, so that what it finds does not grow with the key's members.
+    """
     members = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     main = centre.join(labels, F.col("centre") == F.col("node"), "left").select("key", F.coalesce("component", "centre").alias("main"))
     members = members.join(main, "key").withColumn("out", F.col("component") != F.col("main"))
@@ -399,7 +403,8 @@ def _meeting(scratch: Scratch, shared: DataFrame, centre: DataFrame, labels: Dat
     parts = lambda of: F.sequence(F.lit(0), F.ceil(F.col(of) / BLOCK).cast("int") - 1)
     rows = members.join(open_keys, "key").join(nodes.select("node", "n", "sig"), "node")
     targets = rows.select("key", at("all").alias("i"), F.explode(parts("outside")).alias("j"), F.lit(False).alias("query"), "node", "component", "n", "sig")
-    queries = rows.where("out").select("key", F.explode(parts("all")).alias("i"), at("outside").alias("j"), F.lit(True).alias("query"), "node", "component", "n", "sig")
+    block = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("all") / BLOCK)).cast("int") if drawn else F.explode(parts("all"))
+    queries = rows.where("out").select("key", block.alias("i"), at("outside").alias("j"), F.lit(True).alias("query"), "node", "component", "n", "sig")
     return targets.unionByName(queries).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
