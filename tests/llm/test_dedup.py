@@ -241,7 +241,7 @@ def test_a_document_of_very_many_lines(spark):
     began = time.perf_counter()
     found = lines.drop_repeated_lines(documents(spark, [(k, body) for k in (1, 2, 3)])).select("doc_id", "n_lines", "n_dropped").collect()
     assert sorted(map(tuple, found)) == [(1, 200_000, 200_000), (2, 200_000, 200_000), (3, 200_000, 0)]
-    assert time.perf_counter() - began < 60
+    assert time.perf_counter() - began < 120  # by the square of its lines it would be half an hour
 
 
 def test_blooms_never_miss():
