@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 
 from lodeworks.plans.stages import Scratch, broadcast_if_small
 
-__all__ = ["Scratch", "arrow_schema", "broadcast_if_small", "by_range", "gathered", "id_and_text", "map_rows", "within"]
+__all__ = ["Scratch", "arrow_schema", "broadcast_if_small", "by_range", "gathered", "id_and_text", "map_rows", "tidy", "within"]
 
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,6 +28,22 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for ``mapInArrow``, but that a worker, which Spark keeps for further tasks, gives back what a task has freed."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the C library of Linux has it
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def map_rows(
     df: DataFrame,
     start: Callable[[], Callable[[dict[str, list]], dict[str, list]]],
@@ -46,7 +64,7 @@ def map_rows(
                 out = each({name: part.column(k).to_pylist() for k, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in kind], schema=kind)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def within(value: Column, cuts: list[int]) -> Column:

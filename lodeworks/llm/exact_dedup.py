@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import Scratch, broadcast_if_small, by_range, gathered, id_and_text
+from lodeworks.llm.common import Scratch, broadcast_if_small, by_range, gathered, id_and_text, tidy
 from lodeworks.llm.quotient import CountingQuotientFilter
 
 RANGE_ROWS = 1 << 17
@@ -74,7 +74,7 @@ def _merge(bits: int):
 def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
     """(fp, n) of the values that occur more than once in the only column of ``fingerprints`` (long)."""
     bits = min(MOST_BITS, max(5, int(np.ceil(np.log2(max(1, rows) / RANGE_ROWS)))))
-    built = fingerprints.mapInArrow(_filters(bits), "range int, filter binary")
+    built = fingerprints.mapInArrow(tidy(_filters(bits)), "range int, filter binary")
     return built.groupBy("range").applyInArrow(_merge(bits), "fp long, n long")
 
 

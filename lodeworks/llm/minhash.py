@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeworks.llm.common import Scratch, broadcast_if_small, id_and_text, map_rows
+from lodeworks.llm.common import Scratch, broadcast_if_small, id_and_text, map_rows, tidy
 from lodeworks.llm.components import connected_components
 
 WORDS = 5
@@ -315,7 +315,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = scratch.write(nodes, "nodes")
     ends = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
 
-    keys = nodes.select("node", "sig").mapInArrow(_keys, "key long, node long")
+    keys = nodes.select("node", "sig").mapInArrow(tidy(_keys), "key long, node long")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = scratch.write(shared, "counts")
     shared = scratch.write(keys.join(shared, "key"), "shared")
@@ -324,19 +324,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     centre = scratch.write(centre.select("key", (-F.col("best.minus")).alias("centre")), "centres")
     star = shared.join(centre, "key").where(F.col("node") != F.col("centre"))
     star = scratch.write(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "star")
-    close = star.join(ends("a"), "a").join(ends("b"), "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(_near, "a long, b long")
+    close = star.join(ends("a"), "a").join(ends("b"), "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(tidy(_near), "a long, b long")
     close = scratch.write(close, "close-0")
     edges = scratch.write(_checked(scratch, docs, nodes, close, 0), "edges-0")
     labels = connected_components(edges)
     met = _meeting(scratch, shared, centre, labels, nodes, 1, drawn=True)
-    closest = scratch.write(met.mapInArrow(_across(CLOSEST), "a long, b long").distinct(), "closest")
+    closest = scratch.write(met.mapInArrow(tidy(_across(CLOSEST)), "a long, b long").distinct(), "closest")
     if not closest.isEmpty():
         new = scratch.write(closest.join(close, ["a", "b"], "left_anti"), "close-1")
         if not new.isEmpty():
             edges = scratch.write(edges.union(_checked(scratch, docs, nodes, new, 1)), "edges-1")
             labels = connected_components(edges)
         met = _meeting(scratch, shared, centre, labels, nodes, 2)
-        apart = scratch.write(met.mapInArrow(_across(None), "a long, b long").distinct(), "apart")
+        apart = scratch.write(met.mapInArrow(tidy(_across(None)), "a long, b long").distinct(), "apart")
         if not apart.isEmpty():
             edges = scratch.write(edges.union(_searched(scratch, docs, nodes, apart, labels)), "edges-2")
             labels = connected_components(edges)
@@ -385,7 +385,7 @@ def _checked(scratch: Scratch, docs: DataFrame, nodes: DataFrame, close: DataFra
     """The pairs of ``close`` (a written table) that are similar by their full sets."""
     sets = _sets(scratch, docs, nodes, close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))), k)
     of = lambda s: sets.select(F.col("node").alias(s), F.col("set").alias(f"set_{s}"))
-    return close.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long")
+    return close.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(tidy(_similar), "a long, b long")
 
 
 def _meeting(scratch: Scratch, shared: DataFrame, centre: DataFrame, labels: DataFrame, nodes: DataFrame, k: int, drawn: bool = False) -> DataFrame:
@@ -428,4 +428,4 @@ def _searched(scratch: Scratch, docs: DataFrame, nodes: DataFrame, apart: DataFr
     sets = _sets(scratch, docs, nodes, placed.select("node"), 2)
     keys = "cluster", "i", "j"
     dealt = rows.join(sets, "node").select(*columns, "set").repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(_by_group(keys, _linked, _link_rows), "a long, b long")
+    return dealt.mapInArrow(tidy(_by_group(keys, _linked, _link_rows)), "a long, b long")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lodeworks.llm.bpe import BYTE_LEVEL, _loaded, read_spec
-from lodeworks.llm.common import arrow_schema, id_and_text
+from lodeworks.llm.common import arrow_schema, id_and_text, tidy
 
 TIERS = (128, 256, 512, 1024, 2048)
 BLOCK_TOKENS = 1 << 22
@@ -165,4 +165,4 @@ def pack_documents(df: DataFrame, vocabulary: str, tiers=TIERS, end_id: int = EN
         if docs:
             yield from flush(docs, (part << 42) | (block << 24))
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, PIECES)
+    return id_and_text(df, id_col, text_col).mapInArrow(tidy(run), PIECES)

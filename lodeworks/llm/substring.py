@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeworks.llm.common import Scratch, broadcast_if_small, by_range, id_and_text, map_rows
+from lodeworks.llm.common import Scratch, broadcast_if_small, by_range, id_and_text, map_rows, tidy
 from lodeworks.llm.minhash import mixed
 
 #: Bytes on either side among which a border has the smallest hash, largest bytes of a chunk, and bytes that a run has at least to be cut out.
@@ -328,9 +328,9 @@ def cut_repeated_passages(df: DataFrame, least: int = LEAST, id_col: str = "doc_
     named = docs.where("doc_id is not null")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     bits = max(5, int(np.ceil(np.log2(max(1, size / (2 * AROUND + 1) / RANGE_DIGESTS)))))
-    packed = named.select("text").mapInArrow(_ranges(bits), "range int, digests binary")
+    packed = named.select("text").mapInArrow(tidy(_ranges(bits)), "range int, digests binary")
     suspected = scratch.write(packed.groupBy("range").applyInArrow(_repeated, "digest long"), "suspected")
-    rows = named.mapInArrow(_rows, "digest long, check long, doc_id long, start int, end int")
+    rows = named.mapInArrow(tidy(_rows), "digest long, check long, doc_id long, start int, end int")
     found = scratch.write(rows.join(suspected, "digest", "left_semi"), "found")
     first = found.groupBy("digest", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     first = scratch.write(first.select("digest", "check", "first"), "first")
