@@ -5,16 +5,47 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeworks.plans.stages import Scratch, broadcast_if_small
+from lodeworks.plans import stages
+from lodeworks.plans.stages import broadcast_if_small
 
-__all__ = ["Scratch", "arrow_schema", "broadcast_if_small", "by_range", "gathered", "id_and_text", "map_rows", "tidy", "within"]
+__all__ = ["Scratch", "arrow_schema", "broadcast_if_small", "by_range", "gathered", "id_and_text", "map_rows", "settled", "small_batches", "tidy", "within"]
+
+#: Most rows and bytes of an Arrow batch of texts. Both sides of the socket hold a batch several times over.
+SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, jobs of the session send Python at most ``SMALL`` at once; then its own settings hold again."""
+    own = {k: spark.conf.get(k, None) for k in SMALL}
+    for k, v in SMALL.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in own.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class Scratch(stages.Scratch):
+    """Written tables, made in small batches."""
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        with small_batches(self.spark):
+            return super().write(df, name)
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a written table: its last step runs now, in small batches, and not with the settings of whoever reads it."""
+    return Scratch(df.sparkSession, label).write(df, "result")
 
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

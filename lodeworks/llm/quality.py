@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeworks.llm.common import id_and_text, map_rows
+from lodeworks.llm.common import id_and_text, map_rows, small_batches
 
 SAMPLE_ROWS = 20_000
 FOLDS = 5
@@ -148,7 +148,8 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "quality", samp
         return lambda c: {"y": c["y"], "x": [statistics(t).tolist() for t in c["text"]]}
 
     rows = map_rows(texts.select("y", "text"), start, T.StructType([T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))]))
-    rows = rows.limit(2 * sample_rows).toArrow()  # repeated ids may bring more rows than the sample has
+    with small_batches(documents.sparkSession):
+        rows = rows.limit(2 * sample_rows).toArrow()  # repeated ids may bring more rows than the sample has
     if not rows.num_rows:
         return fit(np.zeros((0, N_FEATURES)), np.zeros(0))
     x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, N_FEATURES)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import bpe, embedding, exact_dedup, lines, minhash, packing, quality, sharding, substring, warc
+from lodeworks.llm.common import settled
 
 
 def vocabulary(name: str) -> str:
@@ -24,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("word_bpe_49k.json")
     coded = bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents"), path), path)
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return settled(coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")), "bpe")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.cut_repeated_passages(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n_spans"), spans.alias("spans"), "source_ids", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return settled(out.select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n_spans"), spans.alias("spans"), "source_ids", F.sha2("kept_text", 256).alias("kept_sha256")), "substring")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,13 +64,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+    return settled(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group"), "packing")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     forest = quality.train(documents, table(spark, sf_dir, "labels"))
     scored = quality.score_documents(documents, forest)
+    scored = settled(scored, "quality")
     return scored.select("doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
 
 
