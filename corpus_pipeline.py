@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import exact_dedup, minhash, packing, quality, substring
-from lodeworks.llm.common import Scratch, broadcast_if_small
+from lodeworks.llm.common import Scratch, broadcast_if_small, settled
 from lodeworks.llm.queries import table, vocabulary
 
 #: Largest list of dropped ids, in bytes, that is sent to all executors; a longer one is joined by shuffle.
@@ -29,7 +29,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     score like any other, and a score of exactly ``ACCEPT`` stays. No column is added or read but the text.
     """
     score = quality.scorer(spark, quality.train(docs, table(spark, sf_dir, "labels")))
-    return docs.where(score(F.col("text")) >= quality.ACCEPT)
+    return settled(docs.where(score(F.col("text")) >= quality.ACCEPT), "quality")
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     cut = substring.cut_repeated_passages(docs, carry=rest)
     columns = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long"), "doc_id": F.col("doc_id")}
-    return cut.select(*[columns.get(c, F.col("carried").getField(c)).alias(c) for c in docs.columns])
+    return settled(cut.select(*[columns.get(c, F.col("carried").getField(c)).alias(c) for c in docs.columns]), "passages")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row is packed, repeated ones and those with a null id too; a null or empty text is its end mark alone.
     """
     pieces = packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+    return settled(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group"), "packing")
 
 
 def _kept(docs: DataFrame, decided: DataFrame, label: str) -> DataFrame:
