@@ -1,5 +1,9 @@
 """Every registered query of the library that has SQL gives the SQL's rows."""
 
+from pathlib import Path
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from oracle import same
 
@@ -44,3 +48,19 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.fixture
+def wide_orders(spark, small, tmp_path) -> str:
+    """Tables in which 450 orders hold the same six brands."""
+    for table in Path(small).iterdir():
+        if table.stem not in ("lineitem", "part"):
+            (tmp_path / table.name).symlink_to(table)
+    pq.write_table(pa.table({"p_partkey": range(6), "p_brand": [f"Brand#{k}" for k in range(6)]}), tmp_path / "part.parquet")
+    rows = [(order, part) for order in range(450) for part in range(6)]
+    pq.write_table(pa.table({"l_orderkey": [r[0] for r in rows], "l_partkey": [r[1] for r in rows]}), tmp_path / "lineitem.parquet")
+    return str(tmp_path)
+
+
+def test_frequent_itemsets_all_has_the_sizes_of_its_sql(spark, wide_orders):
+    same(spark, wide_orders, queries()["frequent_itemsets_all"], oracle_sql()["frequent_itemsets_all"])
