@@ -64,3 +64,7 @@ def wide_orders(spark, small, tmp_path) -> str:
 
 def test_frequent_itemsets_all_has_the_sizes_of_its_sql(spark, wide_orders):
     same(spark, wide_orders, queries()["frequent_itemsets_all"], oracle_sql()["frequent_itemsets_all"])
+
+
+def test_itemset_text_has_the_sizes_of_its_sql(spark, wide_orders):
+    same(spark, wide_orders, queries()["itemset_text"], oracle_sql()["itemset_text"])
