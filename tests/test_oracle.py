@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from oracle import same
 
+from lodeworks.operators import itemsets
 from lodeworks.plans.queries import oracle_sql, queries
 
 
@@ -68,3 +69,15 @@ def test_frequent_itemsets_all_has_the_sizes_of_its_sql(spark, wide_orders):
 
 def test_itemset_text_has_the_sizes_of_its_sql(spark, wide_orders):
     same(spark, wide_orders, queries()["itemset_text"], oracle_sql()["itemset_text"])
+
+
+def test_son_itemsets_has_the_sizes_of_its_sql(spark, wide_orders):
+    same(spark, wide_orders, queries()["son_itemsets"], oracle_sql()["son_itemsets"])
+
+
+def test_largest_bounds_sizes_only(spark):
+    df = spark.createDataFrame([(list("abcde"),)] * 5 + [(list("abc"),)] * 3, "items array<string>")
+    rows = lambda found: {(tuple(r["items"]), r["n"]) for r in found.collect()}
+    every = rows(itemsets.frequent_itemsets(df, 4))
+    assert max(len(s) for s, _ in every) == 5
+    assert rows(itemsets.son(df, 4, 3)[1]) == rows(itemsets.frequent_itemsets(df, 4, 3)) == {(s, n) for s, n in every if len(s) <= 3}
