@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.functions.scalar import year_prefix
+from lodeworks.plans.stages import Scratch
 
 
 def counts(df: DataFrame, key: str, name: str = "n") -> DataFrame:
@@ -57,18 +58,22 @@ def ordinals(df: DataFrame, key: str, name: str = "ordinal") -> DataFrame:
 
     Keys are cut into ranges by the borders of a bounded sample, ranked inside a
     range, and shifted by the counts of the ranges before: no task sorts all keys.
+    The keys are written first and the counts, one for each range, go into the plan:
+    a plan that joined the ranges to counts of itself failed on larger tables.
     """
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    keys = Scratch(df.sparkSession, "ordinals").write(keys, "keys")
     sample = sorted(r[0] for r in keys.orderBy(F.xxhash64(key), key).limit(2048).collect())
     borders = sample[:: max(1, len(sample) // 64)][1:]
     part = F.lit(0)
     if borders:
         part = F.size(F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: b <= F.col(key)))
     placed = keys.withColumn("_part", part)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each range
+    before = [sum(n for q, n in sizes.items() if q < p) for p in range(len(borders) + 1)]
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return placed.withColumn("_k", inside).join(F.broadcast(shifts), "_part").select(key, (F.col("_k") + F.col("_before")).cast("long").alias(name))
+    shift = F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), F.col("_part") + 1)
+    return placed.withColumn("_k", inside).select(key, (F.col("_k") + shift).cast("long").alias(name))
 
 
 def last_rating(df: DataFrame, user: str, item: str, rating: str, order: str | None = None) -> DataFrame:

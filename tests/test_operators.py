@@ -231,3 +231,14 @@ def test_written_tables_need_a_shared_folder(spark, monkeypatch):
     assert fs.exists(target)
     stages.release()
     assert not fs.exists(target) and not stages._WRITTEN
+
+
+def test_ordinals_whatever_adaptive_planning_does(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "256k")
+    try:
+        for n in (20_000, 30_000, 60_000, 20_000, 25_000):
+            found = counts.ordinals(spark.range(3 * n).selectExpr(f"id % {n} as k"), "k")
+            assert found.where("ordinal = k").count() == found.count() == n
+    finally:
+        spark.conf.unset(key)
