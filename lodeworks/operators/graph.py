@@ -195,6 +195,8 @@ def edge_betweenness_frontier(edges: DataFrame, exact: bool = False) -> DataFram
         rows = scratch.write(rows.select("root", "parent", "node", ((1 + F.coalesce("credit", F.lit(0.0))) * F.col("pw") / F.col("all")).alias("part")), f"credit-{k}")
         credit = rows.groupBy("root", F.col("parent").alias("node")).agg(F.sum("part").alias("credit"))
         parts = rows if parts is None else parts.union(rows)
+    if parts is None:  # no edges
+        parts = step.select("parent", "node", F.lit(0.0).alias("part"))
     ends = parts.select(F.least("parent", "node").alias("src"), F.greatest("parent", "node").alias("dst"), "part")
     return ends.groupBy("src", "dst").agg((F.sum("part") / 2).alias("betweenness"))
 

@@ -242,3 +242,10 @@ def test_ordinals_whatever_adaptive_planning_does(spark):
             assert found.where("ordinal = k").count() == found.count() == n
     finally:
         spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("measure", [graph.edge_betweenness, graph.edge_betweenness_frontier])
+def test_betweenness_without_edges(spark, measure):
+    for rows in ([], [(7, 7)]):
+        found = measure(spark.createDataFrame(rows, "src long, dst long"))
+        assert found.columns == ["src", "dst", "betweenness"] and found.count() == 0
