@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.scalar import clip, zero_default
 from lodeworks.functions.stats import mean_without, pearson, weighted
+from lodeworks.operators.neighbours import moves
 from lodeworks.plans.stages import Scratch, broadcast_if_small
 
 #: Largest table of needed pairs, in bytes, that is sent to all executors; a larger one is joined by shuffle.
@@ -64,21 +65,29 @@ def means(train: DataFrame, of: str, name: str) -> DataFrame:
     return train.groupBy(of).agg(F.avg("rating").alias(name))
 
 
-def _user_neighbours(test: DataFrame, train: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(user, item, other, off, sim): raters of a test pair's item, how far each is off its own mean without it, and its similarity.
+def _drawn_neighbours(test: DataFrame, train: DataFrame, sample: int, seed: int) -> DataFrame:
+    """(user, item, other, off, times, sim): raters of a test pair's item among the users drawn for it, how often each was drawn, how far it is off its own mean without it, and its similarity.
 
-    With ``only`` (user, item, other), those among them.
+    Draws outnumber the tests they are made from, which a plan's estimate does not see: they are written, so that joins
+    know their size, and only those that are raters go on.
     """
+    from lodeworks.operators.counts import ordinals
+
+    scratch = Scratch(train.sparkSession, "pairs")
+    codes = scratch.write(ordinals(train, "user", "code"), "codes")
+    n = codes.count()
+    asked = test.select("user", "item").distinct().repartition(2 * train.sparkSession.sparkContext.defaultParallelism, "user", "item")
+    drawn = asked.select("user", "item", F.explode(F.sequence(F.lit(1), F.lit(sample))).alias("k"))
+    digits = F.substring(F.md5(F.concat_ws("/", F.col("user").cast("string"), F.col("item").cast("string"), F.col("k").cast("string"), F.lit(str(seed)))), 1, 15)
+    drawn = scratch.write(drawn.select("user", "item", (F.conv(digits, 16, 10).cast("long") % n).alias("code")), "drawn")
     own = train.groupBy("user").agg(F.sum("rating").alias("total"), F.count(F.lit(1)).alias("n"))
     off = F.coalesce(F.col("rating") - mean_without(F.col("total"), F.col("n"), F.col("rating")), F.lit(0.0))
-    raters = train.join(own, "user").select(F.col("user").alias("other"), "item", off.alias("off"))
-    pairs = test.select("user", "item").distinct().join(raters, "item").where("user <> other")
-    if only is not None:
-        pairs = pairs.join(only, ["user", "item", "other"], "left_semi")
-    pairs = Scratch(train.sparkSession, "pairs").write(pairs, "pairs")
+    raters = train.join(own, "user").join(codes, "user").select(F.col("user").alias("other"), "item", "code", off.alias("off"))
+    pairs = drawn.join(raters, ["item", "code"]).where("user <> other")
+    pairs = scratch.write(pairs.groupBy("user", "item", "other", "off").agg(F.count(F.lit(1)).alias("times")), "pairs")
     needed = pairs.select(F.col("user").alias("a"), F.col("other").alias("b"))
     sims = needed_similarities(train, "user", "item", needed).select(F.col("a").alias("user"), F.col("b").alias("other"), "sim")
-    return pairs.join(sims, ["user", "other"], "left").select("user", "item", "other", "off", F.coalesce("sim", F.lit(0.0)).alias("sim"))
+    return pairs.join(sims, ["user", "other"], "left").select(*pairs.columns, F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
 def _rated(test: DataFrame, train: DataFrame) -> DataFrame:
@@ -101,9 +110,8 @@ def _first(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
-def _centred(test: DataFrame, train: DataFrame, near: DataFrame) -> DataFrame:
-    """User mean plus the weighted deviation of neighbours, in bounds."""
-    moved = near.groupBy("user", "item").agg(weighted(F.col("off"), F.col("sim")).alias("move"))
+def _centred(test: DataFrame, train: DataFrame, moved: DataFrame) -> DataFrame:
+    """User mean plus the weighted deviation of neighbours (user, item, move), in bounds."""
     out = test.select("user", "item").distinct().join(means(train, "user", "mean"), "user").join(moved, ["user", "item"], "left")
     return out.select("user", "item", clip(F.col("mean") + F.coalesce("move", F.lit(0.0))).alias("prediction"))
 
@@ -116,20 +124,11 @@ def user_cf(test: DataFrame, train: DataFrame, sample: int | None = None, seed:
     """
     test = known_only(test, train)
     if sample is not None:
-        from lodeworks.operators.counts import ordinals
-
-        codes = ordinals(train, "user", "code")
-        n = codes.count()
-        digits = lambda k: F.substring(F.md5(F.concat_ws("/", F.col("user").cast("string"), F.col("item").cast("string"), k.cast("string"), F.lit(str(seed)))), 1, 15)
-        draw = lambda k: F.conv(digits(k), 16, 10).cast("long") % n
-        drawn = test.select("user", "item").distinct().select("user", "item", F.explode(F.transform(F.sequence(F.lit(1), F.lit(sample)), draw)).alias("code"))
-        drawn = drawn.groupBy("user", "item", "code").agg(F.count(F.lit(1)).alias("times")).join(codes.withColumnRenamed("user", "other"), "code")
-        near = _user_neighbours(test, train, drawn).join(drawn, ["user", "item", "other"]).withColumn("off", F.col("off") * F.col("times"))
+        near = _drawn_neighbours(test, train, sample, seed).withColumn("off", F.col("off") * F.col("times"))
         weight = F.sum(F.abs("sim") * F.col("times"))
         moved = near.groupBy("user", "item").agg(F.coalesce(F.try_divide(F.sum(F.col("off") * F.col("sim")), weight), F.lit(0.0)).alias("move"))
-        out = test.select("user", "item").distinct().join(means(train, "user", "mean"), "user").join(moved, ["user", "item"], "left")
-        return out.select("user", "item", clip(F.col("mean") + F.coalesce("move", F.lit(0.0))).alias("prediction"))
-    return _centred(test, train, _user_neighbours(test, train))
+        return _centred(test, train, moved)
+    return _centred(test, train, moves(test, train))
 
 
 def item_cf_first(test: DataFrame, train: DataFrame, k: int = 20) -> DataFrame:
@@ -172,8 +171,7 @@ def user_cf_top(test: DataFrame, train: DataFrame, item_profile: DataFrame, k: i
     ``item_profile``: (item, item_mean). Ties in similarity go to the smaller user.
     """
     pairs = test.select("user", "item").distinct()
-    near = _first(_user_neighbours(pairs, train), k, F.desc("sim"), F.col("other"))
-    moved = near.groupBy("user", "item").agg(weighted(F.col("off"), F.col("sim")).alias("move"))
+    moved = moves(pairs, train, k)
     out = pairs.join(means(train, "user", "mean"), "user", "left").join(moved, ["user", "item"], "left").join(item_profile, "item", "left")
     raw = F.when(F.coalesce("mean", F.lit(0.0)) == 0, F.col("item_mean")).otherwise(F.col("mean") + F.coalesce("move", F.lit(0.0)))
     return out.select("user", "item", clip(raw).alias("prediction"))
