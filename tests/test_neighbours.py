@@ -92,3 +92,12 @@ def test_user_cf_writes_no_pairs_of_users(spark, monkeypatch):
     rows = written_rows(monkeypatch)
     found = recommend.user_cf(test, train)
     assert found.count() == 250 and max(n for _, n in rows) <= 2000
+
+
+def test_draws_are_written_before_they_are_joined(spark, monkeypatch):
+    train, test = crowd(spark)
+    rows = written_rows(monkeypatch)
+    found = recommend.user_cf(test, train, sample=50)
+    assert found.count() == 250
+    sizes = dict(rows)
+    assert sizes["drawn"] == 250 * 50 and sizes["pairs"] <= sizes["drawn"]
