@@ -101,3 +101,10 @@ def test_draws_are_written_before_they_are_joined(spark, monkeypatch):
     assert found.count() == 250
     sizes = dict(rows)
     assert sizes["drawn"] == 250 * 50 and sizes["pairs"] <= sizes["drawn"]
+
+
+def test_user_cf_top_writes_no_pairs_of_users(spark, monkeypatch):
+    train, test = crowd(spark)
+    rows = written_rows(monkeypatch)
+    found = recommend.user_cf_top(test, train, train.groupBy("item").agg(F.avg("rating").alias("item_mean")))
+    assert found.count() == 250 and max(n for _, n in rows) <= 2000
