@@ -108,3 +108,12 @@ def test_user_cf_top_writes_no_pairs_of_users(spark, monkeypatch):
     rows = written_rows(monkeypatch)
     found = recommend.user_cf_top(test, train, train.groupBy("item").agg(F.avg("rating").alias("item_mean")))
     assert found.count() == 250 and max(n for _, n in rows) <= 2000
+
+
+@pytest.mark.parametrize("oracle", [False, True])
+def test_hybrid_writes_no_pairs_of_users(spark, monkeypatch, oracle):
+    train, test = crowd(spark)
+    profiles = [train.groupBy(c).agg(F.avg("rating").alias(f"{c}_mean")) for c in ("user", "item")]
+    rows = written_rows(monkeypatch)
+    found = recommend.hybrid(test, train, *profiles, oracle=oracle)
+    assert found.count() == 250 and max(n for _, n in rows) <= 2000
