@@ -262,3 +262,19 @@ def _best(pair, other, off, sim, k, found=None):
     good = order[place < k]
     out = [pair[place < k], other[good], off[good], sim[good]]
     return out if rest is None else [np.concatenate(x) for x in zip(rest, out, strict=True)]
+
+
+def similarities(train: DataFrame, of: str, over: str) -> DataFrame:
+    """(a, b, sim): Pearson of every ordered pair of different ``of`` that have an ``over`` in common."""
+    coded = Coded(train, of, over)
+
+    def run(block, chunk, values):
+        for mine, theirs, sim in block.similar(chunk):
+            for x in range(0, len(sim), 1 << 16):
+                at = slice(x, x + (1 << 16))
+                a, b, sims = block.values.take(pa.array(mine[at])), values.take(pa.array(chunk.first[theirs[at]])), pa.array(sim[at])
+                for pair in ((a, b), (b, a)):
+                    yield pa.RecordBatch.from_arrays([*(v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for v in pair), sims], names=["a", "b", "sim"])
+
+    kind = coded.rows.schema["v"].dataType.simpleString()
+    return coded.dealt(None).mapInArrow(lambda batches: _blocks(batches, run, lambda _: ()), f"a {kind}, b {kind}, sim double")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.scalar import clip, zero_default
 from lodeworks.functions.stats import mean_without, pearson, weighted
+from lodeworks.operators import neighbours
 from lodeworks.operators.neighbours import moves
 from lodeworks.plans.stages import Scratch, broadcast_if_small
 
@@ -26,9 +27,7 @@ def known_only(test: DataFrame, train: DataFrame) -> DataFrame:
 
 def similarities(train: DataFrame, of: str, over: str) -> DataFrame:
     """(a, b, sim): Pearson of every ordered pair of different ``of`` that have an ``over`` in common."""
-    side = lambda s: train.select(F.col(of).alias(s), over, F.col("rating").alias(f"r_{s}"))
-    half = side("a").join(side("b"), over).where("a < b").groupBy("a", "b").agg(pearson("r_a", "r_b").alias("sim"))
-    return half.union(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    return neighbours.similarities(train, of, over)
 
 
 def needed_similarities(train: DataFrame, of: str, over: str, needed: DataFrame) -> DataFrame:

@@ -117,3 +117,24 @@ def test_hybrid_writes_no_pairs_of_users(spark, monkeypatch, oracle):
     rows = written_rows(monkeypatch)
     found = recommend.hybrid(test, train, *profiles, oracle=oracle)
     assert found.count() == 250 and max(n for _, n in rows) <= 2000
+
+
+def test_similarities_are_not_shuffled_by_pair(spark):
+    train, _ = drawn(5)
+    ratings = spark.createDataFrame(train, "user string, item string, rating double")
+    found = recommend.similarities(ratings, "user", "item")
+    by_user = defaultdict(dict)
+    for u, i, r in train:
+        by_user[u][i] = r
+    want = {}
+    for a in by_user:
+        for b in by_user:
+            common = [(by_user[a][i], by_user[b][i]) for i in by_user[a] if i in by_user[b]]
+            if a != b and common:
+                n, sx, sy = len(common), sum(x for x, _ in common), sum(y for _, y in common)
+                cov, vx, vy = n * sum(x * y for x, y in common) - sx * sy, n * sum(x * x for x, _ in common) - sx * sx, n * sum(y * y for _, y in common) - sy * sy
+                want[a, b] = cov / (sqrt(vx) * sqrt(vy)) if cov else 0.0
+    rows = found.collect()
+    assert {(r["a"], r["b"]): r["sim"] for r in rows} == pytest.approx(want) and len(rows) == len(want)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
