@@ -138,3 +138,13 @@ def test_similarities_are_not_shuffled_by_pair(spark):
     assert {(r["a"], r["b"]): r["sim"] for r in rows} == pytest.approx(want) and len(rows) == len(want)
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["rmse"])
+def test_error_query_writes_no_pairs_of_users(spark, monkeypatch, name):
+    from lodeworks.plans import queries, roles
+
+    train, test = crowd(spark)
+    monkeypatch.setattr(roles, "ratings", lambda *_: (train, test))
+    rows = written_rows(monkeypatch)
+    assert queries.queries()[name](spark, "").first()["rmse"] >= 0 and max(n for _, n in rows) <= 2000
