@@ -140,7 +140,7 @@ def test_similarities_are_not_shuffled_by_pair(spark):
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["rmse"])
+@pytest.mark.parametrize("name", ["rmse", "hybrid_oracle_rmse"])
 def test_error_query_writes_no_pairs_of_users(spark, monkeypatch, name):
     from lodeworks.plans import queries, roles
 
