@@ -2,7 +2,9 @@
 
 Users are numbered in order and cut into blocks. A block is sent its own users' ratings, the pairs to predict, and the
 ratings of all others under the items it has, sorted by user; these stream by, so that a task holds its block and one
-chunk. What two users have in common is summed in arrays: pairs of users are neither shuffled nor written.
+chunk. What two users have in common is summed in arrays: pairs of users are neither shuffled nor written. For
+predictions, chunks travel packed, a row for each block and chunk: sorting and converting a row for each rating and
+block took most of the time.
 """
 
 from __future__ import annotations
@@ -14,28 +16,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.functions.stats import mean_without
 from lodeworks.operators.counts import ordinals
 from lodeworks.plans.stages import Scratch
 
 #: Blocks of users at least, if there are as many users, and ratings of a block at most, on average.
 LEAST_BLOCKS, BLOCK_ROWS = 24, 1 << 20
+#: Blocks times ranges of items, at most, for which it is noted whether a block has the range and so is sent its ratings.
+TOUCHED = 1 << 15
 #: Ratings of others in a chunk, at least, and cells or meetings of users that a task works on at once.
 CHUNK_ROWS, CELLS = 1 << 18, 1 << 21
 
 
 class Coded:
-    """Ratings under ordinals of users and items, written, with each rating's distance from its user's mean without it."""
+    """Ratings under ordinals of users and items, written."""
 
     def __init__(self, train: DataFrame, of: str = "user", over: str = "item"):
         self.scratch = scratch = Scratch(train.sparkSession, "neighbours")
         self.users = scratch.write(ordinals(train, of, "u"), "users")
         self.items = scratch.write(ordinals(train, over, "i"), "items")
-        own = train.groupBy(of).agg(F.sum("rating").alias("total"), F.count(F.lit(1)).alias("n"))
-        off = F.coalesce(F.col("rating") - mean_without(F.col("total"), F.col("n"), F.col("rating")), F.lit(0.0))
-        rows = train.join(own, of).join(self.users, of).join(self.items, over)
-        rating = F.coalesce(F.col("rating").cast("double"), F.lit(0.0))  # a null adds nothing to a sum
-        self.rows = scratch.write(rows.select("u", "i", F.col(of).alias("v"), rating.alias("r"), off.cast("double").alias("off")), "rows")
+        rows = train.join(self.users, of).join(self.items, over)
+        self.rows = scratch.write(rows.select("u", "i", F.col(of).alias("v"), F.col("rating").cast("double").alias("r")), "rows")
         self.n, n_rows = self.users.count(), self.rows.count()
         self.blocks = max(1, min(self.n, max(LEAST_BLOCKS, -(-n_rows // BLOCK_ROWS))))
 
@@ -43,20 +43,97 @@ class Coded:
         return F.floor(F.col("u") * self.blocks / max(1, self.n)).cast("int")
 
     def dealt(self, test: DataFrame | None) -> DataFrame:
-        """(block, side, u, i, v, r, off) by block, in order: side 0 its users' ratings, 1 pairs to predict, 2 the ratings of others; without ``test``, of larger ones."""
-        own = self.rows.withColumn("block", self.block())
-        value = "v" if test is None else F.lit(None).cast(self.rows.schema["v"].dataType).alias("v")  # only pairs of users are given as such
-        out, touched = own.select("block", F.lit(0).alias("side"), "u", "i", value, "r", "off"), own.select("block", "i")
+        """What each block is sent, by block, in order: ``PACKED`` rows; without ``test``, (block, side, u, i, v, r), side 0 its users' ratings, 2 those of larger users."""
+        rows = self.rows.withColumn("block", self.block())
         if test is not None:
-            asked = test.withColumn("block", self.block()).select("block", F.lit(1).alias("side"), "u", "i", value, F.lit(0.0).alias("r"), F.lit(0.0).alias("off"))
-            out, touched = out.union(asked), touched.union(asked.select("block", "i"))
-        met = self.rows.join(touched.distinct(), "i")
-        if test is None:
-            met = met.where(F.col("block") <= self.block())
-        out = out.union(met.select("block", F.lit(2).alias("side"), "u", "i", value, "r", "off"))
+            given = rows.select("block", "u", F.lit(0).alias("side"), "i", "r")
+            given = given.union(test.withColumn("block", self.block()).select("block", "u", F.lit(1).alias("side"), "i", F.lit(None).cast("double").alias("r")))
+            ranges = max(1, TOUCHED // self.blocks)
+            each = max(1, -(-self.items.count() // ranges))  # items of a range
+            found = given.select("block", F.floor(F.col("i") / each).cast("int").alias("range")).distinct().toArrow()
+            touched = np.zeros((self.blocks, ranges), bool)
+            touched[found["block"].to_numpy(), found["range"].to_numpy()] = True
+            given = given.repartitionById(self.blocks, F.col("block")).sortWithinPartitions("block", "u", "side", "i")
+            packed = given.mapInArrow(_packer(touched, each, CHUNK_ROWS), PACKED)
+            return packed.repartitionById(self.blocks, F.col("block")).sortWithinPartitions("block", "side", "u")
+        rating = F.coalesce("r", F.lit(0.0)).alias("r")  # a null adds nothing to a sum
+        met = self.rows.join(rows.select("block", "i").distinct(), "i").where(F.col("block") <= self.block())
+        out = rows.select("block", F.lit(0).alias("side"), "u", "i", "v", rating).union(met.select("block", F.lit(2).alias("side"), "u", "i", "v", rating))
         return out.repartitionById(self.blocks, F.col("block")).sortWithinPartitions("block", "side", "u", "i")
 
 
+#: What a block is sent, packed. Side 0: its users' ratings, 1: pairs to predict, 2: a chunk of others' ratings by item, with
+#: each user's number of ratings and their sum; u is the first user. A chunk's ratings are numbers of ``ratings``, whose last one, a NaN, is for nulls.
+_ARRAYS = ("users", "items", "counts", "at", "codes", "ratings", "sizes", "totals")
+PACKED = "block int, side int, u long, " + ", ".join(f"{c} binary" for c in _ARRAYS)
+
+
+def _narrow(x: np.ndarray, top: int) -> np.ndarray:
+    return x.astype(np.uint8 if top <= 1 << 8 else np.uint16 if top <= 1 << 16 else np.uint32)
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    """As given to ``_narrow``, n numbers."""
+    return np.frombuffer(data, f"u{len(data) // n}") if n else np.zeros(0, np.uint8)
+
+
+def _packer(touched: np.ndarray, each: int, chunk_rows: int):
+    """The function from (block, u, side, i, r), by block and user, to ``PACKED`` rows; a user's ratings are never cut."""
+
+    def row(block, side, u, **arrays):
+        data = [pa.array([arrays[c].tobytes() if c in arrays else None], pa.binary()) for c in _ARRAYS]
+        head = [pa.array([block], pa.int32()), pa.array([side], pa.int32()), pa.array([u], pa.int64())]
+        return pa.RecordBatch.from_arrays([*head, *data], names=["block", "side", "u", *_ARRAYS])
+
+    def packed(table):
+        block, u, side, i = (table[c].to_numpy() for c in ("block", "u", "side", "i"))
+        empty, r = table["r"].is_null().to_numpy(), table["r"].fill_null(0.0).to_numpy()
+        for b in np.unique(block):
+            for s in (0, 1):
+                mine = (block == b) & (side == s)
+                if mine.any():
+                    yield row(int(b), s, int(u[mine][0]), users=u[mine], items=i[mine], **({} if s else {"ratings": r[mine]}))
+        rated = side == 0
+        if not rated.any():
+            return
+        u, i, r, empty = u[rated], i[rated], r[rated], empty[rated]
+        users, at = np.unique(u, return_inverse=True)
+        sizes, totals = np.bincount(at), np.bincount(at, r)
+        ratings, codes = np.unique(r, return_inverse=True)
+        codes[empty] = len(ratings)
+        ratings = np.append(ratings, np.nan)
+        order = np.argsort(i, kind="stable")
+        i, at, codes = i[order], _narrow(at[order], len(users)), _narrow(codes[order], len(ratings))
+        items, first, counts = np.unique(i, return_index=True, return_counts=True)
+        whole = {"users": users, "ratings": ratings, "sizes": sizes, "totals": totals}
+        for b in range(len(touched)):
+            sent = touched[b][items // each]
+            if sent.all():
+                yield row(b, 2, int(users[0]), items=items, counts=counts, at=at, codes=codes, **whole)
+            elif sent.any():
+                kept = np.repeat(sent, counts)
+                yield row(b, 2, int(users[0]), items=items[sent], counts=counts[sent], at=at[kept], codes=codes[kept], **whole)
+
+    def run(batches):
+        rows, held, limit = [], 0, chunk_rows
+        for batch in batches:
+            rows.append(batch)
+            held += len(batch)
+            if held >= limit:
+                table = pa.Table.from_batches(rows)
+                u = table["u"].to_numpy()
+                cut = int(np.searchsorted(u, u[-1]))
+                if cut:
+                    yield from packed(table.slice(0, cut))
+                rows = table.slice(cut).combine_chunks().to_batches()
+                held = len(u) - cut
+                limit = max(chunk_rows, 2 * held)  # twice what one user has so far, who must not be cut
+        if held:
+            yield from packed(pa.Table.from_batches(rows))
+
+    return run
+
+
 def _ranges(low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, place): for each row its places low, low + 1, ..., count of them."""
     row = np.repeat(np.arange(len(low)), count)
@@ -72,18 +149,37 @@ def _pearson(n, sx, sy, sxx, syy, sxy) -> np.ndarray:
 
 
 class _Chunk:
-    """Ratings of some of the others, all of each, by item."""
+    """Ratings of some of the others, all of each that a block can meet, by item."""
 
     def __init__(self, rows: dict[str, np.ndarray]):
-        users, local = np.unique(rows["u"], return_inverse=True)
+        self.users, self.first, local = np.unique(rows["u"], return_index=True, return_inverse=True)
         order = np.argsort(rows["i"], kind="stable")
-        self.users, self.first = users, np.unique(rows["u"], return_index=True)[1]
-        self.item, self.local = rows["i"][order], local[order]
-        self.r, self.off = rows["r"][order], rows["off"][order]
+        self.items, self.start, self.count = np.unique(rows["i"][order], return_index=True, return_counts=True)
+        self.local, self.r = local[order], rows["r"][order]
+
+    @classmethod
+    def unpacked(cls, row: dict, own_value: bool) -> _Chunk:
+        """From a ``PACKED`` row. A rating's value is itself, or else its distance from its user's mean without it."""
+        self = cls.__new__(cls)
+        self.users, self.items, self.count, sizes = (np.frombuffer(row[c], np.int64) for c in ("users", "items", "counts", "sizes"))
+        self.start, n = np.cumsum(self.count) - self.count, int(self.count.sum())
+        self.local = _wide(row["at"], n).astype(np.int64)
+        codes, ratings = _wide(row["codes"], n), np.frombuffer(row["ratings"])
+        empty = codes == len(ratings) - 1
+        self.r = np.where(empty, 0.0, ratings[codes])  # a null adds nothing to a sum
+        if own_value:
+            self.value = self.r
+        else:
+            rest, total = sizes[self.local] - 1, np.frombuffer(row["totals"])[self.local]
+            self.value = np.where(empty | (rest == 0), 0.0, self.r - (total - self.r) / np.maximum(rest, 1))
+        return self
 
     def of_items(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = np.searchsorted(self.item, items, "left")
-        return low, np.searchsorted(self.item, items, "right") - low
+        """(low, count): places of the items' ratings."""
+        if not len(self.items):
+            return np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
+        at = np.minimum(np.searchsorted(self.items, items), len(self.items) - 1)
+        return self.start[at], np.where(self.items[at] == items, self.count[at], 0)
 
 
 class _Block:
@@ -109,29 +205,33 @@ class _Block:
             a = b
 
     def predicted(self, chunk: _Chunk) -> Iterator[tuple]:
-        """(pair, other, off, sim) arrays: the raters in the chunk of each pair's item."""
+        """(pair, value, sim) arrays, by pair and user: the raters in the chunk of each pair's item."""
         width = len(chunk.users)
         for users, own, low, count, asked in self.batches(chunk, True):
             item_low, item_count = chunk.of_items(self.asked["i"][asked])
             pair, place = _ranges(item_low, item_count)
             if not len(pair):
                 continue
-            cell = np.searchsorted(users, self.asked["u"][asked])[pair] * width + chunk.local[place]
+            cell = (np.searchsorted(users, self.asked["u"][asked]) * width)[pair] + chunk.local[place]
             if len(self.slots) < len(users) * width:
                 self.slots = np.full(len(users) * width, -1, np.int32)
             slots, m = self.slots, len(cell)
             slots[cell] = np.arange(m, dtype=np.int32)
             mine = slots[cell]
-            row, met = _ranges(low, count)
-            slot = slots[np.searchsorted(users, self.own["u"][own])[row] * width + chunk.local[met]]
+            ends = np.cumsum(count)  # as in _ranges, but rows are found for the needed ones only, a few in a hundred
+            met = np.arange(ends[-1] if len(ends) else 0)
+            met += np.repeat(low - ends + count, count)
+            slot = chunk.local[met]
+            slot += np.repeat(np.searchsorted(users, self.own["u"][own]) * width, count)
+            slot = slots[slot]
             slots[cell] = -1
             needed = np.flatnonzero(slot >= 0)
-            slot, x, y = slot[needed], self.own["r"][own][row[needed]], chunk.r[met[needed]]
+            slot, x, y = slot[needed], self.own["r"][own][np.searchsorted(ends, needed, "right")], chunk.r[met[needed]]
             sums = [np.bincount(slot, w, m) for w in (None, x, y, x * x, y * y, x * y)]
-            sim, other = _pearson(*sums)[mine], chunk.users[chunk.local[place]]
+            sim = _pearson(*sums)[mine]
             pair = pair + asked.start
-            good = other != self.asked["u"][pair]
-            yield pair[good], other[good], chunk.off[place][good], sim[good]
+            good = chunk.users[chunk.local[place]] != self.asked["u"][pair]
+            yield pair[good], chunk.value[place][good], sim[good]
 
     def similar(self, chunk: _Chunk) -> Iterator[tuple]:
         """(user, other, sim) arrays: first rows of the block's users, places of larger users in the chunk, similarity of those with something in common."""
@@ -150,10 +250,10 @@ class _Block:
             yield np.searchsorted(self.own["u"], users[a][larger]), b[larger], sim[larger]
 
 
-def _blocks(batches, run, done):
-    """Give each block's chunks to ``run(block, chunk, values)``, and the block to ``done(block)`` when it ends."""
-    block, now, rows, sides, held, limit = None, None, [], {0: [], 1: []}, 0, CHUNK_ROWS
-    names = ("u", "i", "r", "off")
+def _blocks(batches, run):
+    """Give each block's chunks to ``run(block, chunk, values)``."""
+    block, now, rows, sides, held, limit = None, None, [], [], 0, CHUNK_ROWS
+    names = ("u", "i", "r")
 
     def arrays(parts):
         table = pa.Table.from_batches(parts) if parts else None
@@ -162,8 +262,8 @@ def _blocks(batches, run, done):
     def flush(last):
         nonlocal rows, block
         if block is None:
-            own, values = arrays(sides[0])
-            block = _Block(own, arrays(sides[1])[0])
+            own, values = arrays(sides)
+            block = _Block(own, arrays([])[0])
             block.values = values
         given, values = arrays(rows)
         cut = len(given["u"]) if last else int(np.searchsorted(given["u"], given["u"][-1]))  # all ratings of a user together
@@ -180,11 +280,10 @@ def _blocks(batches, run, done):
             if at[a] != now:
                 if now is not None:
                     yield from flush(True)
-                    yield from done(block)
-                block, now, sides, held, limit = None, at[a], {0: [], 1: []}, 0, CHUNK_ROWS
+                block, now, sides, held, limit = None, at[a], [], 0, CHUNK_ROWS
             part = batch.slice(a, b - a)
-            if side[a] < 2:
-                sides[int(side[a])].append(part)
+            if side[a] == 0:
+                sides.append(part)
                 continue
             rows.append(part)
             held += b - a
@@ -194,35 +293,35 @@ def _blocks(batches, run, done):
                 limit = max(CHUNK_ROWS, 2 * held)  # twice what one user has so far, who must not be cut
     if now is not None:
         yield from flush(True)
-        yield from done(block)
 
 
-def _mover(k: int | None):
+def _mover(k: int | None, own_value: bool = False):
     """The function from a task's rows (as ``Coded.dealt`` orders them) to (u, i, move)."""
 
-    def run_all(block, chunk, _):
-        if not hasattr(block, "sums"):
-            block.sums = np.zeros((3, len(block.asked["u"])))
-        for pair, _other, off, sim in block.predicted(chunk):
-            for total, w in zip(block.sums, (off * sim, np.abs(sim), None), strict=True):
-                total += np.bincount(pair, w, len(total))
-        return ()
-
-    def run_top(block, chunk, _):
-        if not hasattr(block, "best"):
-            block.best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
-        for pair, other, off, sim in block.predicted(chunk):
-            # the chunk's best of each pair, then merged with those of before
-            block.best = _best(*(np.concatenate(x) for x in zip(block.best, _best(pair, other, off, sim, k), strict=True)), k, found=pair)
-        return ()
+    def begun(own, asked):
+        column = lambda parts, c, kind: np.concatenate([np.frombuffer(x[c], kind) for x in parts]) if parts else np.zeros(0, kind)
+        kinds = {"u": ("users", np.int64), "i": ("items", np.int64)}
+        block = _Block({c: column(own, *x) for c, x in (kinds | {"r": ("ratings", np.float64)}).items()}, {c: column(asked, *x) for c, x in kinds.items()})
+        n = len(block.asked["u"])
+        block.sums = np.zeros((3, n))  # of products, of weights, raters
+        if k is not None:
+            block.sim, block.value = np.full((n, k), -np.inf), np.zeros((n, k))
+        return block
+
+    def run(block, chunk):
+        for pair, value, sim in block.predicted(chunk):
+            if k is None:
+                for total, w in zip(block.sums, (value * sim, np.abs(sim), None), strict=True):
+                    total += np.bincount(pair, w, len(total))
+            else:
+                _best(block.sim, block.value, pair, value, sim)
 
     def done(block):
-        n = len(block.asked["u"])
-        if k is None:
-            products, weights, raters = block.sums if hasattr(block, "sums") else np.zeros((3, n))
-        else:
-            pair, _, off, sim = block.best if hasattr(block, "best") else [np.zeros(0, np.int64)] * 4
-            products, weights, raters = (np.bincount(pair, w, n) for w in (off * sim, np.abs(sim), None))
+        products, weights, raters = block.sums
+        if k is not None:
+            found = block.sim != -np.inf
+            sim = np.where(found, block.sim, 0.0)
+            products, weights, raters = (block.value * sim).sum(1), np.abs(sim).sum(1), found.sum(1)
         with np.errstate(all="ignore"):
             move = np.where((products == 0) | (weights == 0), 0.0, products / weights)
         some = np.flatnonzero(raters)
@@ -230,38 +329,58 @@ def _mover(k: int | None):
             s = some[a : a + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(block.asked["u"][s]), pa.array(block.asked["i"][s]), pa.array(move[s])], names=["u", "i", "move"])
 
-    return lambda batches: _blocks(batches, run_all if k is None else run_top, done)
-
-
-def moves(test: DataFrame, train: DataFrame, k: int | None = None) -> DataFrame:
+    def moved(batches):
+        block, now, parts = None, None, ([], [])
+        for batch in batches:
+            for at in range(len(batch)):
+                row = {c: x[0].as_py() for c, x in zip(batch.schema.names, batch.slice(at, 1).columns, strict=True)}
+                if row["block"] != now:
+                    if now is not None:
+                        yield from done(block or begun(*parts))
+                    block, now, parts = None, row["block"], ([], [])
+                if row["side"] < 2:
+                    parts[row["side"]].append(row)
+                    continue
+                block = block or begun(*parts)
+                run(block, _Chunk.unpacked(row, own_value))
+        if now is not None:
+            yield from done(block or begun(*parts))
+
+    return moved
+
+
+def moves(test: DataFrame, train: DataFrame, k: int | None = None, of: str = "user", over: str = "item", own_value: bool = False) -> DataFrame:
     """(user, item, move) of the pairs in ``test`` that have raters: the weighted distance of these from their own means.
 
     Of all other raters of the item, or of the ``k`` most similar, the smaller user first on ties. The similarity is
-    Pearson's, 0 with nothing in common; a user not in ``train`` has no move.
+    Pearson's, 0 with nothing in common; a user not in ``train`` has no move. With ``of`` and ``over`` exchanged, of the
+    other items that the user rated; with ``own_value``, the weighted rating instead of the distance.
     """
-    coded = Coded(train)
-    asked = test.select("user", "item").distinct().join(coded.users, "user").join(coded.items, "item")
+    coded = Coded(train, of, over)
+    asked = test.select("user", "item").distinct().join(coded.users, of).join(coded.items, over)
     asked = coded.scratch.write(asked, "asked")
 
-    moved = coded.scratch.write(coded.dealt(asked).mapInArrow(_mover(k), "u long, i long, move double"), "moved")
+    moved = coded.scratch.write(coded.dealt(asked).mapInArrow(_mover(k, own_value), "u long, i long, move double"), "moved")
     return moved.join(asked, ["u", "i"]).select("user", "item", "move")
 
 
-def _best(pair, other, off, sim, k, found=None):
-    """The ``k`` most similar of each pair, the smaller user first on ties; with ``found``, only the pairs in it are looked at, the rest kept."""
-    if found is not None and len(found):
-        touched = (pair >= found.min()) & (pair <= found.max())
-        rest = [x[~touched] for x in (pair, other, off, sim)]
-        pair, other, off, sim = (x[touched] for x in (pair, other, off, sim))
-    else:
-        rest = None
-    order = np.lexsort((other, -sim, pair))
+def _best(best_sim: np.ndarray, best_value: np.ndarray, pair: np.ndarray, value: np.ndarray, sim: np.ndarray) -> None:
+    """Enter raters, by pair and user and larger than those of before, among the most similar of each pair, the smaller user first on ties."""
+    k = best_sim.shape[1]
+    hope = ~(sim <= best_sim[pair, k - 1])  # most are behind the last of the best already
+    pair, value, sim = pair[hope], value[hope], sim[hope]
+    if not len(pair):
+        return
+    old = pair[np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))]
+    row, place = np.nonzero(best_sim[old] != -np.inf)
+    row = old[row]
+    pair, value, sim = np.append(row, pair), np.append(best_value[row, place], value), np.append(best_sim[row, place], sim)
+    order = np.lexsort((-sim, pair))  # stable: users stay in order
     pair = pair[order]
-    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
     place = np.arange(len(pair)) - np.repeat(first, np.diff(np.append(first, len(pair))))
-    good = order[place < k]
-    out = [pair[place < k], other[good], off[good], sim[good]]
-    return out if rest is None else [np.concatenate(x) for x in zip(rest, out, strict=True)]
+    good = place < k
+    best_sim[pair[good], place[good]], best_value[pair[good], place[good]] = sim[order[good]], value[order[good]]
 
 
 def similarities(train: DataFrame, of: str, over: str) -> DataFrame:
@@ -277,4 +396,4 @@ def similarities(train: DataFrame, of: str, over: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*(v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for v in pair), sims], names=["a", "b", "sim"])
 
     kind = coded.rows.schema["v"].dataType.simpleString()
-    return coded.dealt(None).mapInArrow(lambda batches: _blocks(batches, run, lambda _: ()), f"a {kind}, b {kind}, sim double")
+    return coded.dealt(None).mapInArrow(lambda batches: _blocks(batches, run), f"a {kind}, b {kind}, sim double")

@@ -148,3 +148,28 @@ def test_error_query_writes_no_pairs_of_users(spark, monkeypatch, name):
     monkeypatch.setattr(roles, "ratings", lambda *_: (train, test))
     rows = written_rows(monkeypatch)
     assert queries.queries()[name](spark, "").first()["rmse"] >= 0 and max(n for _, n in rows) <= 2000
+
+
+@pytest.mark.parametrize("k", [None, 1, 10])
+@pytest.mark.parametrize(("chunk", "cells"), [(1, 1), (40, 90)])
+def test_chunks_travel_packed(spark, monkeypatch, k, chunk, cells):
+    """A block is sent a row for each chunk, not for each rating."""
+    train, test = drawn(4)
+    monkeypatch.setattr(neighbours, "LEAST_BLOCKS", 3)
+    monkeypatch.setattr(neighbours, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(neighbours, "CELLS", cells)
+    ratings = spark.createDataFrame(train, "user string, item string, rating double")
+    asked = spark.createDataFrame(test, "user string, item string")
+    coded = neighbours.Coded(ratings)
+    rows = coded.dealt(asked.join(coded.users, "user").join(coded.items, "item")).toArrow().to_batches()
+    assert sum(map(len, rows)) <= 5 * 60 < len(train)  # of a chunk for each user at most: own, asked, and to each block
+    user, item = ({r[1]: r[0] for r in t.collect()} for t in (coded.users, coded.items))
+    found = [r for b in neighbours._mover(k)(iter(rows)) for r in b.to_pylist()]
+    assert {(user[r["u"]], item[r["i"]]): r["move"] for r in found} == pytest.approx(brute_moves(train, test, k))
+
+
+def test_null_rating_is_no_distance(spark):
+    rows = [("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 1.0), ("b", "y", 2.0), ("b", "z", None), ("c", "x", 2.0), ("c", "y", 1.0), ("c", "z", 5.0)]
+    train = spark.createDataFrame(rows, "user string, item string, rating double")
+    asked = spark.createDataFrame([("a", "z")], "user string, item string")
+    assert [r["move"] for r in neighbours.moves(asked, train).collect()] == [-1.75]
