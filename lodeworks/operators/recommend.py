@@ -182,8 +182,7 @@ def item_cf_top(test: DataFrame, train: DataFrame, user_profile: DataFrame, k: i
     ``user_profile``: (user, user_mean). Ties in similarity go to the smaller item.
     """
     pairs = test.select("user", "item").distinct()
-    near = _first(_with_similarity(_rated(pairs, train), train), k, F.desc("sim"), F.col("other"))
-    score = near.groupBy("user", "item").agg(weighted(F.col("rating"), F.col("sim")).alias("score"))
+    score = moves(pairs, train, k, of="item", over="user", own_value=True).withColumnRenamed("move", "score")
     out = pairs.join(score, ["user", "item"], "left").join(user_profile, "user", "left")
     raw = F.when(F.coalesce("score", F.lit(0.0)) == 0, F.col("user_mean")).otherwise(F.col("score"))
     return out.select("user", "item", clip(raw).alias("prediction"))

@@ -173,3 +173,28 @@ def test_null_rating_is_no_distance(spark):
     train = spark.createDataFrame(rows, "user string, item string, rating double")
     asked = spark.createDataFrame([("a", "z")], "user string, item string")
     assert [r["move"] for r in neighbours.moves(asked, train).collect()] == [-1.75]
+
+
+@pytest.mark.parametrize("k", [None, 10])
+def test_moves_of_items_equal_brute_force(spark, k):
+    train, test = drawn(6)
+    ratings = spark.createDataFrame(train, "user string, item string, rating double")
+    asked = spark.createDataFrame(test, "user string, item string")
+    want = brute_moves([(i, u, r) for u, i, r in train], [(i, u) for u, i in test], k)
+    found = neighbours.moves(asked, ratings, k, of="item", over="user").collect()
+    assert {(r["item"], r["user"]): r["move"] for r in found} == pytest.approx(want)
+
+
+def shelf(spark):
+    """Six users who each rated some 190 of 200 items, and are asked about the others."""
+    every = spark.range(1200).select((F.col("id") % 6).alias("user"), F.floor(F.col("id") / 6).alias("item"), (F.col("id") * F.col("id") % 5 + 1).cast("double").alias("rating"))
+    asked = (F.col("user") * 31 + F.col("item")) % 20 == 0
+    return every.where(~asked), every.where(asked)
+
+
+def test_hybrid_writes_no_pairs_of_items(spark, monkeypatch):
+    train, test = shelf(spark)
+    profiles = [train.groupBy(c).agg(F.avg("rating").alias(f"{c}_mean")) for c in ("user", "item")]
+    rows = written_rows(monkeypatch)
+    found = recommend.hybrid(test, train, *profiles)
+    assert found.count() == test.count() and max(n for _, n in rows) <= 1200
