@@ -198,3 +198,18 @@ def test_hybrid_writes_no_pairs_of_items(spark, monkeypatch):
     rows = written_rows(monkeypatch)
     found = recommend.hybrid(test, train, *profiles)
     assert found.count() == test.count() and max(n for _, n in rows) <= 1200
+
+
+def of_shelf(spark, monkeypatch, name):
+    """The query's error over ``shelf`` and the rows of what it writes."""
+    from lodeworks.plans import queries, roles
+
+    train, test = shelf(spark)
+    monkeypatch.setattr(roles, "ratings", lambda *_: (train, test))
+    rows = written_rows(monkeypatch)
+    return queries.queries()[name](spark, "").first()["rmse"], max(n for _, n in rows)
+
+
+def test_rmse_writes_no_pairs_of_items(spark, monkeypatch):
+    error, most = of_shelf(spark, monkeypatch, "rmse")
+    assert error > 0 and most <= 1200
