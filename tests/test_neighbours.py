@@ -213,3 +213,8 @@ def of_shelf(spark, monkeypatch, name):
 def test_rmse_writes_no_pairs_of_items(spark, monkeypatch):
     error, most = of_shelf(spark, monkeypatch, "rmse")
     assert error > 0 and most <= 1200
+
+
+def test_oracle_rmse_writes_no_pairs_of_items(spark, monkeypatch):
+    error, most = of_shelf(spark, monkeypatch, "hybrid_oracle_rmse")
+    assert error > 0 and most <= 1200
