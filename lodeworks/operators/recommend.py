@@ -50,7 +50,7 @@ def needed_similarities(train: DataFrame, of: str, over: str, needed: DataFrame)
     if by_pair < by_key:
         few = F.when(F.col("n_a") <= F.col("n_b"), F.col("a")).otherwise(F.col("b")).alias("few")
         many = F.when(F.col("n_a") <= F.col("n_b"), F.col("b")).otherwise(F.col("a")).alias("many")
-        met = half.select("a", "b", few, many).join(side("a", "few"), "few").join(side("b", "many"), ["many", over])
+        met = half.select("a", "b", few, many).join(side("a", "few").hint("merge"), "few").join(side("b", "many").hint("merge"), ["many", over])
     else:
         met = side("a", "a").join(side("b", "b"), over).where("a < b")
         if 4 * n < found * (found - 1):  # of more than half of all pairs, reducing saves less than it costs
@@ -68,7 +68,8 @@ def _drawn_neighbours(test: DataFrame, train: DataFrame, sample: int, seed: int)
     """(user, item, other, off, times, sim): raters of a test pair's item among the users drawn for it, how often each was drawn, how far it is off its own mean without it, and its similarity.
 
     Draws outnumber the tests they are made from, which a plan's estimate does not see: they are written, so that joins
-    know their size, and only those that are raters go on.
+    know their size, and only those that are raters go on. What grows with the ratings is joined by shuffle whatever its
+    files' size: on the driver a broadcast takes many times that.
     """
     from lodeworks.operators.counts import ordinals
 
@@ -81,12 +82,12 @@ def _drawn_neighbours(test: DataFrame, train: DataFrame, sample: int, seed: int)
     drawn = scratch.write(drawn.select("user", "item", (F.conv(digits, 16, 10).cast("long") % n).alias("code")), "drawn")
     own = train.groupBy("user").agg(F.sum("rating").alias("total"), F.count(F.lit(1)).alias("n"))
     off = F.coalesce(F.col("rating") - mean_without(F.col("total"), F.col("n"), F.col("rating")), F.lit(0.0))
-    raters = train.join(own, "user").join(codes, "user").select(F.col("user").alias("other"), "item", "code", off.alias("off"))
-    pairs = drawn.join(raters, ["item", "code"]).where("user <> other")
+    raters = train.join(own.hint("merge"), "user").join(codes.hint("merge"), "user").select(F.col("user").alias("other"), "item", "code", off.alias("off"))
+    pairs = drawn.join(raters.hint("merge"), ["item", "code"]).where("user <> other")
     pairs = scratch.write(pairs.groupBy("user", "item", "other", "off").agg(F.count(F.lit(1)).alias("times")), "pairs")
     needed = pairs.select(F.col("user").alias("a"), F.col("other").alias("b"))
     sims = needed_similarities(train, "user", "item", needed).select(F.col("a").alias("user"), F.col("b").alias("other"), "sim")
-    return pairs.join(sims, ["user", "other"], "left").select(*pairs.columns, F.coalesce("sim", F.lit(0.0)).alias("sim"))
+    return pairs.join(sims.hint("merge"), ["user", "other"], "left").select(*pairs.columns, F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
 def _rated(test: DataFrame, train: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def _first(df: DataFrame, k: int, *order: Column) -> DataFrame:
 
 def _centred(test: DataFrame, train: DataFrame, moved: DataFrame) -> DataFrame:
     """User mean plus the weighted deviation of neighbours (user, item, move), in bounds."""
-    out = test.select("user", "item").distinct().join(means(train, "user", "mean"), "user").join(moved, ["user", "item"], "left")
+    out = test.select("user", "item").distinct().join(means(train, "user", "mean").hint("merge"), "user").join(moved.hint("merge"), ["user", "item"], "left")
     return out.select("user", "item", clip(F.col("mean") + F.coalesce("move", F.lit(0.0))).alias("prediction"))
 
 

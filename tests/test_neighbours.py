@@ -218,3 +218,20 @@ def test_rmse_writes_no_pairs_of_items(spark, monkeypatch):
 def test_oracle_rmse_writes_no_pairs_of_items(spark, monkeypatch):
     error, most = of_shelf(spark, monkeypatch, "hybrid_oracle_rmse")
     assert error > 0 and most <= 1200
+
+
+def test_draws_meet_no_broadcast_ratings(spark, monkeypatch, small):
+    from lodeworks.plans import roles
+
+    plans, write = {}, Scratch.write
+
+    def seen(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(self, df, name)
+
+    monkeypatch.setattr(Scratch, "write", seen)
+    train, test = roles.ratings(spark, small)
+    found = recommend.user_cf(test, train, sample=50)
+    assert found.count() == recommend.known_only(test, train).count()
+    for name in ("ratings", "pairs"):
+        assert "SortMergeJoin" in plans[name] and "BroadcastHashJoin" not in plans[name]
