@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from lodeworks.functions.scalar import HASH_PAIRS
 from lodeworks.operators.counts import ordinals
 from lodeworks.plans.stages import Scratch
 
+#: Members of the largest set, at most, for sets to be sent along with each of their bands.
+CARRIED = 256
+
 
 def overlaps(rows: DataFrame, key: str, member: str, least: int = 1) -> DataFrame:
     """(a, b, common) with a < b: pairs of keys that share at least ``least`` members, by inverted index (D8). Needs least >= 1."""
@@ -57,10 +62,44 @@ def lsh_candidates(rows: DataFrame, key: str, member: str, bands: int = 9, pairs
     return keyed.withColumnRenamed("_k", "a").join(keyed.withColumnRenamed("_k", "b"), on).where("a < b").select("a", "b").distinct()
 
 
+def _band_pairs(rows: DataFrame, key: str, member: str, least: float, scratch: Scratch, bands: int = 9, pairs=tuple(HASH_PAIRS)) -> DataFrame:
+    """(a, b, jaccard) of ``lsh_candidates`` at or over ``least``; sets go along with the bands' keys, so that candidates are neither shuffled nor written.
+
+    Bands are joined one by one: together, their keys would not fit the tasks that sort them.
+    """
+    codes = scratch.write(ordinals(rows, member, "_o"), "codes")
+    m, per = max(1, codes.count()), len(pairs) // bands
+    kind = "int" if m < 1 << 31 else "long"
+    coded = rows.join(codes, member).select(F.col(key).alias("k"), F.col("_o").cast(kind)).repartition("k")
+    sets = coded.groupBy("k").agg(F.collect_list("_o").alias("members"))
+
+    def smallest(a, b):
+        return F.array_min(F.transform("members", lambda o: (F.lit(a).cast("long") * o + b) % m))
+
+    sets = scratch.write(sets.select("k", "members", *[smallest(*pairs[j]).alias(f"s{j}") for j in range(per * bands)]), "sets")
+    found = []
+    for band in range(bands):
+        on = [f"s{band * per + r}" for r in range(per)]
+        side = lambda s, on=on: sets.select(F.col("k").alias(s), F.col("members").alias(f"m_{s}"), *on)
+        n_a, n_b = F.size("m_a"), F.size("m_b")
+        near = F.least(n_a, n_b) >= (least - 1e-9) * F.greatest(n_a, n_b)
+        met = side("a").join(side("b").hint("merge"), on).where(F.col("a") < F.col("b")).where(near)
+        common = F.size(F.array_intersect("m_a", "m_b"))
+        met = met.select("a", "b", (common / (n_a + n_b - common)).alias("jaccard")).where(F.col("jaccard") >= least)
+        found.append(scratch.write(met, f"band{band}"))
+    return reduce(DataFrame.union, found).distinct()
+
+
 def lsh_jaccard(rows: DataFrame, key: str, member: str, least: float = 0.5) -> DataFrame:
-    """(a, b, jaccard) of the candidates at or over ``least``, verified on the whole sets."""
-    rows = rows.select(key, member).distinct()
-    candidates = Scratch(rows.sparkSession, "lsh").write(lsh_candidates(rows, key, member), "candidates")
+    """(a, b, jaccard) of the candidates at or over ``least``, verified on the whole sets.
+
+    Sets of at most ``CARRIED`` members go along with their bands; if there is a larger one, the candidates fetch the members.
+    """
+    scratch = Scratch(rows.sparkSession, "lsh")
+    rows = scratch.write(rows.select(key, member).distinct(), "rows")
+    if (rows.groupBy(key).agg(F.count(member).alias("n")).agg(F.max("n")).first()[0] or 0) <= CARRIED:
+        return _band_pairs(rows, key, member, least, scratch)
+    candidates = scratch.write(lsh_candidates(rows, key, member), "candidates")
     left = rows.select(F.col(key).alias("a"), F.col(member).alias("_m"))
     right = rows.select(F.col(key).alias("b"), F.col(member).alias("_m"))
     common = candidates.join(left, "a").join(right, ["b", "_m"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))

@@ -249,3 +249,29 @@ def test_betweenness_without_edges(spark, measure):
     for rows in ([], [(7, 7)]):
         found = measure(spark.createDataFrame(rows, "src long, dst long"))
         assert found.columns == ["src", "dst", "betweenness"] and found.count() == 0
+
+
+@pytest.mark.parametrize("carried", [256, 2])
+def test_lsh_pairs_carry_their_sets(spark, monkeypatch, carried):
+    """The whole pairs whether sets go along with the bands or are fetched, and no table of the candidates in the first case."""
+    from lodeworks.plans.stages import Scratch
+
+    names, write = [], Scratch.write
+
+    def seen(self, df, name):
+        names.append(name)
+        return write(self, df, name)
+
+    rows = [(k, m) for k in range(40) for m in range(k % 7, k % 7 + 4 + k % 3)] + [(3, 3), (None, 1), (50, None), (51, 0), (51, None), (52, 0)]
+    df = spark.createDataFrame(rows, "k int, m int")
+    members = {}
+    for k, m in rows:
+        if k is not None and m is not None:
+            members.setdefault(k, set()).add(m)
+    met = {(r["a"], r["b"]) for r in similarity.lsh_candidates(df.where("m IS NOT NULL").distinct(), "k", "m").collect()}
+    want = {(a, b): len(members[a] & members[b]) / len(members[a] | members[b]) for a, b in met}
+    monkeypatch.setattr(similarity, "CARRIED", carried)
+    monkeypatch.setattr(Scratch, "write", seen)
+    found = [tuple(r) for r in similarity.lsh_jaccard(df, "k", "m").collect()]
+    assert sorted(found) == sorted((a, b, x) for (a, b), x in want.items() if x >= 0.5) and len(found) > 100
+    assert ("candidates" in names) == (carried == 2)
