@@ -67,3 +67,8 @@ def seconds_text(ts: Column) -> Column:
 
 def quoted(value: Column) -> Column:
     return F.concat(F.lit("'"), value.cast("string"), F.lit("'"))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` to so many places, halves away from zero, as DuckDB rounds: the product with the power of ten decides what a half is, not the decimal number."""
+    return F.round(x * F.lit(10.0**digits)) / F.lit(10.0**digits)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeworks.functions.scalar import clip, zero_default
+from lodeworks.functions.scalar import clip, rounded, zero_default
 from lodeworks.functions.stats import mean_without, pearson, weighted
 from lodeworks.operators import neighbours
 from lodeworks.operators.neighbours import moves
@@ -194,16 +194,17 @@ def oracle_blend(truth: Column, first: Column, second: Column) -> Column:
     return F.when(F.abs(truth - first) > F.abs(truth - second), second).otherwise(first)
 
 
-def hybrid(test: DataFrame, train: DataFrame, user_profile: DataFrame, item_profile: DataFrame, k: int = 10, oracle: bool = False) -> DataFrame:
+def hybrid(test: DataFrame, train: DataFrame, user_profile: DataFrame, item_profile: DataFrame, k: int = 10, oracle: bool = False, digits: int | None = None) -> DataFrame:
     """(user, item, rating, prediction) of each test row.
 
     The mean of both profile means; where these differ by more than 0.5, the mean of the two filters if they
     agree within 1, else the mean of the profiles again. ``oracle`` takes the estimate nearest the label there.
+    With ``digits``, the filters' estimates are rounded to so many places before they are compared and blended.
     """
     p = [user_cf_top(test, train, item_profile, k).withColumnRenamed("prediction", "p0"), item_cf_top(test, train, user_profile, k).withColumnRenamed("prediction", "p1")]
     rows = test.join(p[0], ["user", "item"]).join(p[1], ["user", "item"])
     rows = rows.join(user_profile.withColumnRenamed("user_mean", "p2"), "user", "left").join(item_profile.withColumnRenamed("item_mean", "p3"), "item", "left")
-    c = [F.col(f"p{j}") for j in range(4)]
+    c = [F.col(f"p{j}") if digits is None or j > 1 else rounded(F.col(f"p{j}"), digits) for j in range(4)]
     middle = (c[2] + c[3]) / 2
     if oracle:
         off = [F.abs(x - F.col("rating")) for x in c]

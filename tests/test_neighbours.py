@@ -235,3 +235,14 @@ def test_draws_meet_no_broadcast_ratings(spark, monkeypatch, small):
     assert found.count() == recommend.known_only(test, train).count()
     for name in ("ratings", "pairs"):
         assert "SortMergeJoin" in plans[name] and "BroadcastHashJoin" not in plans[name]
+
+
+def test_hybrid_rounds_as_its_sql(spark, monkeypatch):
+    """The mean of 3.0625 and 3.068: by its decimals a half of the fourth place, as a product less."""
+    from lodeworks.plans import queries, roles
+
+    own = [(0, i, 3.0 + (i == 0)) for i in range(16)]
+    others = [(u, 99, 4.0 if u <= 17 else 3.0) for u in range(1, 251)]
+    train, test = (spark.createDataFrame(rows, "user long, item long, rating double") for rows in (own + others, [(0, 99, 3.0)]))
+    monkeypatch.setattr(roles, "ratings", lambda *_: (train, test))
+    assert [r["prediction"] for r in queries.queries()["hybrid_predict"](spark, "").collect()] == [3.0652]
