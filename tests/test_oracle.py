@@ -5,7 +5,7 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from oracle import same
+from oracle import connect, same
 
 from lodeworks.operators import itemsets
 from lodeworks.plans.queries import oracle_sql, queries
@@ -81,3 +81,11 @@ def test_largest_bounds_sizes_only(spark):
     every = rows(itemsets.frequent_itemsets(df, 4))
     assert max(len(s) for s, _ in every) == 5
     assert rows(itemsets.son(df, 4, 3)[1]) == rows(itemsets.frequent_itemsets(df, 4, 3)) == {(s, n) for s, n in every if len(s) <= 3}
+
+
+@pytest.mark.parametrize("name", ["frequent_itemsets_all"])
+def test_itemset_query_has_every_size(spark, wide_orders, name):
+    """The six brands that 450 orders share are a frequent itemset, too, in the query and in its SQL."""
+    rows = {r["items"]: r["n"] for r in queries()[name](spark, wide_orders).collect()}
+    assert len(rows) == 2**6 - 1 and rows[",".join(f"Brand#{k}" for k in range(6))] == 450
+    assert rows == dict(connect(wide_orders).sql(oracle_sql()[name]).fetchall())
