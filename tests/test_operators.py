@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 import pytest
@@ -39,6 +40,17 @@ def test_local_frequent_is_exact():
         assert set(itemsets.local_frequent(baskets, support)) == set(brute_itemsets(baskets, support))
 
 
+def test_contained_is_exact(monkeypatch):
+    draw = random.Random(2)
+    part = [frozenset(draw.sample(range(40), draw.randrange(9))) for _ in range(300)]
+    far = [frozenset(x + 10**6 * draw.randrange(2000) for x in b) for b in part]  # too many items for numbers of 62 bits
+    for baskets, cells in ((part, 1 << 18), (part, 3), (far, 1 << 18)):
+        monkeypatch.setattr(itemsets, "CELLS", cells)
+        for size in (1, 2, 3, 6):
+            candidates = sorted({c for b in baskets[::2] for c in combinations(sorted(b), size)})
+            assert itemsets.contained(baskets, candidates) == {c: sum(b.issuperset(c) for b in baskets) for c in candidates}
+
+
 def test_joined_recount_is_the_same(spark, monkeypatch):
     monkeypatch.setattr(itemsets, "BROADCAST_BYTES", -1)
     df = spark.createDataFrame([(b,) for b in BASKETS], "items array<string>")

@@ -83,9 +83,13 @@ def test_largest_bounds_sizes_only(spark):
     assert rows(itemsets.son(df, 4, 3)[1]) == rows(itemsets.frequent_itemsets(df, 4, 3)) == {(s, n) for s, n in every if len(s) <= 3}
 
 
-@pytest.mark.parametrize("name", ["frequent_itemsets_all"])
+@pytest.mark.parametrize("name", ["frequent_itemsets_all", "son_itemsets"])
 def test_itemset_query_has_every_size(spark, wide_orders, name):
     """The six brands that 450 orders share are a frequent itemset, too, in the query and in its SQL."""
     rows = {r["items"]: r["n"] for r in queries()[name](spark, wide_orders).collect()}
     assert len(rows) == 2**6 - 1 and rows[",".join(f"Brand#{k}" for k in range(6))] == 450
     assert rows == dict(connect(wide_orders).sql(oracle_sql()[name]).fetchall())
+
+
+def test_candidates_have_every_size(spark, wide_orders):
+    assert max(r["items"].count(",") for r in queries()["son_candidates"](spark, wide_orders).collect()) == 5
