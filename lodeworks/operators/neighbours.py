@@ -2,9 +2,9 @@
 
 Users are numbered in order and cut into blocks. A block is sent its own users' ratings, the pairs to predict, and the
 ratings of all others under the items it has, sorted by user; these stream by, so that a task holds its block and one
-chunk. What two users have in common is summed in arrays: pairs of users are neither shuffled nor written. For
-predictions, chunks travel packed, a row for each block and chunk: sorting and converting a row for each rating and
-block took most of the time.
+chunk. What two users have in common is summed in arrays: pairs of users are neither shuffled nor written. Chunks
+travel packed, a row for each block and chunk: sorting and converting a row for each rating and block took most of the
+time and of the disk.
 """
 
 from __future__ import annotations
@@ -43,28 +43,25 @@ class Coded:
         return F.floor(F.col("u") * self.blocks / max(1, self.n)).cast("int")
 
     def dealt(self, test: DataFrame | None) -> DataFrame:
-        """What each block is sent, by block, in order: ``PACKED`` rows; without ``test``, (block, side, u, i, v, r), side 0 its users' ratings, 2 those of larger users."""
+        """What each block is sent, by block, in order: ``PACKED`` rows; without ``test`` with the users' keys, and of the others only larger users."""
         rows = self.rows.withColumn("block", self.block())
+        given = rows.select("block", "u", F.lit(0).alias("side"), "i", "r", *([] if test is not None else ["v"]))
         if test is not None:
-            given = rows.select("block", "u", F.lit(0).alias("side"), "i", "r")
             given = given.union(test.withColumn("block", self.block()).select("block", "u", F.lit(1).alias("side"), "i", F.lit(None).cast("double").alias("r")))
-            ranges = max(1, TOUCHED // self.blocks)
-            each = max(1, -(-self.items.count() // ranges))  # items of a range
-            found = given.select("block", F.floor(F.col("i") / each).cast("int").alias("range")).distinct().toArrow()
-            touched = np.zeros((self.blocks, ranges), bool)
-            touched[found["block"].to_numpy(), found["range"].to_numpy()] = True
-            given = given.repartitionById(self.blocks, F.col("block")).sortWithinPartitions("block", "u", "side", "i")
-            packed = given.mapInArrow(_packer(touched, each, CHUNK_ROWS), PACKED)
-            return packed.repartitionById(self.blocks, F.col("block")).sortWithinPartitions("block", "side", "u")
-        rating = F.coalesce("r", F.lit(0.0)).alias("r")  # a null adds nothing to a sum
-        met = self.rows.join(rows.select("block", "i").distinct(), "i").where(F.col("block") <= self.block())
-        out = rows.select("block", F.lit(0).alias("side"), "u", "i", "v", rating).union(met.select("block", F.lit(2).alias("side"), "u", "i", "v", rating))
-        return out.repartitionById(self.blocks, F.col("block")).sortWithinPartitions("block", "side", "u", "i")
+        ranges = max(1, TOUCHED // self.blocks)
+        each = max(1, -(-self.items.count() // ranges))  # items of a range
+        found = given.select("block", F.floor(F.col("i") / each).cast("int").alias("range")).distinct().toArrow()
+        touched = np.zeros((self.blocks, ranges), bool)
+        touched[found["block"].to_numpy(), found["range"].to_numpy()] = True
+        given = given.repartitionById(self.blocks, F.col("block")).sortWithinPartitions("block", "u", "side", "i")
+        packed = given.mapInArrow(_packer(touched, each, CHUNK_ROWS, test is None), PACKED)
+        return packed.repartitionById(self.blocks, F.col("block")).sortWithinPartitions("block", "side", "u")
 
 
 #: What a block is sent, packed. Side 0: its users' ratings, 1: pairs to predict, 2: a chunk of others' ratings by item, with
-#: each user's number of ratings and their sum; u is the first user. A chunk's ratings are numbers of ``ratings``, whose last one, a NaN, is for nulls.
-_ARRAYS = ("users", "items", "counts", "at", "codes", "ratings", "sizes", "totals")
+#: each user's number of ratings and their sum; u is the first user. A chunk's ratings are numbers of ``ratings``, whose last one, a NaN, is for nulls;
+#: its items are their distances. For similarities there are no sizes and totals, but the keys of the users, each once.
+_ARRAYS = ("users", "items", "counts", "at", "codes", "ratings", "sizes", "totals", "keys")
 PACKED = "block int, side int, u long, " + ", ".join(f"{c} binary" for c in _ARRAYS)
 
 
@@ -77,10 +74,27 @@ def _wide(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"u{len(data) // n}") if n else np.zeros(0, np.uint8)
 
 
-def _packer(touched: np.ndarray, each: int, chunk_rows: int):
-    """The function from (block, u, side, i, r), by block and user, to ``PACKED`` rows; a user's ratings are never cut."""
+def _sent(values: pa.ChunkedArray) -> np.ndarray:
+    """Bytes of keys of any type."""
+    sink = pa.BufferOutputStream()
+    table = pa.table({"v": values})
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return np.frombuffer(sink.getvalue(), np.uint8)
+
+
+def _received(data: list[bytes]) -> pa.Array:
+    """As given to ``_sent``, one after another."""
+    return pa.concat_arrays([x for d in data for x in pa.ipc.open_stream(d).read_all()["v"].chunks])
+
+
+def _packer(touched: np.ndarray, each: int, chunk_rows: int, keyed: bool = False):
+    """The function from (block, u, side, i, r), by block and user, to ``PACKED`` rows; a user's ratings are never cut. ``keyed``: with v, the keys, and for no larger block."""
 
     def row(block, side, u, **arrays):
+        if side == 2:
+            gaps = np.diff(arrays["items"], prepend=0)
+            arrays |= {"items": _narrow(gaps, int(gaps.max()) + 1), "counts": arrays["counts"].astype(np.uint32)}
         data = [pa.array([arrays[c].tobytes() if c in arrays else None], pa.binary()) for c in _ARRAYS]
         head = [pa.array([block], pa.int32()), pa.array([side], pa.int32()), pa.array([u], pa.int64())]
         return pa.RecordBatch.from_arrays([*head, *data], names=["block", "side", "u", *_ARRAYS])
@@ -92,21 +106,24 @@ def _packer(touched: np.ndarray, each: int, chunk_rows: int):
             for s in (0, 1):
                 mine = (block == b) & (side == s)
                 if mine.any():
-                    yield row(int(b), s, int(u[mine][0]), users=u[mine], items=i[mine], **({} if s else {"ratings": r[mine]}))
+                    own = {} if s else {"ratings": r[mine]}
+                    if keyed:
+                        own["keys"] = _sent(table["v"].take(pa.array(np.flatnonzero(mine)[np.unique(u[mine], return_index=True)[1]])))
+                    yield row(int(b), s, int(u[mine][0]), users=u[mine], items=i[mine], **own)
         rated = side == 0
         if not rated.any():
             return
         u, i, r, empty = u[rated], i[rated], r[rated], empty[rated]
-        users, at = np.unique(u, return_inverse=True)
-        sizes, totals = np.bincount(at), np.bincount(at, r)
+        users, first, at = np.unique(u, return_index=True, return_inverse=True)
+        of_user = {"keys": _sent(table["v"].take(pa.array(first)))} if keyed else {"sizes": np.bincount(at), "totals": np.bincount(at, r)}
         ratings, codes = np.unique(r, return_inverse=True)
         codes[empty] = len(ratings)
         ratings = np.append(ratings, np.nan)
         order = np.argsort(i, kind="stable")
         i, at, codes = i[order], _narrow(at[order], len(users)), _narrow(codes[order], len(ratings))
         items, first, counts = np.unique(i, return_index=True, return_counts=True)
-        whole = {"users": users, "ratings": ratings, "sizes": sizes, "totals": totals}
-        for b in range(len(touched)):
+        whole = {"users": users, "ratings": ratings} | of_user
+        for b in range(int(block.max()) + 1 if keyed else len(touched)):
             sent = touched[b][items // each]
             if sent.all():
                 yield row(b, 2, int(users[0]), items=items, counts=counts, at=at, codes=codes, **whole)
@@ -151,17 +168,10 @@ def _pearson(n, sx, sy, sxx, syy, sxy) -> np.ndarray:
 class _Chunk:
     """Ratings of some of the others, all of each that a block can meet, by item."""
 
-    def __init__(self, rows: dict[str, np.ndarray]):
-        self.users, self.first, local = np.unique(rows["u"], return_index=True, return_inverse=True)
-        order = np.argsort(rows["i"], kind="stable")
-        self.items, self.start, self.count = np.unique(rows["i"][order], return_index=True, return_counts=True)
-        self.local, self.r = local[order], rows["r"][order]
-
-    @classmethod
-    def unpacked(cls, row: dict, own_value: bool) -> _Chunk:
+    def __init__(self, row: dict, own_value: bool):
         """From a ``PACKED`` row. A rating's value is itself, or else its distance from its user's mean without it."""
-        self = cls.__new__(cls)
-        self.users, self.items, self.count, sizes = (np.frombuffer(row[c], np.int64) for c in ("users", "items", "counts", "sizes"))
+        self.users, self.count = np.frombuffer(row["users"], np.int64), np.frombuffer(row["counts"], np.uint32).astype(np.int64)
+        self.items = np.cumsum(_wide(row["items"], len(self.count)), dtype=np.int64)
         self.start, n = np.cumsum(self.count) - self.count, int(self.count.sum())
         self.local = _wide(row["at"], n).astype(np.int64)
         codes, ratings = _wide(row["codes"], n), np.frombuffer(row["ratings"])
@@ -170,9 +180,8 @@ class _Chunk:
         if own_value:
             self.value = self.r
         else:
-            rest, total = sizes[self.local] - 1, np.frombuffer(row["totals"])[self.local]
+            rest, total = np.frombuffer(row["sizes"], np.int64)[self.local] - 1, np.frombuffer(row["totals"])[self.local]
             self.value = np.where(empty | (rest == 0), 0.0, self.r - (total - self.r) / np.maximum(rest, 1))
-        return self
 
     def of_items(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(low, count): places of the items' ratings."""
@@ -234,7 +243,7 @@ class _Block:
             yield pair[good], chunk.value[place][good], sim[good]
 
     def similar(self, chunk: _Chunk) -> Iterator[tuple]:
-        """(user, other, sim) arrays: first rows of the block's users, places of larger users in the chunk, similarity of those with something in common."""
+        """(user, other, sim) arrays: places of the block's users, of larger users in the chunk, similarity of those with something in common."""
         width = len(chunk.users)
         for users, own, low, count, _ in self.batches(chunk, False):
             row, met = _ranges(low, count)
@@ -247,74 +256,54 @@ class _Block:
             cells = found if cells is None else cells
             a, b = cells // width, cells % width
             larger = chunk.users[b] > users[a]
-            yield np.searchsorted(self.own["u"], users[a][larger]), b[larger], sim[larger]
-
-
-def _blocks(batches, run):
-    """Give each block's chunks to ``run(block, chunk, values)``."""
-    block, now, rows, sides, held, limit = None, None, [], [], 0, CHUNK_ROWS
-    names = ("u", "i", "r")
-
-    def arrays(parts):
-        table = pa.Table.from_batches(parts) if parts else None
-        return {c: table[c].to_numpy() if table else np.zeros(0, np.int64) for c in names}, table["v"].combine_chunks() if table else None
-
-    def flush(last):
-        nonlocal rows, block
-        if block is None:
-            own, values = arrays(sides)
-            block = _Block(own, arrays([])[0])
-            block.values = values
-        given, values = arrays(rows)
-        cut = len(given["u"]) if last else int(np.searchsorted(given["u"], given["u"][-1]))  # all ratings of a user together
-        if cut:
-            yield from run(block, _Chunk({c: x[:cut] for c, x in given.items()}), values)
-        rows = [] if last else pa.Table.from_batches(rows).slice(cut).combine_chunks().to_batches()
+            yield np.searchsorted(self.users, users[0]) + a[larger], b[larger], sim[larger]
+
+
+def _begun(own: list[dict], asked: list[dict]) -> _Block:
+    """The block of its ``PACKED`` rows."""
+    column = lambda parts, c, kind: np.concatenate([np.frombuffer(x[c], kind) for x in parts]) if parts else np.zeros(0, kind)
+    kinds = {"u": ("users", np.int64), "i": ("items", np.int64)}
+    return _Block({c: column(own, *x) for c, x in (kinds | {"r": ("ratings", np.float64)}).items()}, {c: column(asked, *x) for c, x in kinds.items()})
 
+
+def _blocks(batches, begun, run, done):
+    """What ``run(block, row)`` yields for the chunks of each block, which is ``begun(own rows, asked rows)``, and ``done(block)`` after them."""
+    block, now, parts = None, None, ([], [])
     for batch in batches:
-        at, side = batch.column("block").to_numpy(), batch.column("side").to_numpy()
-        edges = np.flatnonzero((np.diff(at) != 0) | (np.diff(side) != 0)) + 1
-        for a, b in zip(np.append(0, edges), np.append(edges, len(at)), strict=True):
-            if a == b:
-                continue
-            if at[a] != now:
+        for at in range(len(batch)):
+            row = {c: x[0].as_py() for c, x in zip(batch.schema.names, batch.slice(at, 1).columns, strict=True)}
+            if row["block"] != now:
                 if now is not None:
-                    yield from flush(True)
-                block, now, sides, held, limit = None, at[a], [], 0, CHUNK_ROWS
-            part = batch.slice(a, b - a)
-            if side[a] == 0:
-                sides.append(part)
+                    yield from done(block or begun(*parts))
+                block, now, parts = None, row["block"], ([], [])
+            if row["side"] < 2:
+                parts[row["side"]].append(row)
                 continue
-            rows.append(part)
-            held += b - a
-            if held >= limit:
-                yield from flush(False)
-                held = sum(len(x) for x in rows)
-                limit = max(CHUNK_ROWS, 2 * held)  # twice what one user has so far, who must not be cut
+            block = block or begun(*parts)
+            yield from run(block, row)
     if now is not None:
-        yield from flush(True)
+        yield from done(block or begun(*parts))
 
 
 def _mover(k: int | None, own_value: bool = False):
     """The function from a task's rows (as ``Coded.dealt`` orders them) to (u, i, move)."""
 
     def begun(own, asked):
-        column = lambda parts, c, kind: np.concatenate([np.frombuffer(x[c], kind) for x in parts]) if parts else np.zeros(0, kind)
-        kinds = {"u": ("users", np.int64), "i": ("items", np.int64)}
-        block = _Block({c: column(own, *x) for c, x in (kinds | {"r": ("ratings", np.float64)}).items()}, {c: column(asked, *x) for c, x in kinds.items()})
+        block = _begun(own, asked)
         n = len(block.asked["u"])
         block.sums = np.zeros((3, n))  # of products, of weights, raters
         if k is not None:
             block.sim, block.value = np.full((n, k), -np.inf), np.zeros((n, k))
         return block
 
-    def run(block, chunk):
-        for pair, value, sim in block.predicted(chunk):
+    def run(block, row):
+        for pair, value, sim in block.predicted(_Chunk(row, own_value)):
             if k is None:
                 for total, w in zip(block.sums, (value * sim, np.abs(sim), None), strict=True):
                     total += np.bincount(pair, w, len(total))
             else:
                 _best(block.sim, block.value, pair, value, sim)
+        return ()
 
     def done(block):
         products, weights, raters = block.sums
@@ -329,24 +318,7 @@ def _mover(k: int | None, own_value: bool = False):
             s = some[a : a + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(block.asked["u"][s]), pa.array(block.asked["i"][s]), pa.array(move[s])], names=["u", "i", "move"])
 
-    def moved(batches):
-        block, now, parts = None, None, ([], [])
-        for batch in batches:
-            for at in range(len(batch)):
-                row = {c: x[0].as_py() for c, x in zip(batch.schema.names, batch.slice(at, 1).columns, strict=True)}
-                if row["block"] != now:
-                    if now is not None:
-                        yield from done(block or begun(*parts))
-                    block, now, parts = None, row["block"], ([], [])
-                if row["side"] < 2:
-                    parts[row["side"]].append(row)
-                    continue
-                block = block or begun(*parts)
-                run(block, _Chunk.unpacked(row, own_value))
-        if now is not None:
-            yield from done(block or begun(*parts))
-
-    return moved
+    return lambda batches: _blocks(batches, begun, run, done)
 
 
 def moves(test: DataFrame, train: DataFrame, k: int | None = None, of: str = "user", over: str = "item", own_value: bool = False) -> DataFrame:
@@ -387,13 +359,19 @@ def similarities(train: DataFrame, of: str, over: str) -> DataFrame:
     """(a, b, sim): Pearson of every ordered pair of different ``of`` that have an ``over`` in common."""
     coded = Coded(train, of, over)
 
-    def run(block, chunk, values):
-        for mine, theirs, sim in block.similar(chunk):
+    def begun(own, asked):
+        block = _begun(own, asked)
+        block.keys = _received([x["keys"] for x in own])
+        return block
+
+    def run(block, row):
+        keys = _received([row["keys"]])
+        for mine, theirs, sim in block.similar(_Chunk(row, True)):
             for x in range(0, len(sim), 1 << 16):
                 at = slice(x, x + (1 << 16))
-                a, b, sims = block.values.take(pa.array(mine[at])), values.take(pa.array(chunk.first[theirs[at]])), pa.array(sim[at])
+                a, b, sims = block.keys.take(pa.array(mine[at])), keys.take(pa.array(theirs[at])), pa.array(sim[at])
                 for pair in ((a, b), (b, a)):
-                    yield pa.RecordBatch.from_arrays([*(v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for v in pair), sims], names=["a", "b", "sim"])
+                    yield pa.RecordBatch.from_arrays([*pair, sims], names=["a", "b", "sim"])
 
     kind = coded.rows.schema["v"].dataType.simpleString()
-    return coded.dealt(None).mapInArrow(lambda batches: _blocks(batches, run), f"a {kind}, b {kind}, sim double")
+    return coded.dealt(None).mapInArrow(lambda batches: _blocks(batches, begun, run, lambda block: ()), f"a {kind}, b {kind}, sim double")

@@ -246,3 +246,17 @@ def test_hybrid_rounds_as_its_sql(spark, monkeypatch):
     train, test = (spark.createDataFrame(rows, "user long, item long, rating double") for rows in (own + others, [(0, 99, 3.0)]))
     monkeypatch.setattr(roles, "ratings", lambda *_: (train, test))
     assert [r["prediction"] for r in queries.queries()["hybrid_predict"](spark, "").collect()] == [3.0652]
+
+
+@pytest.mark.parametrize("chunk", [1, 40])
+def test_similarities_travel_packed(spark, monkeypatch, chunk):
+    """For similarities too, a block is sent a row for each chunk, not for each rating; users' keys can be of any type."""
+    train, _ = drawn(7)
+    monkeypatch.setattr(neighbours, "LEAST_BLOCKS", 3)
+    ratings = spark.createDataFrame(train, "user string, item string, rating double")
+    want = {(r["a"], r["b"]): r["sim"] for r in neighbours.similarities(ratings, "user", "item").collect()}
+    monkeypatch.setattr(neighbours, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(neighbours, "CELLS", 90)
+    assert neighbours.Coded(ratings).dealt(None).count() <= 4 * 60 < len(train)  # of a chunk for each user at most: own, and to each block
+    found = neighbours.similarities(ratings, "user", "item").collect()
+    assert {(r["a"], r["b"]): r["sim"] for r in found} == pytest.approx(want) and len(found) == len(want)
